@@ -15,6 +15,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkaudit.llm.mixing import taken_words
+
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkaudit.llm.licenses import scan_lines
+
+    return scan_lines(table(spark, sf_dir, "documents"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkaudit.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkaudit.llm.codec import encoding_digests
 
@@ -24,12 +42,14 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_mix_sources": op2_mix_sources,
+        "op3_license_scan": op3_license_scan,
+        "op5_html_text": op5_html_text,
         "op7_bpe_codec": op7_bpe_codec,
     }
 
 
-ORACLES: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from larkaudit.llm import licenses
+
+    return {"op3_license_scan": licenses.oracle()}
