@@ -27,6 +27,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkaudit.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkaudit.llm.html_text import extract_pages
 
@@ -44,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_mix_sources": op2_mix_sources,
         "op3_license_scan": op3_license_scan,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_html_text": op5_html_text,
         "op7_bpe_codec": op7_bpe_codec,
     }
