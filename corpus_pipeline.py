@@ -1,12 +1,69 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline: each stage works on all rows that the stage before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the
+shared folder and rereads it as the next stage's documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkaudit.llm.codec import encode_documents
+from larkaudit.llm.common import cut, table, written
+from larkaudit.llm.jaccard import jaccard_components
+from larkaudit.llm.line_dedup import clean_lines
+from larkaudit.llm.mixing import mixed_documents
+from larkaudit.llm.quality import grade_documents
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose probability of the best grade reaches the classifier's limit."""
+    return grade_documents(docs, table(spark, sf_dir, "labels")).where("selected").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes boilerplate lines out; documents of nothing else go."""
+    cleaned = clean_lines(docs).where(r"n_removed = 0 or text rlike '\\S'")
+    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group."""
+    groups = cut(jaccard_components(docs).select("doc_id", "component_id"))
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept.select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixes sources to their target weights; a document comes once for each pass that takes words of it."""
+    return mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and what they decode to, as digests."""
+    return encode_documents(docs.select("doc_id", "source", "text")).select(
+        "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    )
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("encoding", encoding),
+]
+#: Fitting a classifier and byte-pair merging are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,6 +39,19 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkaudit.llm.line_dedup import clean_lines
+
+    return clean_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkaudit.llm.quality import grade_documents
+
+    docs = grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", "expected_grade", "tail_probability", "selected")
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkaudit.llm.codec import encoding_digests
 
@@ -52,11 +65,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_html_text": op5_html_text,
+        "op6_line_dedup": op6_line_dedup,
         "op7_bpe_codec": op7_bpe_codec,
+        "op8_quality": op8_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from larkaudit.llm import licenses
+    from larkaudit.llm import licenses, line_dedup
 
-    return {"op3_license_scan": licenses.oracle()}
+    return {"op3_license_scan": licenses.oracle(), "op6_line_dedup": line_dedup.oracle()}
