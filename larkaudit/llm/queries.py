@@ -58,6 +58,18 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkaudit.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkaudit.llm.near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -68,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_quality": op8_quality,
+        "op9_nearest": op9_nearest,
+        "op10_near_vectors": op10_near_vectors,
     }
 
 
