@@ -681,3 +681,82 @@ def overlap_summary(spark, d):
     b = t(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("k")).withColumn("b", F.lit(1))
     j = a.join(b, "k", "full_outer")
     return j.agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("both"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_a"), F.count(F.when(F.col("a").isNull(), 1)).alias("only_b"))
+
+
+# --- nulls, models, clusters ---------------------------------------------------------------------
+
+NULL = """with mp as (select distinct gene from memberships), pm as (select unnest(range(1, 11)) as perm),
+       sm as (select perm, g.gene, case when mp.gene is null then 0.0 else 1.0 end as m from (select distinct gene from features) g cross join pm left join mp on mp.gene = (g.gene * 37 + perm * 11) % 64)"""
+
+
+def _mapped(spark):
+    return at.edges(facts.memberships(spark)).select("gene").distinct()
+
+
+@query(NULL + """ select perm, sample_id, repeat_id, round(sum(shap * (1 - m)), 6) + 0.0 as residual, round(sum(abs(shap) * m) / sum(abs(shap)), 6) as coverage from attribution join sm using (gene) group by all""")
+def mapping_null(spark, d):
+    from larkaudit.operators import nulls
+
+    return r6(nulls.mapping_null(facts.attribution(spark, d), _mapped(spark), 64, 10))
+
+
+@query("""select perm, sample_id, repeat_id, round(sum(abs(shap) * case when ((sample_id * 7919 + gene * 104729 + repeat_id * 1299709 + perm * 15485863) % 1000003) % 2 = 0 then 1.0::double else -1.0::double end), 6) + 0.0 as total
+       from attribution, (select unnest(range(1, 11)) as perm) group by all""")
+def signflip_null(spark, d):
+    from larkaudit.operators import nulls
+
+    return r6(nulls.signflip_null(facts.attribution(spark, d), 10))
+
+
+@query(NULL + """, o as (select sample_id, repeat_id, sum(abs(shap)) filter (where gene in (select gene from mp)) / sum(abs(shap)) as observed from attribution group by all),
+       nu as (select perm, sample_id, repeat_id, sum(abs(shap) * m) / sum(abs(shap)) as v from attribution join sm using (gene) group by all),
+       g as (select sample_id, repeat_id, max(observed) as observed, avg(v) as null_mean, stddev_pop(v) as sd, count(*) as n, count(*) filter (where v <= observed + 1e-9) as l, count(*) filter (where v >= observed - 1e-9) as u from nu join o using (sample_id, repeat_id) group by all)
+       select sample_id, repeat_id, round(observed, 6) as observed, round(null_mean, 6) as null_mean, n, round(observed - null_mean, 6) + 0.0 as excess, round((observed - null_mean) / nullif(sd, 0), 4) + 0.0 as z, round(least(1.0, 2 * least(1 + l, 1 + u) / (1.0 + n)), 6) as p_value from g""")
+def patient_null_excess(spark, d):
+    from larkaudit.operators import nulls
+
+    a = facts.attribution(spark, d)
+    observed = at.completeness(a, at.edges(facts.memberships(spark)))
+    return r6(nulls.unit_excess(observed, nulls.mapping_null(a, _mapped(spark), 64, 10), "coverage").withColumn("z", F.round("z", 4)))
+
+
+def _vectors(spark, d):
+    e = t(spark, d, "embeddings").where("embedding is not null")
+    return e.select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+@query()
+def model_oof(spark, d):
+    """Held-out predictions of both models; fits are beyond SQL."""
+    return models.out_of_fold(_vectors(spark, d), facts.folds(spark, d))
+
+
+@query()
+def tree_shap_additivity(spark, d):
+    """By fold the largest difference of the prediction and expected value plus Shapley values."""
+    s = models.out_of_fold(_vectors(spark, d), facts.folds(spark, d).where("repeat_id = 1"), trees=5, leaf=20, k=8, explain=True)
+    g = s.groupBy("repeat_id", "fold_id", "sample_id").agg(F.first("p").alias("p"), F.first("expected").alias("e"), F.sum("shap").alias("s"))
+    return g.groupBy("repeat_id", "fold_id").agg(F.max(F.abs(F.col("p") - F.col("e") - F.col("s"))).alias("max_error"), F.count("*").alias("n"))
+
+
+@query()
+def consensus_audit(spark, d):
+    """By number of modules the ambiguity of the bootstrap consensus of features."""
+    from larkaudit.operators import cluster
+
+    return cluster.ambiguity(cluster.consensus(_vectors(spark, d), [3, 4, 5, 6], bootstraps=10))
+
+
+@query()
+def consensus_modules(spark, d):
+    from larkaudit.operators import cluster
+
+    return cluster.modules(cluster.consensus(_vectors(spark, d), [4], bootstraps=10), 4)
+
+
+@query()
+def core_refine(spark, d):
+    from larkaudit.operators import cluster
+
+    pairs = cluster.consensus(_vectors(spark, d), [4], bootstraps=10)
+    return cluster.stable_cores(pairs, cluster.modules(pairs, 4), 4)
