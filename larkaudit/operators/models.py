@@ -13,7 +13,7 @@ from larkaudit.functions.ranks import first_rank
 def stratified_folds(samples: DataFrame, key: str, y: str, splits: int, repeats: int) -> DataFrame:
     """key, y, repeat_id (from 1), fold_id: each class is dealt to the folds in a fixed mixed order of its own for each repeat."""
     r = samples.select(key, y, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(repeats).cast("long"))).alias("repeat_id"))
-    mixed = (F.col(key) * 7919 + F.col("repeat_id") * 104729) % 10007
+    mixed = (F.col(key) % 10007 * 7919 + F.col("repeat_id") * 104729) % 10007  # the remainder first, so that no id overflows
     order = F.row_number().over(Window.partitionBy("repeat_id", y).orderBy(mixed, key)) - 1
     return r.withColumn("fold_id", (order % splits).cast("long"))
 

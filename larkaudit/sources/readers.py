@@ -42,6 +42,8 @@ def read_delimited(spark: SparkSession, path: str, schema: str | None = None, co
         raise ValueError(f"{path}: no header of more than one column")
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", name)
     reader = reader.option("comment", comment) if comment else reader
+    if name.startswith("UTF-16"):  # line ends of two bytes can't be found by cutting the file; such a file is read whole
+        reader = reader.option("encoding", "UTF-16").option("multiLine", True)
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
     return df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
 
