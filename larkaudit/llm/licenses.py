@@ -20,6 +20,8 @@ TEMPLATES = {
     "CC-BY-4.0-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "reserved": "All rights reserved.",
 }
+#: A word.
+WORD = r"[\p{L}\p{N}]+"
 #: Least Dice coefficient of a match.
 LEAST_DICE = 0.8
 
@@ -30,8 +32,9 @@ def words(text: Column) -> Column:
 
 
 def word_pairs(w: Column) -> Column:
-    """Distinct neighbouring words of an array."""
-    return F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    """Neighbouring words of an array, repeats kept."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def pair_bounds(n: int, least: float) -> tuple[float, float]:
@@ -42,6 +45,8 @@ def pair_bounds(n: int, least: float) -> tuple[float, float]:
 def scan_lines(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_DICE, separator: str = "\n") -> DataFrame:
     """doc_id, line_no, license, dice for each line of ``docs`` (doc_id, text, ...) that matches a notice.
 
+    The coefficient is over bags of word pairs: twice the pairs in common over the pairs of both;
+    no template has a pair twice, so further repeats in a line only add to its size.
     A line is named after the notice with the largest Dice coefficient, ties after the smaller
     name. Lines are numbered from 0; null and empty texts have none that match; repeated rows each
     give their rows; extra columns are ignored. Templates are few and known beforehand, so each
@@ -54,11 +59,11 @@ def scan_lines(docs: DataFrame, templates: dict[str, str] | None = None, least:
     bounds = [pair_bounds(n, least) for n in counts]
     table = F.array(*[F.struct(F.lit(name).alias("license"), word_pairs(words(F.lit(t))).alias("pairs"), F.lit(n).alias("n")) for (name, t), n in zip(known, counts, strict=True)])
     lines = docs.select("doc_id", F.posexplode(F.split("text", separator)).alias("line_no", "line"))
-    # A line with so many blanks has more words than any template allows; it is dropped unread.
-    most = int(max(high for _, high in bounds)) + 1
-    lines = lines.where(F.length("line") > 0).withColumn("w", words(F.col("line"))).where((F.size("w") > 1) & (F.size("w") >= min(low for low, _ in bounds)))
-    lines = lines.withColumn("p", word_pairs(F.col("w"))).where((F.size("p") <= most) & (F.size("p") >= min(low for low, _ in bounds)))
-    n = F.size("p")
+    # Most lines are of a length that no template allows; their words are counted, not made.
+    n = (F.regexp_count("line", F.lit(WORD)) - 1).cast("int")
+    lines = lines.withColumn("n", n).where((F.col("n") >= max(1, min(low for low, _ in bounds))) & (F.col("n") <= max(high for _, high in bounds)))
+    lines = lines.withColumn("p", F.array_distinct(word_pairs(words(F.col("line")))))
+    n = F.col("n")
 
     def near(t: Column) -> Column:
         return (n >= t["n"] * (least / (2 - least)) - 1e-9) & (n <= t["n"] * ((2 - least) / least) + 1e-9)
@@ -85,7 +90,7 @@ def oracle(templates: dict[str, str] | None = None, least: float = LEAST_DICE) -
     l as (select doc_id, cast(unnest(range(0, len(ls))) as integer) as line_no, unnest(ls) as line
           from (select doc_id, string_split(text, chr(10)) as ls from documents)),
     lw as (select doc_id, line_no, {ws.format("line")} as w from l),
-    p as (select doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as lp
+    p as (select doc_id, line_no, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as lp
           from lw where len(w) between 2 and 60),
     d as (select doc_id, line_no, license, 2.0::double * len(list_intersect(lp, tp)) / (len(lp) + len(tp)) as dice from p, t)
     select doc_id, line_no, license, dice from d where dice >= {least}
