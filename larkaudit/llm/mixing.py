@@ -134,7 +134,7 @@ def draw_slots(laid: DataFrame) -> DataFrame:
     sources = sources.withColumn("low", low).withColumn("high", F.col("low") + F.col("slots"))
     total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     cells = sources.withColumn("cell", F.explode(F.sequence(div(F.col("low"), CELL), div(F.col("high") - 1, CELL))))
-    dealt = spark.range(total).select(F.col("id").alias("slot"), permuted(F.col("id"), F.lit(total).cast("long"), F.lit("slots")).alias("place"))
+    dealt = spark.range(total).select(F.col("id").alias("slot"), permuted(F.col("id"), F.lit(max(total, 1)).cast("long"), F.lit("slots")).alias("place"))
     dealt = dealt.withColumn("cell", div(F.col("place"), CELL)).join(cells, "cell").where("place >= low and place < high")
     number = F.col("place") - F.col("low")
     return dealt.select(
