@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from larkaudit.llm.shingles import LOWER, SPACES, mixed
 
 #: Labelled rows that a model is fitted on, at most: those whose hashed ids are smallest.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 9_000
 #: Characters of a labelled text that are used in fitting; scoring uses whole texts.
 FIT_CHARS = 20_000
 BITS = 18
@@ -28,7 +28,7 @@ RATE = 0.5
 #: Least probability of the best grade for a text to be kept.
 LEAST_TAIL = 0.5
 #: Bytes of text whose features are made at a time.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 
 def _hash_bytes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int, seed: int) -> np.ndarray:
@@ -116,7 +116,7 @@ def sigmoid(x):
 def fit(texts: list[str | None], grades: np.ndarray, n_grades: int = 3, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds, by AdaGrad over small batches in a fixed pseudorandom order."""
     made = [features(b) for b in blocks([t[:FIT_CHARS] if t else t for t in texts])]
-    index = np.concatenate([i for i, _ in made]) if made else np.zeros(0, np.int64)
+    index = np.concatenate([i.astype(np.int32) for i, _ in made]) if made else np.zeros(0, np.int32)
     sizes = np.concatenate([np.diff(b) for _, b in made]) if made else np.zeros(0, np.int64)
     start = np.concatenate([[0], np.cumsum(sizes)])
     scale = np.maximum(sizes, 1) ** -0.25

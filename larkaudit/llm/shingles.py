@@ -8,7 +8,7 @@ import numpy as np
 
 SHINGLE = 5
 #: Bytes of text that are hashed at a time; some ten times as much is held meanwhile.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
