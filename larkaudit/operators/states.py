@@ -107,3 +107,18 @@ def anchors(members: DataFrame, k: int = 25) -> DataFrame:
     m = m.where("membership >= 0.75 and dominance > 0")
     m = m.withColumn("score", 0.6 * F.col("membership") + 0.25 * F.col("dominance") - 0.15 * F.coalesce("sd", F.lit(0.0))).withColumn("score", F.round("score", 9))
     return m.withColumn("rank", first_rank(["core"], F.desc("score"), F.asc("patient_id"))).where(F.col("rank") <= k).select("patient_id", "core", "membership", "dominance", "score", "rank")
+
+
+def border_scores(members: DataFrame, consistency: DataFrame, k: int = 100) -> DataFrame:
+    """The k patients nearest a border: .4 of the clearest membership, .35 of inconsistent states and .25 of its spread over repeats."""
+    m = members.groupBy("patient_id", "core").agg(F.avg("positive").alias("_m"), F.stddev_samp("positive").alias("_s"))
+    p = m.groupBy("patient_id").agg(F.max("_m").alias("clearest"), F.max(F.coalesce("_s", F.lit(0.0))).alias("spread"))
+    p = p.join(consistency.select("patient_id", "consistency"), "patient_id")
+    p = p.withColumn("score", F.round(0.4 * F.col("clearest") + 0.35 * (1 - F.col("consistency")) + 0.25 * F.col("spread"), 9))
+    return p.orderBy(F.desc("score"), "patient_id").limit(k)
+
+
+def recommendation_confidence(consistency: Column, uncertainty: Column, core_priority: Column, n_targets: Column, most: int = 20) -> tuple[Column, Column]:
+    """Confidence from state consistency, certainty, core priority and number of targets, and its class."""
+    c = 0.3 * consistency + 0.25 * (1 - uncertainty) + 0.25 * core_priority + 0.2 * F.least(n_targets, F.lit(most)) / most
+    return c, F.when(c.isNull(), None).when(c <= 0.55, "low").when(c <= 0.7, "moderate").otherwise("high")

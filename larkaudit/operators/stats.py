@@ -155,3 +155,29 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def with_rho_p(df: DataFrame) -> DataFrame:
     t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") ** 2))
     return df.withColumn("p_value", t_p(t, F.col("n") - 2))
+
+
+def pairwise(df: DataFrame, keys: list[str], group: str, value: str, least: int = 10) -> DataFrame:
+    """u, cliffs_delta and sizes of every pair of groups of at least ``least`` values, by keys; group_1 < group_2.
+
+    Groups are states, of which there are few; each row meets one copy of itself for every other group.
+    """
+    known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, F.col(group).alias("_g"), value)
+    large = known.groupBy(*keys, "_g").count().where(F.col("count") >= least).select(*keys, "_g")
+    pairs = large.withColumnRenamed("_g", "group_1")
+    other = large.withColumnRenamed("_g", "group_2")
+    pairs = (pairs.join(other, keys) if keys else pairs.crossJoin(other)).where("group_1 < group_2")
+    sides = pairs.select(*keys, "group_1", "group_2", F.explode(F.array("group_1", "group_2")).alias("_g"))
+    both = known.join(sides, [*keys, "_g"]).withColumn("_first", F.col("_g") == F.col("group_1"))
+    return mann_whitney(both, [*keys, "group_1", "group_2"], "_first", value)
+
+
+def flip_contrasts(tests: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted pairs (group_1, group_2) in the wanted order: stored the other way round, sizes swap and delta changes its sign."""
+    kept = tests.join(wanted, ["group_1", "group_2"]).withColumn("flipped", F.lit(False))
+    back = tests.join(wanted.select(F.col("group_2").alias("group_1"), F.col("group_1").alias("group_2")), ["group_1", "group_2"])
+    back = back.select(
+        *[F.col({"group_1": "group_2", "group_2": "group_1", "n_1": "n_2", "n_2": "n_1"}.get(c, c)).alias(c) if c not in ("cliffs_delta", "u") else
+          (-F.col("cliffs_delta") if c == "cliffs_delta" else F.col("n_1") * F.col("n_2") - F.col("u")).alias(c) for c in tests.columns]
+    )
+    return kept.unionByName(back.withColumn("flipped", F.lit(True)))

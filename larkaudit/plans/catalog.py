@@ -760,3 +760,56 @@ def core_refine(spark, d):
 
     pairs = cluster.consensus(_vectors(spark, d), [4], bootstraps=10)
     return cluster.stable_cores(pairs, cluster.modules(pairs, 4), 4)
+
+
+# --- tiers, contrasts, reports -------------------------------------------------------------------
+
+
+@query("""with z as (select term, count(*) as size from memberships group by term) select term, size as n_genes, case when size <= 6 then 'small' when size <= 12 then 'medium' when size <= 25 then 'large' end as size_class from z""")
+def size_classes(spark, d):
+    present = facts.features(spark, d).select("gene").distinct()
+    g = facts.memberships(spark).join(present, "gene", "left_semi").groupBy("term").agg(F.count("*").alias("n_genes"))
+    return g.withColumn("size_class", ranks.cut(F.col("n_genes"), [0, 6, 12, 25], ["small", "medium", "large"]))
+
+
+@query("""with per as (select gene, repeat_id, avg(abs(shap)) as a, avg(shap) as s from attribution where gene >= 50 group by all),
+       g as (select gene, count(*) as n_folds, round(avg(a) * count(*) / 5.0::double, 9) as pipeline, greatest(avg(case when s > 0 then 1.0 else 0.0 end), avg(case when s < 0 then 1.0 else 0.0 end)) as sc from per group by gene),
+       q as (select round(quantile_cont(pipeline, 0.75), 9) as q75, round(quantile_cont(pipeline, 0.9), 9) as q90 from g where n_folds >= 5)
+       select gene, n_folds, round(pipeline, 6) as pipeline, case when n_folds >= 5 and pipeline >= q90 - 1e-12 and sc >= 0.8 then 'high' when n_folds >= 5 and pipeline >= q75 - 1e-12 then 'moderate' else 'low' end as tier from g, q""")
+def gap_tiers(spark, d):
+    a = facts.attribution(spark, d).where("gene >= 50")
+    per = a.groupBy("gene", "repeat_id").agg(F.avg(F.abs("shap")).alias("a"), F.avg("shap").alias("s"))
+    g = at.signs(per, ["gene"], "s").select("gene", F.col("n").alias("n_folds"), "sign_consistency")
+    g = g.join(per.groupBy("gene").agg(F.round(F.avg("a") * F.count("*") / 5.0, 9).alias("pipeline")), "gene")
+    return r6(at.gap_tiers(g, least_folds=5, stable_folds=5).select("gene", "n_folds", "pipeline", "tier"))
+
+
+@query("""select sample_id, round(avg(shap) filter (where gene = 50), 6) + 0.0 as g50, round(avg(shap) filter (where gene = 51), 6) + 0.0 as g51, round(avg(shap) filter (where gene = 52), 6) + 0.0 as g52 from attribution where gene between 50 and 52 group by sample_id""")
+def patient_gap_matrix(spark, d):
+    a = facts.attribution(spark, d).where("gene between 50 and 52")
+    w = a.groupBy("sample_id").pivot("gene", [50, 51, 52]).agg(F.avg("shap"))
+    return r6(w.toDF("sample_id", "g50", "g51", "g52"))
+
+
+@query("""with g as (select event_type as s, value from events where value is not null and event_type is not null), mm as (select max(s) as g1, min(s) as g2 from g), e as (select s = g1 as f, value, g1, g2 from g, mm where s in (g1, g2)),
+       r as (select f, g1, g2, rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0::double as r from e), k as (select g1, g2, sum(r) filter (where f) as s, count(*) filter (where f) as a, count(*) filter (where not f) as b from r group by all)
+       select g1 as group_1, g2 as group_2, a as n_1, b as n_2, round(s - a * (a + 1) / 2.0::double, 3) as u, round(2 * (s - a * (a + 1) / 2.0::double) / (a * b)::double - 1, 6) + 0.0 as cliffs_delta, true as flipped from k""", base=False)
+def contrast_flip(spark, d):
+    e = t(spark, d, "events")
+    wanted = e.agg(F.max("event_type").alias("group_1"), F.min("event_type").alias("group_2"))
+    f = stats.flip_contrasts(stats.pairwise(e, [], "event_type", "value").drop("z"), wanted)
+    return r6(f.withColumn("u", F.round("u", 3)))
+
+
+@query(STATES + """, n2 as (select patient_id, state, count(*) as n from fstate group by all), cs as (select patient_id, max(n) / sum(n)::double as consistency from n2 group by patient_id),
+       am as (select patient_id, core, avg(positive) as mm, stddev_samp(positive) as ss from fuzzy group by all), pp as (select patient_id, max(mm) as clearest, max(coalesce(ss, 0)) as spread from am group by patient_id)
+       select patient_id, round(clearest, 6) as clearest, round(spread, 6) as spread, round(consistency, 6) as consistency, round(round(0.4 * clearest + 0.35 * (1 - consistency) + 0.25 * spread, 9), 6) as score from pp join cs using (patient_id)
+       order by round(0.4 * clearest + 0.35 * (1 - consistency) + 0.25 * spread, 9) desc, patient_id limit 100""")
+def boundary_score(spark, d):
+    return r6(states.border_scores(_fuzzy(spark, d), states.repeat_consistency(_states(spark, d), "patient_id")))
+
+
+@query(TAXONOMY + """ select rank_state, count(ad) as n, round(avg(ad), 6) as mean, round(stddev_samp(ad), 6) as sd, round(median(ad), 6) as median, round(quantile_cont(ad, 0.25), 6) as q25, round(quantile_cont(ad, 0.75), 6) as q75,
+       round(min(ad), 6) as least, round(max(ad), 6) as most from taxonomy group by rank_state""")
+def state_descriptives(spark, d):
+    return r6(relational.describe(_taxonomy(spark, d), ["rank_state"], "abs_difference"))
