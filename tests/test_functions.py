@@ -175,3 +175,19 @@ def test_logistic_separates():
 def test_median_fill(spark):
     df = spark.createDataFrame([("g", True, 1.0), ("g", True, 3.0), ("g", False, None), ("g", False, float("inf"))], "gene string, train boolean, value double")
     assert sorted(r["value"] for r in models.training_median(df, ["gene"]).collect()) == [1.0, 2.0, 2.0, 3.0]
+
+
+def test_recommendation_confidence(spark):
+    df = spark.createDataFrame([(1.0, 0.0, 1.0, 40), (0.5, 0.5, 0.5, 5), (None, 0.5, 0.5, 5)], "c double, u double, p double, n long")
+    score, label = states.recommendation_confidence(F.col("c"), F.col("u"), F.col("p"), F.col("n"))
+    got = df.select(score.alias("s"), label.alias("l")).collect()
+    assert [(r["s"] and round(r["s"], 9), r["l"]) for r in got] == [(1.0, "high"), (0.45, "low"), (None, None)]
+
+
+def test_flipped_contrasts(spark):
+    e = spark.createDataFrame([("a", float(i)) for i in range(10)] + [("b", float(i) + 5) for i in range(12)], "g string, v double")
+    tests = stats.pairwise(e, [], "g", "v").drop("z")
+    one = tests.first()
+    back = stats.flip_contrasts(tests, spark.createDataFrame([("b", "a")], "group_1 string, group_2 string")).first()
+    assert (back["n_1"], back["n_2"], back["cliffs_delta"], back["flipped"]) == (12, 10, -one["cliffs_delta"], True)
+    assert back["u"] == 120 - one["u"]
