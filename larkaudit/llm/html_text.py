@@ -54,7 +54,7 @@ def marked(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is no part of an article."""
     if tag in ASIDE and not (tag == "header" and in_article):
         return True
-    if not attributes or tag in ("article", "main", "body", "html"):
+    if not attributes or tag in ("main", "body", "html"):
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
@@ -66,6 +66,10 @@ def marked(tag: str, attributes: str, in_article: bool) -> bool:
             for token in value.split():
                 if token in HEADERS and not in_article:
                     return True
+                if tag == "article":  # reader comments and teasers may be articles too
+                    if token in MARKS or token.startswith("comment"):
+                        return True
+                    continue
                 parts = re.split(r"[-_]+", token)
                 if parts[0] in MARKS or parts[-1] in MARKS:
                     return True
@@ -79,7 +83,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     linked = 0
     stack: list[tuple[str, bool]] = []
     aside = articles = mains = 0
-    link = False
+    link = skipped = False
     silent = ""
 
     def end_line() -> None:
@@ -97,7 +101,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             text = m.group(0)
             if text[:2] in ("<!", "<?"):
                 continue
-            if silent or aside:
+            if silent or aside or skipped:
                 continue
             parts.append(text)
             if link:
@@ -115,6 +119,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag in BLOCK:
             end_line()
+            # A paragraph need not be closed: a mark on one holds up to the next block.
+            skipped = tag == "p" and not closing and marked(tag, attributes, articles > 0)
         elif tag in ("br", "td", "th"):
             parts.append(" ")
         elif tag == "a":

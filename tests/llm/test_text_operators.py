@@ -94,10 +94,10 @@ def test_pages():
     <header class="site-header"><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
     <div class="cookie-notice">We use cookies, a very long notice about what is kept and why it is kept so long.</div>
     <article><h1>Head&nbsp;line &amp; more</h1><p>First   para
-    graph.<p>Second <b>bold<br>text</b> &#233; a &lt; b.</p><div class="ad">Buy now</div><form><label>Mail</label></form><p>End.</p>
+    graph.<p>Second <b>bold<br>text</b> &#233; a &lt; b.</p><div class="ad">Buy now</div><p class="notice">Mind this<p>Kept.</p><article class="comment"><p>Me too!</p></article><form><label>Mail</label></form><p>End.</p>
     <section class="comments"><p>Reader says so.</p></section></article>
     <aside>Side</aside><footer>&copy; X</footer></body></html>"""
-    assert html_text.main_text(page) == "Head line & more\nFirst para graph.\nSecond bold text é a < b.\nEnd."
+    assert html_text.main_text(page) == "Head line & more\nFirst para graph.\nSecond bold text é a < b.\nKept.\nEnd."
     plain = "<body><div id='menu'><a href='/'>Home</a></div><div><h1>Title</h1><p>" + "Long text here. " * 20 + "</p><p>Short.</p><p>" + "More text again. " * 20 + "</p></div><div class='sidebar'>Links</div><div class=footer>Foot</div></body>"
     assert html_text.main_text(plain).split("\n") == ["Title", ("Long text here. " * 20).strip(), "Short.", ("More text again. " * 20).strip()]
     assert [html_text.main_text(x) for x in (None, "", "<html></html>", "<article>", "<p>unclosed <")][:4] == [""] * 4
