@@ -23,7 +23,7 @@ END_BASE = 0xE000
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"[^\S\x1c-\x1f]+")
 #: Entries that a task remembers before it starts afresh; an entry takes some 250 bytes.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 PAIR_ENTRIES = 500_000
 
 
@@ -226,6 +226,13 @@ class Encoder(Remembered):
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([self.words[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in self.vocabulary.pieces(chunk)])
 
+    def forget(self) -> None:
+        """Drops what was remembered, so that an idle process holds little."""
+        self.clear()
+        self.words.clear()
+        self.vocabulary.pairs.clear()
+        self.vocabulary.edges.clear()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, chunks(text)))
 

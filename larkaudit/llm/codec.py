@@ -19,8 +19,11 @@ def encode(text: Column, path: str | None = None) -> Column:
     @F.pandas_udf(BinaryType())
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = bpe.encoder(path)
-        for texts in batches:
-            yield pd.Series([encoder.encode(t) if t else b"" for t in texts], dtype=object)
+        try:
+            for texts in batches:
+                yield pd.Series([encoder.encode(t) if t else b"" for t in texts], dtype=object)
+        finally:
+            encoder.forget()
 
     return encoded(text)
 
