@@ -174,3 +174,24 @@ def test_near_vectors(spark, monkeypatch, block):
 def test_near_vectors_of_nothing(spark):
     assert near_vectors.near_vectors(frame(spark).limit(0)).count() == 0
     assert [tuple(r) for r in near_vectors.near_vectors(frame(spark).where("vec_id = 1020")).collect()] == [(1020, 0, 1020, True)]
+
+
+def groups_of_copies(copy_noise):
+    """40 pairs of groups of 40 copies or near copies each; the groups of a pair are linked at 0.93 only."""
+    r = np.random.default_rng(21)
+    out = []
+    for _ in range(40):
+        q = np.linalg.qr(r.standard_normal((32, 2)))[0].T
+        for v in (q[0], 0.93 * q[0] + np.sqrt(1 - 0.93**2) * q[1]):
+            out.append(v + copy_noise * r.standard_normal((40, 32)))
+    return np.concatenate(out)
+
+
+@pytest.mark.parametrize("noise", [0, 1e-4])
+@pytest.mark.parametrize("part", [near_vectors.PART, 16])
+def test_links_between_groups_of_copies(spark, monkeypatch, noise, part):
+    monkeypatch.setattr(near_vectors, "PART", part)
+    x = groups_of_copies(noise)
+    rows = [(i, v.tolist(), 1, "x", "x") for i, v in enumerate(x)]
+    got = {r["vec_id"]: tuple(r)[1:] for r in near_vectors.near_vectors(spark.createDataFrame(rows, SCHEMA.replace("array<float>", "array<double>"))).collect()}
+    assert got == {i: (79, i // 80 * 80, i % 80 == 0) for i in range(len(x))}
