@@ -195,3 +195,34 @@ def test_links_between_groups_of_copies(spark, monkeypatch, noise, part):
     rows = [(i, v.tolist(), 1, "x", "x") for i, v in enumerate(x)]
     got = {r["vec_id"]: tuple(r)[1:] for r in near_vectors.near_vectors(spark.createDataFrame(rows, SCHEMA.replace("array<float>", "array<double>"))).collect()}
     assert got == {i: (79, i // 80 * 80, i % 80 == 0) for i in range(len(x))}
+
+
+def test_audit_sees_lost_pairs_beside_a_large_group(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.standard_normal(24) + 0.001 * r.standard_normal((200, 24)), np.repeat(r.standard_normal((20, 24)), 2, axis=0) + 0.01 * r.standard_normal((40, 24))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "vec_id long, v binary")
+    found = spark.createDataFrame([(i, 0 if i < 200 else i // 2 * 2) for i in range(240)], "node long, component long")
+    assert near_vectors.missed(rows, found, 240, 24) == 0
+    assert near_vectors.missed(rows, found.where("node < 200"), 240, 24) == 1
+    assert near_vectors.missed(rows, found.where("node >= 200 or node % 2 = 0"), 240, 24) > 0.1
+
+
+def test_tables_grow_with_bits():
+    for bits in (4, 12, 20):
+        same = (1 - np.arccos(0.9) / np.pi) ** bits
+        assert 1 - (1 - same) ** near_vectors.n_tables(bits) >= 0.99
+
+
+def test_what_the_graph_misses_is_found_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "n_tables", lambda bits: 1)
+    monkeypatch.setattr(near_vectors, "DESCENTS", 0)
+    monkeypatch.setattr(near_vectors, "AUDITS", 1)
+    monkeypatch.setattr(near_vectors, "BUCKET", 0.01)
+    monkeypatch.setattr(near_vectors, "PART", 64)
+    x = vectors().astype(np.float64)
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = n @ n.T
+    want = components(range(300), lambda i, j: cos[i, j] >= 0.9)
+    got = {r["vec_id"]: r["component_id"] for r in near_vectors.near_vectors(frame(spark).where("vec_id < 300")).collect()}
+    assert got == want
