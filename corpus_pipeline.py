@@ -29,13 +29,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    groups = cut(jaccard_components(docs).select("doc_id", "component_id"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    """Keeps the document with the smallest id of each group, and one of rows that are equal throughout.
+
+    Rows go by a hash of all their columns, as ids may be null or repeated.
+    """
+    named = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    groups = jaccard_components(named.withColumn("doc_id", F.col("_row"))).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    groups = cut(groups.groupBy("_row", "component_id").count().join(named.select("_row", "doc_id").distinct(), "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stay = groups.groupBy("component_id").agg(first.alias("first")).select("first._row")
+    kept = named.join(cut(groups.join(stay, "_row", "left_anti").select("_row")), "_row", "left_anti")
+    repeated = cut(groups.where("count > 1").select("_row"))
     if not repeated.isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+        kept = kept.join(repeated, "_row", "left_anti").unionByName(kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
     return kept.select(docs.columns)
 
 

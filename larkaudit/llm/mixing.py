@@ -24,6 +24,8 @@ RANGE_GROUPS = 512
 #: Slots that one row of the table of source ranges stands for.
 CELL = 4096
 SEED = 20260701
+#: Two hashes of all columns of a row, which name it where doc_id is null or repeated.
+ROW = ["_row", "_row2"]
 
 
 def div(a: Column, b: Column | int) -> Column:
@@ -87,8 +89,10 @@ def lay_out(docs: DataFrame) -> DataFrame:
     """One row a document with the place of its words in its source: doc_id, src, size, at, source_size, target, blocks, slots.
 
     Running sums go over groups of some GROUP_DOCS documents, over ranges of groups and over the
-    ranges of a source, so that a source with a third of all rows is spread over many tasks.
+    ranges of a source, so that a source with a third of all rows is spread over many tasks. The
+    columns of ROW are kept where ``docs`` has them.
     """
+    row = [c for c in ROW if c in docs.columns]
     source = F.col("source")
     sizes = cut(
         docs.select(
@@ -97,6 +101,7 @@ def lay_out(docs: DataFrame) -> DataFrame:
             F.when(source.isNull(), "null").otherwise(F.concat(F.lit("="), source)).alias("src"),
             word_count(F.col("text")).alias("size"),
             F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")).alias("mixed"),
+            *row,
         )
     )
     groups = max(1, sizes.count() // GROUP_DOCS)
@@ -115,13 +120,13 @@ def lay_out(docs: DataFrame) -> DataFrame:
         .join(targets, "src")
         .select("src", "grp", (F.col("at_grp") + F.col("at_rng")).alias("start"), "source_size", "target")
     )
-    laid = before(sizes, ["src", "grp"], ["mixed", "doc_id", "size"], "size", "at_doc").join(starts, ["src", "grp"])
+    laid = before(sizes, ["src", "grp"], ["mixed", "doc_id", "size", *row], "size", "at_doc").join(starts, ["src", "grp"])
     blocks = div(F.col("source_size") + BLOCK_WORDS - 1, BLOCK_WORDS)
     wanted = F.round(F.col("target") * blocks / F.greatest(F.col("source_size"), F.lit(1)), 0).cast("long")
     return cut(
         laid.select(
             "doc_id", "source", "src", "size", (F.col("start") + F.col("at_doc")).alias("at"), "source_size", "target",
-            blocks.alias("blocks"), F.least(blocks * MOST_REPEATS, wanted).alias("slots"),
+            blocks.alias("blocks"), F.least(blocks * MOST_REPEATS, wanted).alias("slots"), *row,
         )
     )
 
@@ -159,7 +164,7 @@ def block_spans(laid: DataFrame) -> DataFrame:
     return (
         laid.where("size > 0 and slots > 0")
         .withColumn("block", F.explode(F.sequence(div(F.col("at"), BLOCK_WORDS), div(end - 1, BLOCK_WORDS))))
-        .select("src", "block", "at", "doc_id", (begin - F.col("at")).alias("first"), (F.least(block + BLOCK_WORDS, end) - begin).alias("words"))
+        .select("src", "block", "at", "doc_id", (begin - F.col("at")).alias("first"), (F.least(block + BLOCK_WORDS, end) - begin).alias("words"), *[c for c in ROW if c in laid.columns])
     )
 
 
@@ -187,14 +192,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """Documents as the mix has them: the columns of ``docs`` (doc_id, text, lang, source, n_chars), a row for each pass.
 
     A document that a pass takes whole keeps its text; else the words taken, in order, are joined
-    by blanks. Documents of which nothing is taken go.
+    by blanks. Documents of which nothing is taken go. Each row counts for itself, whether its doc_id
+    is null or repeated; rows that are equal throughout have places of their own in the mix.
     """
-    laid = lay_out(docs)
-    spans = mix(laid).groupBy("doc_id", "pass", "at").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"))
-    spans = spans.groupBy("doc_id", "pass").agg(F.max_by(F.struct("words", "spans"), F.struct("words", "at")).alias("most")).select("doc_id", "pass", "most.*")
+    named = docs.withColumns({ROW[0]: F.xxhash64(*docs.columns), ROW[1]: F.xxhash64(F.lit(SEED), *docs.columns)})
+    spans = mix(lay_out(named)).groupBy(*ROW, "pass", "at").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     picked = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("all_words"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
-    unique = docs.dropDuplicates(["doc_id"])
-    rows = unique.join(spans, "doc_id").withColumn("all_words", words)
+    unique = named.dropDuplicates(ROW)
+    rows = unique.join(spans, ROW).withColumn("all_words", words)
     text = F.when(F.col("words") >= F.size("all_words"), F.col("text")).otherwise(picked)
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)

@@ -182,6 +182,25 @@ def test_mixed_documents(spark):
     assert abs(counts - 8000 / mixing.BLOCK_WORDS) <= 2
 
 
+def test_mixing_keeps_rows_of_null_and_repeated_ids(spark):
+    text = lambda name: " ".join(f"{name}w{k}" for k in range(200))
+    rows = [(None, text("n0")), (None, text("n1")), (7, text("s0")), (7, text("s1")), (8, text("e")), (8, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, "x", "x", "x", "x") for i, t in rows], DOCS)
+    got = mixing.mixed_documents(docs).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(rows)
+
+
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline
+
+    text = lambda name: " ".join(f"{name}w{k}" for k in range(50))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (6, text("c")), (6, text("d")), (9, text("e")), (9, text("e")), (None, text("f")), (None, text("g")), (None, text("a")), (2, ""), (2, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, "x", "x", "x", "x") for i, t in rows], DOCS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    want = [(3, text("a")), (5, text("b")), (6, text("c")), (6, text("d")), (9, text("e")), (None, text("f")), (None, text("g")), (2, ""), (2, "")]
+    assert collections.Counter(got) == collections.Counter(want)
+
+
 def test_quality(spark, odd, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     a = quality.grade_documents(docs, labels).select("doc_id", "tail_probability", "expected_grade", "selected")
