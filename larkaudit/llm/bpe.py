@@ -51,12 +51,11 @@ class Vocabulary:
         raw = spec["model"]["vocab"]
         self.token_ids = {self._internal(t): i for t, i in raw.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in raw.items()} | {i: t for t, i in self.special.items()}
         self.merges: dict[tuple[str, str], int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self._internal(a), self._internal(b)] = rank
-        size = max(self.names) + 1
+        size = max([*raw.values(), *self.special.values()]) + 1
         self.lengths = [0] * size
         self.tokens = [""] * size
         for t, i in self.token_ids.items():
@@ -238,10 +237,16 @@ class Encoder(Remembered):
 
 
 class Decoder:
-    """Token spellings laid end to end, and where each begins; the file names no decoder, so a blank joins them."""
+    """Token spellings laid end to end, and where each begins; the file names no decoder, so a blank joins them.
 
-    def __init__(self, vocabulary: Vocabulary):
-        spelt = [vocabulary.names.get(i, "").encode() + b" " for i in range(len(vocabulary.tokens))]
+    Nothing else of the vocabulary is kept.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        spelt = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
         self.blob = np.frombuffer(b"".join(spelt), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in spelt])])
 
@@ -271,7 +276,7 @@ def encoder(path: str) -> Encoder:
 
 @lru_cache(maxsize=1)
 def decoder(path: str) -> Decoder:
-    return Decoder(vocabulary(path))
+    return Decoder(path)
 
 
 def default_path() -> str:

@@ -10,22 +10,35 @@ from pyspark.sql import functions as F
 
 #: What separates words in the contracts of this package: blank, tab and the line ends of ASCII.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that Python workers get at once; with long texts the default of 10,000 takes too much memory.
-BATCH_ROWS = 1000
+#: Rows and bytes that Python workers get at once; with long texts Spark's defaults take too much memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+#: A key with more than one in HUBS of all rows is hot.
+HUBS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers get at once, for the whole session: an operator that sends texts to them calls this."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where all is one process."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not given:
         given = sc._jsc.sc().getCheckpointDir()
-        given = given.get() if given.isDefined() else tempfile.mkdtemp(prefix="larkaudit-")
+        if given.isDefined():
+            given = given.get()
+        elif sc.master.startswith("local"):
+            given = tempfile.mkdtemp(prefix="larkaudit-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(given)
     return given
@@ -37,18 +50,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: columns that a reader leaves out are not read."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = path or new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that ``written`` made, once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread_join(rows: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``told`` (written already), which has each ``key`` once and in n how many rows have it.
+
+    Keys with more than one in HUBS of all rows, fewer than HUBS whatever the size, are broadcast to
+    where their rows lie; the others are joined by shuffling, so that no task gets a hot key's rows.
+    """
+    total, most = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    bar = total // HUBS
+    if most <= bar:
+        return rows.join(told.drop("n"), key)
+    hubs = F.broadcast(told.where(F.col("n") > bar).drop("n"))
+    calm = rows.join(hubs.select(key), key, "left_anti").join(told.where(F.col("n") <= bar).drop("n"), key)
+    return calm.unionByName(rows.join(hubs, key))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Words of a text (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def hash_fraction_bits(*parts) -> Column:
-    """A well-mixed long from columns and seeds; equal in every run."""
-    return F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
