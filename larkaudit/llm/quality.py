@@ -14,49 +14,39 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from larkaudit.llm.shingles import LOWER, SPACES, mixed
+from larkaudit.llm import shingles
+from larkaudit.llm.common import bounded_batches, fresh
+from larkaudit.llm.shingles import LOWER, SPACES, mixed, running, span_hashes
 
 #: Labelled rows that a model is fitted on, at most: those whose hashed ids are smallest.
-SAMPLE_ROWS = 9_000
-#: Characters of a labelled text that are used in fitting; scoring uses whole texts.
-FIT_CHARS = 20_000
+SAMPLE_ROWS = 12_000
 BITS = 18
-PREFIX = 4
+PREFIX, SUFFIX = 4, 2
+#: Words of more bytes than LONG, as texts without blanks have them, give their runs of GRAM bytes too.
+LONG, GRAM = 24, 6
 EPOCHS = 12
 RATE = 0.5
 #: Least probability of the best grade for a text to be kept.
 LEAST_TAIL = 0.5
-#: Bytes of text whose features are made at a time.
-BLOCK_BYTES = 1 << 19
 
 
-def _hash_bytes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int, seed: int) -> np.ndarray:
-    """A hash of the first ``most`` bytes from each begin on, up to its end."""
-    h = np.full(len(begin), seed, np.uint64)
-    for k in range(most):
-        at = begin + k
-        ok = at < end
-        if not ok.any():
-            break
-        h[ok] = h[ok] * np.uint64(0x100000001B3) ^ buf[at[ok]]
-    return h
-
-
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def block_features(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature indices of all texts, and where each text's begin, with the end.
 
     A word gives itself in lower case, its first letters, its last two bytes, and a shape: how it is
     capitalised, whether digits or other signs are in it, and whether it repeats the word before.
     """
-    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     buf = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     low = np.frombuffer(buf.tobytes().translate(LOWER), np.uint8)
     space = SPACES[buf]
     before = np.concatenate([[True], space[:-1]])
     begin, end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
     size = end - begin
-    word = _hash_bytes(low, begin, end, 24, 1)
+    bounds = np.searchsorted(begin, np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]))
+    total = running(low)
+    word = span_hashes(total, begin, end)
     upper = (buf >= 65) & (buf <= 90)
     digit = (buf >= 48) & (buf <= 57)
     sign = ~(upper | digit | (low >= 97) & (low <= 122) | (buf >= 128) | space)
@@ -67,32 +57,37 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     n_upper, n_digit, n_sign = inside(upper), inside(digit), inside(sign)
     same = np.concatenate([[False], word[1:] == word[:-1]]) if len(word) else np.zeros(0, bool)
+    same[bounds[:-1][bounds[:-1] < len(word)]] = False  # the word before is another text's
     shape = np.minimum(n_upper, 3) + 4 * (n_upper == size) + 8 * np.minimum(n_digit, 2) + 24 * np.minimum(n_sign, 4) + 120 * same + 240 * np.minimum(size // 8, 3)
-    tail = np.maximum(end - 2, begin)
+    doc = np.repeat(np.arange(len(parts)), np.diff(bounds))
     columns = [
-        mixed(word, 11),
-        mixed(_hash_bytes(low, begin, end, PREFIX, 2), 12),
-        mixed(_hash_bytes(buf, tail, end, 2, 3), 13),
-        mixed(shape.astype(np.uint64), 14),
+        (doc, mixed(word, 11)),
+        (doc, mixed(span_hashes(total, begin, np.minimum(begin + PREFIX, end)), 12)),
+        (doc, mixed(span_hashes(total, np.maximum(end - SUFFIX, begin), end), 13)),
+        (doc, mixed(shape.astype(np.uint64), 14)),
     ]
-    bounds = np.searchsorted(begin, np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]))
-    hashed = (np.stack(columns) >> np.uint64(64 - BITS)).astype(np.int64)
+    long = size > LONG
+    if long.any():
+        steps = np.zeros(len(buf) + 1, np.int64)
+        steps[begin[long]] += 1
+        steps[end[long] - GRAM + 1] -= 1
+        at = np.flatnonzero(np.cumsum(steps)[:-1] > 0)
+        owner = doc[np.searchsorted(begin, at, side="right") - 1]
+        columns.append((owner, mixed(span_hashes(total, at, at + GRAM), 15)))
     # Distinct by text: the number of the text and the index in one number.
-    doc = np.repeat(np.arange(len(parts)), np.diff(bounds))
-    distinct = np.unique((doc[None, :] << BITS | hashed).ravel())
+    distinct = np.unique(np.concatenate([d << BITS | (h >> np.uint64(64 - BITS)).astype(np.int64) for d, h in columns]))
     return distinct & ((1 << BITS) - 1), np.searchsorted(distinct >> BITS, np.arange(len(parts) + 1))
 
 
-def blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
-    block, size = [], 0
-    for t in texts:
-        if block and size + len(t or "") > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append(t)
-        size += len(t or "")
-    if block:
-        yield block
+def feature_sets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of whole texts, by blocks; a long text is read piece by piece, words beyond a block by parts."""
+    for block in shingles.blocks([shingles.encoded(t) for t in texts]):
+        most = shingles.BLOCK_BYTES
+        if len(block) == 1 and len(block[0]) > most:
+            found = np.unique(np.concatenate([block_features([p[i : i + most]])[0] for p in shingles.pieces(block[0]) for i in range(0, len(p), most)]))
+            yield found, np.array([0, len(found)])
+        else:
+            yield block_features(block)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -102,10 +97,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def scores(weights: np.ndarray, texts: list[str | None]) -> np.ndarray:
     """The sum of the weights of a text's features over the fourth root of their number."""
-    out = []
-    for block in blocks(texts):
-        index, bounds = features(block)
-        out.append(_sums(weights[index], bounds) / np.maximum(np.diff(bounds), 1) ** 0.25)
+    out = [_sums(weights[index], bounds) / np.maximum(np.diff(bounds), 1) ** 0.25 for index, bounds in feature_sets(texts)]
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -113,11 +105,10 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(texts: list[str | None], grades: np.ndarray, n_grades: int = 3, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds, by AdaGrad over small batches in a fixed pseudorandom order."""
-    made = [features(b) for b in blocks([t[:FIT_CHARS] if t else t for t in texts])]
-    index = np.concatenate([i.astype(np.int32) for i, _ in made]) if made else np.zeros(0, np.int32)
-    sizes = np.concatenate([np.diff(b) for _, b in made]) if made else np.zeros(0, np.int64)
+def fit(found: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds from the feature indices of each text, by AdaGrad over small batches in a fixed pseudorandom order."""
+    index = np.concatenate([np.zeros(0, np.int32), *found])
+    sizes = np.array([len(f) for f in found], np.int64)
     start = np.concatenate([[0], np.cumsum(sizes)])
     scale = np.maximum(sizes, 1) ** -0.25
     weights, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
@@ -155,17 +146,27 @@ def fit(texts: list[str | None], grades: np.ndarray, n_grades: int = 3, epochs:
     return weights.astype(np.float32), np.concatenate([first, first + np.cumsum(np.exp(gaps))])
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Fits on at most ``sample_rows`` labelled rows; the model that comes back has 2 ** BITS weights whatever the input."""
+def fit_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """Fits on at most ``sample_rows`` labelled rows; the model that comes back has 2 ** BITS weights whatever the input.
+
+    Features of whole texts are made where the texts lie; the task that fits gets their indices only.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     mark = F.xxhash64(F.lit("sample"), "doc_id")
     known = known.select("doc_id", grade.alias("grade"), mark.alias("mark")).orderBy("mark", "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).join(F.broadcast(known), "doc_id").select(F.lit(0).alias("all"), "doc_id", "text", "grade")
+
+    @F.pandas_udf(BinaryType())
+    def indices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            made = [index.astype(np.int32)[a:b].tobytes() for index, bounds in feature_sets(texts.tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pd.Series(made, dtype=object)
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.lit(0).alias("all"), "doc_id", "grade", indices("text").alias("found"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-        weights, theta = fit(pdf["text"].tolist(), pdf["grade"].to_numpy())
+        pdf = pdf.sort_values(["doc_id", "found"]).drop_duplicates("doc_id")
+        weights, theta = fit([np.frombuffer(x, np.int32) for x in pdf["found"]], pdf["grade"].to_numpy(), epochs=epochs)
         return pd.DataFrame({"weights": [weights.tobytes()], "theta": [theta.tolist()]})
 
     model = rows.groupBy("all").applyInPandas(one, "weights binary, theta array<double>").first()
@@ -174,13 +175,15 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     return np.frombuffer(bytes(model["weights"]), np.float32), np.array(model["theta"])
 
 
-def grade_documents(docs: DataFrame, labels: DataFrame, least: float = LEAST_TAIL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def grade_documents(docs: DataFrame, labels: DataFrame, least: float = LEAST_TAIL, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> DataFrame:
     """``docs`` (doc_id, text, ...) with expected_grade, tail_probability (of the best grade) and selected.
 
     Null and empty texts have no features and get the score 0. Without labelled rows every text is
-    scored alike. Repeated rows are scored each; columns of those names are replaced.
+    scored alike. Repeated rows are scored each, whatever their ids; of rows that share a labelled id
+    one is fitted on. An empty table gives no rows; columns of the three names are replaced, others kept.
     """
-    weights, theta = fit_model(docs, labels, sample_rows)
+    bounded_batches(docs.sparkSession)
+    weights, theta = fit_model(docs, labels, sample_rows, epochs)
     model = docs.sparkSession.sparkContext.broadcast((weights, theta))
 
     @F.pandas_udf("expected double, tail double")
@@ -190,10 +193,9 @@ def grade_documents(docs: DataFrame, labels: DataFrame, least: float = LEAST_TAI
             above = sigmoid(scores(w, texts.tolist())[:, None] - t[None, :])
             yield pd.DataFrame({"expected": above.sum(axis=1), "tail": above[:, -1]})
 
-    out = docs.withColumn("_graded", graded("text"))
-    return (
-        out.withColumn("expected_grade", F.col("_graded.expected"))
-        .withColumn("tail_probability", F.col("_graded.tail"))
-        .withColumn("selected", F.col("tail_probability") >= least)
-        .drop("_graded")
-    )
+    new = ["expected_grade", "tail_probability", "selected"]
+    kept = [F.col(c) for c in docs.columns if c not in new]
+    name = fresh(docs, "graded")
+    out = docs.select(*kept, graded("text").alias(name))
+    expected, tail = F.col(name)["expected"], F.col(name)["tail"]
+    return out.select(*kept, expected.alias(new[0]), tail.alias(new[1]), (tail >= least).alias(new[2]))
