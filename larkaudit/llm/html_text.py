@@ -1,28 +1,40 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped so that every block element gives a line; menus, notices, forms and the like
-leave blank lines. Text lengths are summed over sliding windows of lines. The text surges where a
-window holds enough and dives where windows are empty again; what lies between is kept, except what
-is marked as no part of the article. Where the page marks its article, the windows look at that.
+Markup is stripped so that every block element gives a line. Lines are weighed by their text outside
+links, and by marks: menus, notices, forms and the like weigh nothing, and where a page marks its
+article, lines in it weigh more and others little. Weights are summed over sliding windows of lines.
+The text surges where a window reaches a share of the page's heaviest one and dives where windows
+hold next to nothing; what lies between is kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Lines in a window, and the characters in one from which text surges where no article is marked.
+from larkaudit.llm.common import bounded_batches
+
+#: Lines in a window.
 WINDOW = 3
-SURGE = 80
+#: The text surges at windows of this weight, or of this share of the heaviest window if that is less.
+SURGE, SURGE_SHARE = 80.0, 0.25
+#: It dives below this share of the surge.
+DIVE_SHARE = 1 / 16
+#: Added to the weight of a line of the page's article, and what the weight of other lines is divided by then.
+ARTICLE_WEIGHT, OUTSIDE = 80.0, 64.0
 
+#: Elements whose content is no markup and no text of the page. Fixed values.
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 #: Elements whose content is not text of the page. Fixed values.
-SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "select", "textarea", "button", "canvas", "audio", "video"}
+SILENT = {"noscript", "template", "svg", "object", "select", "button", "canvas", "audio", "video"}
 #: Elements that hold no part of an article. Fixed values.
 ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
 #: Elements that begin a line. Fixed values.
@@ -43,11 +55,97 @@ MARKS = {
     "subscribe", "subscription", "signup", "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "pagination",
     "pager", "toolbar", "login", "search", "skip", "teaser", "outbrain", "taboola",
 }
+#: Words that may stand beside a mark in a class or id name; with any other word the name is no mark. Fixed values.
+LAYOUT = {
+    "area", "article", "aside", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "entry", "footer", "form",
+    "global", "header", "inner", "item", "items", "left", "link", "links", "list", "main", "mobile", "outer", "page", "panel", "post", "posts", "primary",
+    "right", "row", "secondary", "section", "side", "site", "slot", "small", "sticky", "text", "thread", "top", "unit", "user", "wrap", "wrapper",
+}
 #: Class and id names that mark a page's header. Fixed values.
 HEADERS = {"header", "site-header", "page-header", "top-header", "main-header", "global-header", "topbar", "top-bar"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 ATTRIBUTE = re.compile(r"([a-zA-Z:_-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+STOP = re.compile("[>\"']")
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW | SILENT}
+
+
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters of it within links
+    inside: int  # 2: in an article, 1: in a main part
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
+    """(tag, attributes, whether it closes) and ("", text, False) in page order, in one pass; comments and silent elements are left out.
+
+    Reading is linear in the page's length: what was sought once and is not there is not sought again.
+    """
+    at, missing = 0, set()
+
+    def find(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        found = page.find(what, start)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while at < len(page):
+        lt = find("<", at)
+        if lt < 0:
+            yield "", page[at:], False
+            return
+        if lt > at:
+            yield "", page[at:lt], False
+        if page.startswith("<!--", lt):
+            stop = find("-->", lt + 4)
+            at = len(page) if stop < 0 else stop + 3
+            continue
+        if page.startswith("<![CDATA[", lt):
+            stop = find("]]>", lt)
+            at = len(page) if stop < 0 else stop + 3
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            stop = find(">", lt)
+            at = len(page) if stop < 0 else stop + 1
+            continue
+        if find(">", lt) < 0:
+            yield "", page[lt:], False
+            return
+        m = TAG.match(page, lt)
+        if m is None:
+            yield "", "<", False
+            at = lt + 1
+            continue
+        stop = m.end()
+        while True:
+            s = STOP.search(page, stop)
+            if s is None:  # all that is left lies in quotes
+                stop = page.find(">", m.end())
+                break
+            stop = s.start()
+            if s.group() == ">":
+                break
+            close = find(s.group(), stop + 1)
+            stop = close + 1 if close >= 0 else stop + 1
+        tag, attributes, closing = m.group(1).lower(), page[m.end() : stop], page[lt + 1] == "/"
+        at = stop + 1
+        if not closing and (tag in RAW or tag in SILENT and not attributes.endswith("/")):
+            end = None if tag in missing else END[tag].search(page, at)
+            if end is not None:
+                at = end.start()
+            else:
+                missing.add(tag)
+                if tag in RAW:
+                    return
+        yield tag, attributes, closing
+
+
+def is_mark(name: str) -> bool:
+    """Whether a class or id name holds a word of MARKS, and nothing that makes it another thing's name."""
+    parts = [p for p in re.split(r"[-_]+", name) if p]
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in LAYOUT or p.isdigit() for p in parts)
 
 
 def marked(tag: str, attributes: str, in_article: bool) -> bool:
@@ -69,53 +167,35 @@ def marked(tag: str, attributes: str, in_article: bool) -> bool:
                 if tag == "article":  # reader comments and teasers may be articles too
                     if token in MARKS or token.startswith("comment"):
                         return True
-                    continue
-                parts = re.split(r"[-_]+", token)
-                if parts[0] in MARKS or parts[-1] in MARKS:
+                elif is_mark(token):
                     return True
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters of it within links, in an article, in a main part) by line; what is no part of an article gives blank lines."""
-    lines: list[tuple[str, int, bool, bool]] = []
+def page_lines(page: str) -> list[Line]:
+    """The lines of a page that are not marked as no part of an article."""
+    lines: list[Line] = []
     parts: list[str] = []
-    linked = 0
     stack: list[tuple[str, bool]] = []
-    aside = articles = mains = 0
+    opened: Counter[str] = Counter()
+    linked = aside = articles = mains = 0
     link = skipped = False
-    silent = ""
 
     def end_line() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, linked, articles > 0, mains > 0))
+                lines.append(Line(text, linked, 2 if articles else 1 if mains else 0))
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        closing, tag, attributes = m.group(1), m.group(2), m.group(3)
-        if tag is None:
-            text = m.group(0)
-            if text[:2] in ("<!", "<?"):
-                continue
-            if silent or aside or skipped:
-                continue
-            parts.append(text)
-            if link:
-                linked += len(text.strip())
-            continue
-        tag = tag.lower()
-        if silent:
-            if closing and tag == silent:
-                silent = ""
-            continue
-        if tag in SILENT:
-            if not closing and not attributes.endswith("/"):
-                silent = tag
-            parts.append(" ")
+    for tag, attributes, closing in tokens(page):
+        if not tag:
+            if not (aside or skipped):
+                parts.append(attributes)
+                if link:
+                    linked += len(attributes.strip())
             continue
         if tag in BLOCK:
             end_line()
@@ -130,15 +210,16 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if not closing:
             off = marked(tag, attributes, articles > 0)
             if off:
-                aside += 1
                 end_line()
-                lines.extend([("", 0, articles > 0, mains > 0)] * WINDOW)
+            aside += off
             stack.append((tag, off))
+            opened[tag] += 1
             articles += tag == "article" and not aside
             mains += tag == "main" and not aside
-        elif any(t == tag for t, _ in stack):
+        elif opened[tag]:
             while True:
                 t, off = stack.pop()
+                opened[t] -= 1
                 articles -= t == "article" and not aside
                 mains -= t == "main" and not aside
                 aside -= off
@@ -148,41 +229,40 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return lines
 
 
-def silent_blocks(page: str) -> str:
-    """The page without the content of silent elements, in which markup is no markup."""
-    return re.sub(r"(?is)<(script|style|noscript|template|svg|textarea|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", " ", re.sub(r"(?s)<!--.*?(?:-->|\Z)", " ", page))
+def weights(lines: list[Line]) -> list[float]:
+    best = max((x.inside for x in lines), default=0)
+    if not best:
+        return [float(max(len(x.text) - x.linked, 0)) for x in lines]
+    return [len(x.text) + ARTICLE_WEIGHT if x.inside == best else max(len(x.text) - x.linked, 0) / OUTSIDE for x in lines]
 
 
-def spans(lengths: list[int], surge: int) -> list[tuple[int, int]]:
-    """Line ranges between a surge and the dive after it."""
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    found, begin, end = [], -1, 0
-    for i, total in enumerate(sums):
+def spans(weight: list[float]) -> list[tuple[int, int]]:
+    """Line ranges between a surge and the dive after it, without lines of little weight at their ends."""
+    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
+    surge = min(SURGE, SURGE_SHARE * max(sums, default=0.0))
+    if surge <= 0:
+        return []
+    found, begin = [], -1
+    for i, total in enumerate([*sums, 0.0]):
         if begin < 0 and total >= surge:
-            begin, end = i, i + WINDOW
-        elif begin >= 0 and total == 0:
+            begin = i
+        elif begin >= 0 and total < surge * DIVE_SHARE:
             found.append((begin, i))
             begin = -1
-        if begin >= 0 and total:
-            end = i + WINDOW
-    if begin >= 0:
-        found.append((begin, min(end, len(lengths))))
-    return found
+    out = []
+    for a, b in found:
+        while weight[a] < surge * DIVE_SHARE / 2:
+            a += 1
+        while weight[b - 1] < surge * DIVE_SHARE / 2:
+            b -= 1
+        out.append((a, b))
+    return out
 
 
 def main_text(page: str | None) -> str:
-    """The lines of a page's article, joined by line ends; empty for null and for pages without one."""
-    if not page:
-        return ""
-    lines = page_lines(silent_blocks(page))
-    if any(text and article for text, _, article, _ in lines):
-        lines, surge = [x if x[2] else ("", 0, False, False) for x in lines], 1
-    elif any(text and main for text, _, _, main in lines):
-        lines, surge = [x if x[3] else ("", 0, False, False) for x in lines], 1
-    else:
-        lines, surge = [x if 2 * x[1] <= len(x[0]) else ("", 0, False, False) for x in lines], SURGE
-    kept = [lines[i][0] for a, b in spans([len(x[0]) for x in lines], surge) for i in range(a, b) if lines[i][0]]
-    return "\n".join(kept)
+    """The lines of a page's article, joined by line ends; empty for null and for pages without text outside links and marks."""
+    lines = page_lines(page) if page else []
+    return "\n".join([lines[i].text for a, b in spans(weights(lines)) for i in range(a, b)])
 
 
 def extracted(page: Column) -> Column:
@@ -198,6 +278,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of ``pages`` (page_id, url, html, ...).
 
     A null or empty html gives an empty text; null ids and urls stay; repeated rows each give a
-    row; extra columns are ignored.
+    row; an empty table gives none; extra columns are ignored. Pages are read in one pass, in time
+    linear in their length, however broken their markup is.
     """
+    bounded_batches(pages.sparkSession)
     return pages.select("page_id", "url", extracted(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -2,152 +2,190 @@
 
 The merge result of a growing pre-token is fixed by the last token of each of its prefixes: the
 last token at a place is the one vocabulary token ending there that is compatible with the last
-token where it begins. Only places where some token may still begin matter, that is the suffixes
-of what was read that are proper prefixes of a token. A state is therefore the longest such suffix
-with the last tokens and relative counts at its places: finitely many. States are compiled when
+token where it begins. Only places from which some token may still go on matter, that is the
+suffixes of what was read that are proper prefixes of a token. A state is therefore the longest such
+suffix with the last tokens and relative counts at those places: finitely many. States are compiled when
 first met; each transition is annotated with the tokens that it adds to the count (it may take
-some back). The symbol that ends a word leads back to the start, so a chunk of text maps an open
-beginning to an open end with a fixed count between, and such maps compose associatively.
+some back). The symbol that ends a word leads back to the start.
+
+A text is one string of symbols, cut into chunks of equal length wherever that falls. A chunk's
+state map tells for states of entry where it leads and how many tokens it adds; maps compose by a
+parallel prefix scan. A map holds the entries that are likely, found by reading on from the start
+state some symbols before the chunk; an entry that it lacks is read beside a known one until both
+are in one state, from where on they agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from larkaudit.llm import bpe
+from larkaudit.llm.common import bounded_batches
 
-#: States that a process keeps before it compiles afresh; one takes about a kilobyte.
+#: States that a process keeps before it compiles afresh, between texts; one takes about a kilobyte.
 MAX_STATES = 100_000
-#: Characters in a chunk of a long text.
-CHUNK = 1 << 16
+#: Bytes in a chunk, and before it from which its likely entry is read.
+CHUNK, LEAD = 2048, 64
 
 
-class Transducer:
-    """Deterministic, compiled lazily; state 0 is the start of a word."""
+class State(dict):
+    """Transitions by symbol, (state, tokens added) each; compiled when first asked for."""
 
-    def __init__(self, vocabulary: bpe.Vocabulary, max_states: int = MAX_STATES):
-        self.vocabulary, self.max_states = vocabulary, max_states
-        self.open = {""} | {t[:n] for t in vocabulary.token_ids for n in range(1, len(t))}
-        self._reset()
-
-    def _reset(self) -> None:
-        start = ("", (-1,), (0,))
-        self.numbers = {start: 0}
-        self.states = [start]
-        self.arcs: list[dict[str, tuple[int, int]]] = [{}]
-
-    def _compile(self, state: int, symbol: str) -> tuple[int, int]:
-        v = self.vocabulary
-        suffix, last, count = self.states[state]  # last[k], count[k]: k symbols before the end of what was read
-        text = suffix + symbol
-        for length in range(1, len(text) + 1):
-            token = v.token_ids.get(text[-length:], -1)
-            if token >= 0 and v.compatible(last[length - 1], token):
+    __slots__ = ("machine", "suffix", "places")
+
+    def __init__(self, machine: Transducer, suffix: str, places: tuple[tuple[int, int, int], ...]):
+        super().__init__()
+        self.machine, self.suffix = machine, suffix
+        self.places = places  # (k, last token, count relative to the end) at k symbols before the end of what was read
+
+    __hash__ = object.__hash__
+
+    def __eq__(self, other: object) -> bool:
+        return self is other
+
+    def __missing__(self, symbol: str) -> tuple[State, int]:
+        machine, text = self.machine, self.suffix + symbol
+        tokens, compatible = machine.vocabulary.token_ids, machine.vocabulary.compatible
+        for k, last, count in self.places:
+            token = tokens.get(text[-k - 1 :], -1)
+            if token >= 0 and compatible(last, token):
                 break
         else:
             raise ValueError("the vocabulary lacks a byte symbol")
-        added = count[length - 1] + 1
+        added = count + 1
         if ord(symbol) >= bpe.END_BASE:
-            to = 0
+            arc = machine.start, added
         else:
-            while text not in self.open:
-                text = text[1:]
-            n = len(text)
-            key = (text, (token, *last[:n]), (0, *[c - added for c in count[:n]]))
-            to = self.numbers.get(key, -1)
-            if to < 0:
-                to = self.numbers[key] = len(self.states)
-                self.states.append(key)
-                self.arcs.append({})
-        self.arcs[state][symbol] = to, added
-        return to, added
-
-    def count(self, symbols: str) -> int:
-        """Tokens of one pre-token."""
-        if len(self.states) > self.max_states:
-            self._reset()
-        state = total = 0
-        arcs = self.arcs
-        for s in symbols:
-            arc = arcs[state].get(s)
-            state, added = self._compile(state, s) if arc is None else arc
-            total += added
-        return total
-
-
-class Counter(bpe.Remembered):
-    """Tokens of texts without white space."""
-
-    def __init__(self, vocabulary: bpe.Vocabulary):
-        super().__init__(self._chunk)
-        self.vocabulary, self.transducer = vocabulary, Transducer(vocabulary)
-        self.words = bpe.Remembered(lambda word: self.transducer.count(vocabulary.word_symbols(word)))
-
-    def _chunk(self, text: str) -> int:
-        return sum([self.words[x] if isinstance(x, str) else 1 for x in self.vocabulary.pieces(text)])
-
-
-class StateMap(NamedTuple):
-    """What a chunk does to whatever state it is entered in.
-
-    ``head`` is read on from the entry state up to the first white space, which leads to the start
-    state; ``count`` tokens follow; ``tail`` is what was read since the last white space, that is
-    the state at the end. Without white space there is only a head.
-    """
+            begun = machine.open
+            places = ((0, token, 0), *[(k + 1, last, c - added) for k, last, c in self.places if text[-k - 1 :] in begun])
+            length = places[-1][0]
+            arc = machine.state(text[-length:] if length else "", places), added
+        self[symbol] = arc
+        return arc
 
-    head: str
-    count: int
-    tail: str | None
 
+class Transducer:
+    """Deterministic, compiled lazily; ``start`` is the start of a word."""
 
-def state_map(text: str, counter: Counter) -> StateMap:
-    words = bpe.chunks(text)
-    if not words:
-        return StateMap("", 0, "" if text else None)
-    first = "" if bpe.SPACE.match(text) else words[0]
-    if first and len(words) == 1 and len(first) == len(text):
-        return StateMap(first, 0, None)
-    last = "" if bpe.SPACE.match(text[-1]) else words[-1]
-    inner = words[bool(first) : len(words) - bool(last)]
-    return StateMap(first, sum(map(counter.__getitem__, inner)), last)
+    def __init__(self, vocabulary: bpe.Vocabulary, max_states: int = MAX_STATES):
+        self.vocabulary, self.max_states = vocabulary, max_states
+        self.open = {""} | {t[:n] for t in vocabulary.token_ids for n in range(1, len(t))}
+        #: Code points of the symbols of bytes, and of bytes that end a word.
+        self.table = np.array([*map(ord, vocabulary.symbols), *(bpe.END_BASE + ord(s) for s in vocabulary.symbols)], "<u2")
+        self.reset()
+
+    def reset(self) -> None:
+        self.states: dict[tuple, State] = {}
+        self.start = self.state("", ((0, -1, 0),))
+
+    def state(self, suffix: str, places: tuple[tuple[int, int, int], ...]) -> State:
+        found = self.states.get((suffix, places))
+        if found is None:
+            found = self.states[suffix, places] = State(self, suffix, places)
+        return found
+
+    def symbols(self, words: bytes, begin: int, end: int) -> str:
+        """The symbols of bytes begin .. end - 1 of words that are joined by blanks."""
+        part = np.frombuffer(words[begin : end + 1] + b" ", np.uint8)
+        ends = part[1 : end - begin + 1] == 32
+        part = part[: end - begin]
+        return self.table[(part.astype(np.int16) + 256 * ends)[part != 32]].tobytes().decode("utf-16-le")
+
+
+def read(state: State, symbols: str) -> tuple[State, int]:
+    total = 0
+    for s in symbols:
+        state, added = state[s]
+        total += added
+    return state, total
+
+
+class StateMap:
+    """What a chunk, or a run of chunks, does to the state in which it is entered: state to (state, tokens added)."""
+
+    __slots__ = ("arcs", "symbols", "parts")
+
+    def __init__(self, arcs: dict[State, tuple[State, int]], symbols=None, parts: tuple[StateMap, StateMap] | None = None):
+        self.arcs, self.symbols, self.parts = arcs, symbols, parts
+
+    def through(self, entry: State) -> tuple[State, int]:
+        """Where ``entry`` leads; an entry not met before is added to the map."""
+        found = self.arcs.get(entry)
+        if found is None:
+            if self.parts is not None:
+                middle, first = self.parts[0].through(entry)
+                last, second = self.parts[1].through(middle)
+                found = last, first + second
+            else:
+                found = self._beside(entry)
+            self.arcs[entry] = found
+        return found
+
+    def _beside(self, entry: State) -> tuple[State, int]:
+        """Reads from ``entry`` and from a known entry until both are in one state."""
+        known, (last, total) = next(iter(self.arcs.items()))
+        more = 0
+        for s in self.symbols():
+            entry, a = entry[s]
+            known, b = known[s]
+            more += a - b
+            if entry is known:
+                return last, total + more
+        return entry, total + more
+
+
+def chunk_maps(words: bytes, machine: Transducer, chunk: int) -> list[StateMap]:
+    """The state maps of chunks of words that are joined by blanks, each with the entry that is likely."""
+    maps = []
+    for at in range(0, len(words), chunk):
+        def symbols(at: int = at) -> str:
+            return machine.symbols(words, at, min(at + chunk, len(words)))
+
+        entry = read(machine.start, machine.symbols(words, max(0, at - LEAD), at))[0]
+        maps.append(StateMap({entry: read(entry, symbols())}, symbols))
+    return maps
 
 
-def compose(a: StateMap, b: StateMap, counter: Counter) -> StateMap:
+def compose(a: StateMap, b: StateMap) -> StateMap:
     """a, then b."""
-    if a.tail is None:
-        return StateMap(a.head + b.head, b.count, b.tail)
-    if b.tail is None:
-        return StateMap(a.head, a.count, a.tail + b.head)
-    met = a.tail + b.head
-    return StateMap(a.head, a.count + (counter[met] if met else 0) + b.count, b.tail)
+    arcs = {}
+    for entry, (middle, first) in a.arcs.items():
+        last, second = b.through(middle)
+        arcs[entry] = last, first + second
+    return StateMap(arcs, parts=(a, b))
 
 
-def prefix_scan(maps: list[StateMap], counter: Counter) -> list[StateMap]:
+def prefix_scan(maps: list[StateMap]) -> list[StateMap]:
     """The map of each leading run of chunks, in a number of rounds that grows with the logarithm of theirs."""
     step = 1
     while step < len(maps):
-        maps = [compose(maps[i - step], m, counter) if i >= step else m for i, m in enumerate(maps)]
+        maps = [compose(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
         step *= 2
     return maps
 
 
-def count_text(text: str, counter: Counter, chunk: int = CHUNK) -> int:
-    if len(text) <= chunk:
-        return sum(map(counter.__getitem__, bpe.chunks(text)))
-    whole = prefix_scan([state_map(text[i : i + chunk], counter) for i in range(0, len(text), chunk)], counter)[-1]
-    return whole.count + sum(counter[x] for x in (whole.head, whole.tail) if x)
+def count_text(text: str, machine: Transducer, chunk: int | None = None) -> int:
+    """Tokens of a text. Special strings are a token each; the words between them, joined by blanks, go through the machine."""
+    if len(machine.states) > machine.max_states:
+        machine.reset()
+    pieces = machine.vocabulary.pieces(text)
+    special = sum(1 for p in pieces if not isinstance(p, str))
+    words = " ".join([p for p in pieces if isinstance(p, str)] if special else pieces).encode()
+    del pieces
+    scanned = prefix_scan(chunk_maps(words, machine, chunk or CHUNK))
+    return special + (scanned[-1].through(machine.start)[1] if scanned else 0)
 
 
 @lru_cache(maxsize=1)
-def _counter(path: str) -> Counter:
-    return Counter(bpe.vocabulary(path))
+def _machine(path: str) -> Transducer:
+    return Transducer(bpe.vocabulary(path))
 
 
 def token_count(text: Column, path: str | None = None) -> Column:
@@ -156,9 +194,9 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
     @F.pandas_udf(LongType())
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = _counter(path)
+        machine = _machine(path)
         for texts in batches:
-            yield pd.Series([count_text(t, counter) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([count_text(t, machine) if t else 0 for t in texts], dtype="int64")
 
     return counted(text)
 
@@ -167,9 +205,11 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     """doc_id, n_bytes, n_tokens and over_limit for each row of ``docs`` (doc_id, text, ...).
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows each give a row; a null doc_id
-    stays null; an empty table gives no rows; other columns are ignored. Long texts are cut into
-    chunks whose state maps are composed, so nothing depends on where a word is cut.
+    stays null; an empty table gives no rows; other columns are ignored. Every text is cut into
+    chunks whose state maps are composed, so nothing depends on where a word is cut, and memory
+    grows in proportion to the text, white space or not.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
