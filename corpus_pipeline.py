@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkaudit.llm.codec import encode_documents
-from larkaudit.llm.common import cut, table, written
+from larkaudit.llm.common import cut, discard, fresh, new_path, table, written
 from larkaudit.llm.jaccard import jaccard_components
 from larkaudit.llm.line_dedup import clean_lines
 from larkaudit.llm.mixing import mixed_documents
@@ -31,17 +31,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group, and one of rows that are equal throughout.
 
-    Rows go by a hash of all their columns, as ids may be null or repeated.
+    Rows go by two hashes of all their columns, as ids may be null or repeated; rows without words
+    are in no group, and all of them stay.
     """
-    named = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    groups = jaccard_components(named.withColumn("doc_id", F.col("_row"))).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
-    groups = cut(groups.groupBy("_row", "component_id").count().join(named.select("_row", "doc_id").distinct(), "_row"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    stay = groups.groupBy("component_id").agg(first.alias("first")).select("first._row")
-    kept = named.join(cut(groups.join(stay, "_row", "left_anti").select("_row")), "_row", "left_anti")
-    repeated = cut(groups.where("count > 1").select("_row"))
+    row = fresh(docs, "_row")
+    both = F.concat_ws(".", F.hex(F.xxhash64(*docs.columns)), F.hex(F.xxhash64(F.lit("row"), *docs.columns)))
+    named = docs.withColumn(row, both)
+    groups = jaccard_components(named.select(F.col(row).alias("doc_id"), "text"), "string").where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
+    groups = cut(groups.groupBy(row, "component_id").count().join(named.select(row, "doc_id").distinct(), row))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))
+    stay = groups.groupBy("component_id").agg(first.alias("first")).select(f"first.{row}")
+    kept = named.join(cut(groups.join(stay, row, "left_anti").select(row)), row, "left_anti")
+    repeated = cut(groups.where("count > 1").select(row))
     if not repeated.isEmpty():
-        kept = kept.join(repeated, "_row", "left_anti").unionByName(kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
+        kept = kept.join(repeated, row, "left_anti").unionByName(kept.join(repeated, row, "left_semi").dropDuplicates([row]))
     return kept.select(docs.columns)
 
 
@@ -51,10 +54,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and what they decode to, as digests."""
-    return encode_documents(docs.select("doc_id", "source", "text")).select(
-        "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
-    )
+    """Token ids of each text, and the digest of what they decode to; a null or empty text has no ids."""
+    return encode_documents(docs.select("doc_id", "source", "text")).select("doc_id", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
@@ -69,7 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        path = new_path(spark)
+        docs = written(stage(spark, docs, sf_dir), path)
+        if before is not None:
+            discard(spark, before)  # the table that the stage has read
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
