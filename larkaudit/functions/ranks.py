@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkaudit.functions.lineage import cut as cut_lineage
+
 RANGES = 64
 
 
@@ -30,6 +32,8 @@ def _cumulated(counts: DataFrame, value: str, keys: list[str]) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "avg_rank", total: str = "rank_n") -> DataFrame:
     """Adds the average rank of ``value`` within ``keys`` and the number of ranked rows; nulls get null."""
     keys = keys or []
+    if not keys:
+        df = cut_lineage(df)  # read for range bounds, ranks, totals and the join: once is enough to make it
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("same"))
     ranked = _cumulated(counts, value, keys)
     totals = counts.groupBy(*keys).agg(F.sum("same").alias(total))

@@ -12,10 +12,10 @@ def permutations(n: int) -> F.Column:
     return F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")))
 
 
-def shuffled_members(genes: DataFrame, mapped: DataFrame, n_genes: int, n: int, by_gene: int = 37, by_perm: int = 11) -> DataFrame:
-    """perm, gene, m: whether the gene that takes a gene's place in a permutation is mapped; ``by_gene`` and n_genes have no common divisor."""
+def shuffled_members(genes: DataFrame, mapped: DataFrame, n_genes: int, n: int) -> DataFrame:
+    """perm, gene, m: whether the gene that takes a gene's place in a permutation is mapped; n_genes is a power of two, so odd factors permute."""
     g = genes.select("gene").distinct().withColumn("perm", permutations(n))
-    g = g.withColumn("as_gene", (F.col("gene") * by_gene + F.col("perm") * by_perm) % n_genes)
+    g = g.withColumn("as_gene", (F.col("gene") * (2 * ((F.col("perm") * 29) % (n_genes // 2)) + 1) + F.col("perm") * 11) % n_genes)
     m = mapped.select(F.col("gene").alias("as_gene")).distinct().withColumn("m", F.lit(1.0))
     return g.join(m, "as_gene", "left").select("perm", "gene", F.coalesce("m", F.lit(0.0)).alias("m"))
 

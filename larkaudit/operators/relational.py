@@ -48,12 +48,6 @@ def collapse_mean(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias(value))
 
 
-def collapse_by_variance(df: DataFrame, name: str, row: str, value: str) -> DataFrame:
-    """Of the rows of one name, the one whose values vary most, ties by row."""
-    v = df.groupBy(name, row).agg(F.var_samp(value).alias("variance"))
-    return first_per_key(v, [name], F.desc_nulls_last("variance"), F.asc(row))
-
-
 def densify(facts: DataFrame, axes: list[DataFrame], keys: list[str], measures: list[str]) -> DataFrame:
     """All combinations of the axes, each a short list of distinct values, with 0 where no fact is."""
     grid = axes[0]
@@ -83,8 +77,8 @@ def fallback_join(left: DataFrame, right: DataFrame, key: str, least: int = 100)
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, sd, median, q25, q75, least, most by keys, null keys kept."""
     return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.median(value).alias("median"),
-        F.percentile(value, 0.25).alias("q25"), F.percentile(value, 0.75).alias("q75"), F.min(value).alias("least"), F.max(value).alias("most"),
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.round(F.median(value), 9).alias("median"),
+        F.round(F.percentile(value, 0.25), 9).alias("q25"), F.round(F.percentile(value, 0.75), 9).alias("q75"), F.min(value).alias("least"), F.max(value).alias("most"),
     )
 
 

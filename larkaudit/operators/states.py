@@ -98,24 +98,34 @@ def repeat_consistency(states: DataFrame, key: str) -> DataFrame:
     return g.withColumn("tier", F.when(F.col("consistency") >= 0.8, "stable").when(F.col("consistency") >= 0.6, "moderately_stable").otherwise("unstable"))
 
 
-def anchors(members: DataFrame, k: int = 25) -> DataFrame:
-    """By core the k patients with the clearest mean membership: at least 0.75 and more than their next."""
-    m = members.groupBy("patient_id", "core").agg(F.avg("positive").alias("membership"), F.stddev_samp("positive").alias("sd"))
+def anchors(members: DataFrame, consistency: DataFrame, reliability: DataFrame, k: int = 25) -> DataFrame:
+    """By core the k patients that stand for it: membership of 0.75 or more, consistency of 0.6, uncertainty of 0.15 at most, above all other cores.
+
+    ``members`` patient_id, core, magnitude by repeat; ``consistency`` patient_id, consistency;
+    ``reliability`` core, mean_rho. Score: .35 membership, .25 consistency, .2 certainty, .15 margin, .05 reliability over the largest.
+    """
+    m = members.groupBy("patient_id", "core").agg(F.round(F.avg("magnitude"), 9).alias("membership"), F.round(F.coalesce(F.stddev_samp("magnitude"), F.lit(0.0)), 9).alias("sd"))
     best = Window.partitionBy("patient_id").orderBy(F.desc("membership"), "core")
     m = m.withColumn("_k", F.row_number().over(best)).withColumn("_next", F.max(F.when(F.col("_k") == 2, F.col("membership"))).over(Window.partitionBy("patient_id")))
-    m = m.where("_k = 1").withColumn("dominance", F.col("membership") - F.coalesce("_next", F.lit(0.0)))
-    m = m.where("membership >= 0.75 and dominance > 0")
-    m = m.withColumn("score", 0.6 * F.col("membership") + 0.25 * F.col("dominance") - 0.15 * F.coalesce("sd", F.lit(0.0))).withColumn("score", F.round("score", 9))
+    m = m.where("_k = 1").withColumn("dominance", F.round(F.col("membership") - F.coalesce("_next", F.lit(0.0)), 9))
+    most = reliability.agg(F.max("mean_rho").alias("_most"))
+    r = reliability.crossJoin(F.broadcast(most)).select("core", F.coalesce(F.try_divide("mean_rho", "_most"), F.lit(0.0)).alias("_r"))  # one row
+    m = m.join(consistency.select("patient_id", "consistency"), "patient_id").join(r, "core").where("membership >= 0.75 and consistency >= 0.6 and sd <= 0.15 and dominance > 0")
+    score = 0.35 * F.col("membership") + 0.25 * F.col("consistency") + 0.2 * (1 - F.col("sd")) + 0.15 * F.greatest("dominance", F.lit(0.0)) + 0.05 * F.col("_r")
+    m = m.withColumn("score", F.round(score, 9))
     return m.withColumn("rank", first_rank(["core"], F.desc("score"), F.asc("patient_id"))).where(F.col("rank") <= k).select("patient_id", "core", "membership", "dominance", "score", "rank")
 
 
-def border_scores(members: DataFrame, consistency: DataFrame, k: int = 100) -> DataFrame:
-    """The k patients nearest a border: .4 of the clearest membership, .35 of inconsistent states and .25 of its spread over repeats."""
-    m = members.groupBy("patient_id", "core").agg(F.avg("positive").alias("_m"), F.stddev_samp("positive").alias("_s"))
-    p = m.groupBy("patient_id").agg(F.max("_m").alias("clearest"), F.max(F.coalesce("_s", F.lit(0.0))).alias("spread"))
-    p = p.join(consistency.select("patient_id", "consistency"), "patient_id")
-    p = p.withColumn("score", F.round(0.4 * F.col("clearest") + 0.35 * (1 - F.col("consistency")) + 0.25 * F.col("spread"), 9))
-    return p.orderBy(F.desc("score"), "patient_id").limit(k)
+def border_scores(patients: DataFrame, k: int = 100) -> DataFrame:
+    """The k patients that an audit should look at first.
+
+    ``patients``: patient_id, discordant, dependent, unstable (0/1), uncertainty, consistency and
+    null_gap. Score: .25, .15 and .15 for the flags, .2 for the rank of uncertainty, .15 for
+    inconsistency, .1 for the rank of the gap to the null.
+    """
+    p = rank_pct(rank_pct(patients, "uncertainty", name="uncertainty_pct"), "null_gap", name="null_pct")
+    score = 0.25 * F.col("discordant") + 0.15 * F.col("dependent") + 0.15 * F.col("unstable") + 0.2 * F.col("uncertainty_pct") + 0.15 * (1 - F.col("consistency")) + 0.1 * F.col("null_pct")
+    return p.withColumn("score", F.round(score, 9)).orderBy(F.desc("score"), "patient_id").limit(k)
 
 
 def recommendation_confidence(consistency: Column, uncertainty: Column, core_priority: Column, n_targets: Column, most: int = 20) -> tuple[Column, Column]:

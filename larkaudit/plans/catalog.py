@@ -153,14 +153,18 @@ def stage_parse(spark, d):
     return t(spark, d, "orders").select("o_orderkey", text.stage_group(raw).alias("stage_group"), text.stage_binary(raw).alias("stage_binary"))
 
 
-@query("""with k as (select c_custkey as id, case c_custkey % 5 when 0 then 'Node negative' when 1 then 'N2' when 2 then 'lymph nodes: ' || (c_custkey % 3) when 3 then 'yes' else 'unknown' end as raw from customer)
-       select id, cast(case when lower(raw) like '%negative%' then 0 when regexp_matches(lower(raw), '\\bn[1-3]\\b|^yes$') then 1
-                            when regexp_matches(raw, '[0-9]') then case when c2 > 0 then 1 else 0 end end as integer) as status
-       from (select id, raw, try_cast(regexp_extract(raw, '[0-9]+') as bigint) as c2 from k)""", base=False)
+NODE_TEXTS = ["Node negative", "N2", "lymph nodes: ", "{n} positive nodes", "no positive lymph nodes", "{n} of 12 nodes", "nodal-positive", "count {n}", "unknown", "n0 (i-)"]
+
+
+@query(r"""with v as (select c_custkey as id, list_value('Node negative', 'N2', 'lymph nodes: ', '{n} positive nodes', 'no positive lymph nodes', '{n} of 12 nodes', 'nodal-positive', 'count {n}', 'unknown', 'n0 (i-)')[c_custkey % 10 + 1] as v, c_nationkey % 4 as n, c_mktsegment as m from customer),
+       k as (select id, lower(replace(v, '{n}', cast(n as varchar)) || case when v like '%: ' then cast(n as varchar) else ' ' || m end) as raw from v), f as (select *, regexp_extract_all(raw, '[0-9]+') as numbers from k)
+       select id, cast(case when regexp_matches(raw, '\bnode[\s_-]*negative\b|\bnodal[\s_-]*negative\b|\bnegative\b|\bn0\b|\b0\s*(positive\s*)?(nodes?|lymph nodes?)\b|\bno\s+(positive\s+)?(nodes?|lymph nodes?)\b') then 0
+                            when regexp_matches(raw, '\bnode[\s_-]*positive\b|\bnodal[\s_-]*positive\b|\bpositive\b|\bn[1-9]\b|\b[1-9]\d*\s*(positive\s*)?(nodes?|lymph nodes?)\b') then 1
+                            when len(numbers) = 1 then case when try_cast(numbers[1] as bigint) > 0 then 1 else 0 end end as integer) as status from f""", base=False)
 def node_parse(spark, d):
-    k = F.col("c_custkey")
-    raw = F.when(k % 5 == 0, "Node negative").when(k % 5 == 1, "N2").when(k % 5 == 2, F.concat(F.lit("lymph nodes: "), k % 3)).when(k % 5 == 3, "yes").otherwise("unknown")
-    return t(spark, d, "customer").select(k.alias("id"), text.node_status(raw).alias("status"))
+    v, n = F.element_at(F.array(*map(F.lit, NODE_TEXTS)), (F.col("c_custkey") % 10 + 1).cast("int")), (F.col("c_nationkey") % 4).cast("string")
+    raw = F.concat(F.replace(v, F.lit("{n}"), n), F.when(v.endswith(": "), n).otherwise(F.concat(F.lit(" "), "c_mktsegment")))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.node_status(raw).alias("status"))
 
 
 @query("""with a as (select distinct p_type as alias, p_brand as symbol from part), u as (select alias, count(distinct symbol) as n, min(symbol) as symbol from a group by alias)
@@ -294,8 +298,8 @@ def calibration_bins(spark, d):
     return r6(metrics.calibration_bins(facts.oof(spark, d).withColumn("p", F.col("p")), ["model"]))
 
 
-@query("""select model, cast(y as integer) as y, count(p) as n, round(avg(p), 6) as mean, round(stddev_samp(p), 6) as sd, round(median(p), 6) as median, round(quantile_cont(p, 0.25), 6) as q25,
-       round(quantile_cont(p, 0.75), 6) as q75, round(min(p), 6) as least, round(max(p), 6) as most from oof group by model, y""")
+@query("""select model, cast(y as integer) as y, count(p) as n, round(avg(p), 6) as mean, round(stddev_samp(p), 6) as sd, round(round(median(p), 9), 6) as median, round(round(quantile_cont(p, 0.25), 9), 6) as q25,
+       round(round(quantile_cont(p, 0.75), 9), 6) as q75, round(min(p), 6) as least, round(max(p), 6) as most from oof group by model, y""")
 def distribution_by_class(spark, d):
     return r6(relational.describe(facts.oof(spark, d), ["model", "y"], "p"))
 
@@ -576,12 +580,25 @@ def repeat_reliability(spark, d):
     return r6(stats.spearman(a.join(b, ["core", "patient_id"]).where("r1 < r2"), ["core", "r1", "r2"], "x", "y"))
 
 
-@query(FUZZY + """, am as (select patient_id, core, avg(positive) as membership, stddev_samp(positive) as sd from fuzzy group by all), ak as (select *, row_number() over (partition by patient_id order by membership desc, core) as k from am),
-       x as (select *, max(membership) filter (where k = 2) over (partition by patient_id) as nxt from ak), s as (select patient_id, core, membership, membership - coalesce(nxt, 0) as dominance, round(0.6 * membership + 0.25 * (membership - coalesce(nxt, 0)) - 0.15 * coalesce(sd, 0), 9) as score from x where k = 1)
-       select patient_id, core, round(membership, 6) as membership, round(dominance, 6) as dominance, round(score, 6) as score, row_number() over (partition by core order by score desc, patient_id) as rank from s where membership >= 0.75 and dominance > 0
+RELIABLE = """, w as (select a.core, a.repeat_id as r1, b.repeat_id as r2, a.positive as x, b.positive as y from fuzzy a join fuzzy b on a.core = b.core and a.patient_id = b.patient_id and a.repeat_id < b.repeat_id),
+       r as (select core, r1, r2, rank() over (partition by core, r1, r2 order by x) + (count(*) over (partition by core, r1, r2, x) - 1) / 2.0::double as x, rank() over (partition by core, r1, r2 order by y) + (count(*) over (partition by core, r1, r2, y) - 1) / 2.0::double as y from w),
+       rho as (select core, r1, r2, round(corr(x, y), 9) as rho from r group by all)"""
+CONSISTENT = """, n2 as (select patient_id, state, count(*) as n from fstate group by all), cs as (select patient_id, max(n) / sum(n)::double as consistency from n2 group by patient_id)"""
+
+
+def _reliability(spark, d):
+    return repeat_reliability(spark, d).groupBy("core").agg(F.avg("rho").alias("mean_rho"))
+
+
+@query(STATES + CONSISTENT + RELIABLE + """, rel as (select core, avg(round(rho, 6)) as m from rho group by core), rl as (select core, coalesce(m / (select max(m) from rel), 0) as r from rel),
+       am as (select patient_id, core, round(avg(magnitude), 9) as membership, round(coalesce(stddev_samp(magnitude), 0), 9) as sd from fuzzy group by all), ak as (select *, row_number() over (partition by patient_id order by membership desc, core) as k from am),
+       x as (select *, max(membership) filter (where k = 2) over (partition by patient_id) as nxt from ak), dm as (select *, round(membership - coalesce(nxt, 0), 9) as dominance from x where k = 1),
+       s as (select patient_id, core, membership, dominance, round(0.35 * membership + 0.25 * consistency + 0.2 * (1 - sd) + 0.15 * greatest(dominance, 0) + 0.05 * r, 9) as score from dm join cs using (patient_id) join rl using (core)
+             where membership >= 0.75 and consistency >= 0.6 and sd <= 0.15 and dominance > 0)
+       select patient_id, core, round(membership, 6) as membership, round(dominance, 6) as dominance, round(score, 6) as score, row_number() over (partition by core order by score desc, patient_id) as rank from s
        qualify row_number() over (partition by core order by score desc, patient_id) <= 25""")
 def anchors(spark, d):
-    a = states.anchors(_fuzzy(spark, d))
+    a = states.anchors(_fuzzy(spark, d), states.repeat_consistency(_states(spark, d), "patient_id"), _reliability(spark, d))
     return r6(a.withColumn("rank", F.col("rank").cast("long")))
 
 
@@ -600,18 +617,18 @@ SCORED = IDF + """, lim as (select min(idf) as lo, max(idf) as hi from idf), sc
 
 
 @query(SCORED + """, r as (select patient_id, gene, round(adjusted, 6) as adjusted, n_lines, row_number() over (partition by patient_id order by adjusted desc, gene) as rank from scored)
-       select patient_id, gene, adjusted, rank from r where rank <= 20 and n_lines >= 1""")
+       select patient_id, gene, adjusted, rank from r where rank <= 20 and n_lines >= 2""")
 def specificity_rerank(spark, d):
-    r = targets.rerank(targets.specificity(facts.targets(spark, d)), 20, "n_lines >= 1")
+    r = targets.rerank(targets.specificity(facts.targets(spark, d)), 20, "n_lines >= 2")
     return r6(r.select("patient_id", "gene", "adjusted", F.col("rank").cast("long")))
 
 
-@query(SCORED + """, a as (select unnest([0.0, 0.5, 1.0])::double as alpha), v as (select alpha, patient_id, gene, row_number() over (partition by alpha, patient_id order by round(base * (1 - alpha + alpha * (0.5 + 0.5 * idf01)), 9) desc, gene) as k from scored, a),
+@query(SCORED + """, a as (select unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double as alpha), v as (select alpha, patient_id, gene, row_number() over (partition by alpha, patient_id order by round(base * (1 - alpha + alpha * (0.5 + 0.5 * idf01)), 9) desc, gene) as k from scored, a),
        top as (select * from v where k <= 20), b as (select patient_id, gene from top where alpha = 0), n as (select patient_id, count(*) as n from b group by all),
        h as (select alpha, t.patient_id, count(b.gene) / max(n.n)::double as s from top t left join b on t.patient_id = b.patient_id and t.gene = b.gene join n on n.patient_id = t.patient_id group by all)
        select alpha, round(avg(s), 6) as kept, count(*) as n_patients from h group by alpha""")
 def alpha_sensitivity(spark, d):
-    return r6(targets.alpha_sensitivity(facts.targets(spark, d), [0.0, 0.5, 1.0]))
+    return r6(targets.alpha_sensitivity(facts.targets(spark, d), [0.0, 0.25, 0.5, 0.75, 1.0]))
 
 
 @query(SCORED + """, l as (select *, row_number() over (partition by patient_id, class order by adjusted desc, gene) as lr from scored), k as (select * from l where (class = 'generic' and lr <= 5) or (class = 'recurrent' and lr <= 5) or (class = 'specific' and lr <= 10))
@@ -685,30 +702,30 @@ def overlap_summary(spark, d):
 
 # --- nulls, models, clusters ---------------------------------------------------------------------
 
-NULL = """with mp as (select distinct gene from memberships), pm as (select unnest(range(1, 11)) as perm),
-       sm as (select perm, g.gene, case when mp.gene is null then 0.0 else 1.0 end as m from (select distinct gene from features) g cross join pm left join mp on mp.gene = (g.gene * 37 + perm * 11) % 64)"""
+NULL = """with mp as (select distinct gene from memberships), pm as (select unnest(range(1, {n} + 1)) as perm),
+       sm as (select perm, g.gene, case when mp.gene is null then 0.0 else 1.0 end as m from (select distinct gene from features) g cross join pm left join mp on mp.gene = (g.gene * (2 * ((perm * 29) % 32) + 1) + perm * 11) % 64)"""
 
 
 def _mapped(spark):
     return at.edges(facts.memberships(spark)).select("gene").distinct()
 
 
-@query(NULL + """ select perm, sample_id, repeat_id, round(sum(shap * (1 - m)), 6) + 0.0 as residual, round(sum(abs(shap) * m) / sum(abs(shap)), 6) as coverage from attribution join sm using (gene) group by all""")
+@query(NULL.replace("{n}", "100") + """ select perm, sample_id, repeat_id, round(sum(shap * (1 - m)), 6) + 0.0 as residual, round(sum(abs(shap) * m) / sum(abs(shap)), 6) as coverage from attribution join sm using (gene) group by all""")
 def mapping_null(spark, d):
     from larkaudit.operators import nulls
 
-    return r6(nulls.mapping_null(facts.attribution(spark, d), _mapped(spark), 64, 10))
+    return r6(nulls.mapping_null(facts.attribution(spark, d), _mapped(spark), 64, 100))
 
 
 @query("""select perm, sample_id, repeat_id, round(sum(abs(shap) * case when ((sample_id * 7919 + gene * 104729 + repeat_id * 1299709 + perm * 15485863) % 1000003) % 2 = 0 then 1.0::double else -1.0::double end), 6) + 0.0 as total
-       from attribution, (select unnest(range(1, 11)) as perm) group by all""")
+       from attribution, (select unnest(range(1, 101)) as perm) group by all""")
 def signflip_null(spark, d):
     from larkaudit.operators import nulls
 
-    return r6(nulls.signflip_null(facts.attribution(spark, d), 10))
+    return r6(nulls.signflip_null(facts.attribution(spark, d), 100))
 
 
-@query(NULL + """, o as (select sample_id, repeat_id, sum(abs(shap)) filter (where gene in (select gene from mp)) / sum(abs(shap)) as observed from attribution group by all),
+@query(NULL.replace("{n}", "200") + """, o as (select sample_id, repeat_id, sum(abs(shap)) filter (where gene in (select gene from mp)) / sum(abs(shap)) as observed from attribution group by all),
        nu as (select perm, sample_id, repeat_id, sum(abs(shap) * m) / sum(abs(shap)) as v from attribution join sm using (gene) group by all),
        g as (select sample_id, repeat_id, max(observed) as observed, avg(v) as null_mean, stddev_pop(v) as sd, count(*) as n, count(*) filter (where v <= observed + 1e-9) as l, count(*) filter (where v >= observed - 1e-9) as u from nu join o using (sample_id, repeat_id) group by all)
        select sample_id, repeat_id, round(observed, 6) as observed, round(null_mean, 6) as null_mean, n, round(observed - null_mean, 6) + 0.0 as excess, round((observed - null_mean) / nullif(sd, 0), 4) + 0.0 as z, round(least(1.0, 2 * least(1 + l, 1 + u) / (1.0 + n)), 6) as p_value from g""")
@@ -717,7 +734,7 @@ def patient_null_excess(spark, d):
 
     a = facts.attribution(spark, d)
     observed = at.completeness(a, at.edges(facts.memberships(spark)))
-    return r6(nulls.unit_excess(observed, nulls.mapping_null(a, _mapped(spark), 64, 10), "coverage").withColumn("z", F.round("z", 4)))
+    return r6(nulls.unit_excess(observed, nulls.mapping_null(a, _mapped(spark), 64, 200), "coverage").withColumn("z", F.round("z", 4)))
 
 
 def _vectors(spark, d):
@@ -801,15 +818,39 @@ def contrast_flip(spark, d):
     return r6(f.withColumn("u", F.round("u", 3)))
 
 
-@query(STATES + """, n2 as (select patient_id, state, count(*) as n from fstate group by all), cs as (select patient_id, max(n) / sum(n)::double as consistency from n2 group by patient_id),
-       am as (select patient_id, core, avg(positive) as mm, stddev_samp(positive) as ss from fuzzy group by all), pp as (select patient_id, max(mm) as clearest, max(coalesce(ss, 0)) as spread from am group by patient_id)
-       select patient_id, round(clearest, 6) as clearest, round(spread, 6) as spread, round(consistency, 6) as consistency, round(round(0.4 * clearest + 0.35 * (1 - consistency) + 0.25 * spread, 9), 6) as score from pp join cs using (patient_id)
-       order by round(0.4 * clearest + 0.35 * (1 - consistency) + 0.25 * spread, 9) desc, patient_id limit 100""")
+PATIENTS = TAXONOMY + """, u as (select sample_id, round(avg(least(1, greatest(0, 1 - 2 * abs(round(mean_p, 9) - 0.5)))), 9) as uncertainty from summary group by sample_id),
+       cons as (select sample_id, round(avg(greatest(frac_advanced, 1 - frac_advanced)), 9) as consistency from summary group by sample_id),
+       cover as (select sample_id, repeat_id, sum(case when gene in (select gene from memberships) then abs(shap) else 0 end) / sum(abs(shap)) as c from attribution group by all),
+       gap as (select sample_id, round(1 - avg(c), 9) as null_gap from cover group by sample_id),
+       patients as (select sample_id as patient_id, ((y = 0 and rank_state = 'advanced_like') or (y = 1 and rank_state = 'early_like'))::integer as discordant, (dependence = 'high')::integer as dependent,
+                    (instability_tier = 'high')::integer as unstable, uncertainty, consistency, null_gap from taxonomy join u using (sample_id) join cons using (sample_id) join gap using (sample_id))"""
+
+
+def _patients(spark, d):
+    """Flags, uncertainty, consistency and gap of each sample."""
+    tax = _taxonomy(spark, d)
+    summary = states.uncertainty(states.patient_summary(facts.oof(spark, d)).withColumn("mean_p", F.round("mean_p", 9)))
+    by = summary.groupBy("sample_id").agg(
+        F.round(F.avg("uncertainty"), 9).alias("uncertainty"), F.round(F.avg(F.greatest(F.col("frac_advanced"), 1 - F.col("frac_advanced"))), 9).alias("consistency")
+    )
+    gap = at.completeness(facts.attribution(spark, d), at.edges(facts.memberships(spark))).groupBy("sample_id").agg(F.round(1 - F.avg("coverage"), 9).alias("null_gap"))
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    discordant = ((F.col("y") == 0) & (F.col("rank_state") == "advanced_like")) | ((F.col("y") == 1) & (F.col("rank_state") == "early_like"))
+    tax = tax.select("sample_id", flag(discordant).alias("discordant"), flag(F.lower("dependence").contains("high")).alias("dependent"), flag(F.lower("instability_tier").contains("high")).alias("unstable"))
+    return tax.join(by, "sample_id").join(gap, "sample_id").withColumnRenamed("sample_id", "patient_id")
+
+
+@query(PATIENTS + """, pct as (select *, (rank() over (order by uncertainty) + (count(*) over (partition by uncertainty) - 1) / 2.0::double) / count(*) over () as up, (rank() over (order by null_gap) + (count(*) over (partition by null_gap) - 1) / 2.0::double) / count(*) over () as np from patients),
+       sc as (select *, round(0.25::double * discordant + 0.15::double * dependent + 0.15::double * unstable + 0.2 * up + 0.15 * (1 - consistency) + 0.1 * np, 9) as score from pct)
+       select patient_id, discordant, dependent, unstable, round(uncertainty, 6) as uncertainty, round(consistency, 6) as consistency, round(null_gap, 6) as null_gap, round(score, 6) as score from sc order by score desc, patient_id limit 100""")
 def boundary_score(spark, d):
-    return r6(states.border_scores(_fuzzy(spark, d), states.repeat_consistency(_states(spark, d), "patient_id")))
+    return r6(states.border_scores(_patients(spark, d)).drop("uncertainty_pct", "null_pct"))
 
 
-@query(TAXONOMY + """ select rank_state, count(ad) as n, round(avg(ad), 6) as mean, round(stddev_samp(ad), 6) as sd, round(median(ad), 6) as median, round(quantile_cont(ad, 0.25), 6) as q25, round(quantile_cont(ad, 0.75), 6) as q75,
+@query(TAXONOMY + """ select rank_state, count(ad) as n, round(avg(ad), 6) as mean, round(stddev_samp(ad), 6) as sd, round(round(median(ad), 9), 6) as median, round(round(quantile_cont(ad, 0.25), 9), 6) as q25, round(round(quantile_cont(ad, 0.75), 9), 6) as q75,
        round(min(ad), 6) as least, round(max(ad), 6) as most from taxonomy group by rank_state""")
 def state_descriptives(spark, d):
     return r6(relational.describe(_taxonomy(spark, d), ["rank_state"], "abs_difference"))
+
+
+from larkaudit.plans import summaries  # noqa: E402, F401  (registers its queries)

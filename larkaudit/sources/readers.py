@@ -11,9 +11,20 @@ SEPARATORS = ["\t", ",", ";", "|"]
 
 
 def head(spark: SparkSession, path: str, n: int = 4096) -> bytes:
-    """The first bytes of a file, or of the first file of a folder, through Spark's own readers."""
-    one = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("c"), "path").orderBy("path").first()
-    return bytes(one["c"]) if one else b""
+    """The first bytes of a file, or of the first file of a folder, read from whatever store Spark reads; no more is read."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        files = sorted((f.getPath() for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))), key=str)
+        if not files:
+            return b""
+        at = files[0]
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
 
 
 def encoding(start: bytes) -> str:
@@ -91,3 +102,43 @@ def unpivot_matrix(wide: DataFrame, row: str, row_name: str = "gene_id", column_
 
     long = wide.select(F.col(row).cast("string").alias(row_name), *[F.col(f"`{c}`").cast("string") for c in wide.columns if c != row]).unpivot([row_name], None, column_name, "value")
     return long.withColumn("value", number(F.col("value")))
+
+
+def read_json_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows from JSON files, one object or list of objects a file."""
+    reader = spark.read.option("multiLine", True)
+    return reader.schema(schema).json(path) if schema else reader.json(path)
+
+
+def read_parts(spark: SparkSession, path: str, expected: int, schema: str | None = None) -> DataFrame:
+    """All delimited files that ``path`` names as one table with source_file; another number of files than expected is an error."""
+    reader = spark.read.option("header", True).option("sep", "\t")
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    n = len(df.inputFiles())
+    if n != expected:
+        raise ValueError(f"{path}: {n} files, {expected} expected")
+    return df.withColumn("source_file", F.input_file_name())
+
+
+def read_wide_features(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Only the named columns of a wide delimited table, those of them that it has, in the order given."""
+    df = read_delimited(spark, path)
+    return df.select(*[c for c in columns if c in df.columns])
+
+
+def audit_files(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """name, path, found, bytes of each input, of all files below it for a folder."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows = []
+    for name, path in files.items():
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        found = fs.exists(at)
+        rows.append((name, path, found, fs.getContentSummary(at).getLength() if found else None))
+    return spark.createDataFrame(rows, "name string, path string, found boolean, bytes long")
+
+
+def write_delimited(df: DataFrame, path: str, places: int = 10) -> None:
+    """Tab-separated files with a header; doubles with a fixed number of places."""
+    columns = [F.format_string(f"%.{places}f", c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    df.select(*columns).write.mode("overwrite").option("header", True).option("sep", "\t").option("nullValue", "").csv(path)

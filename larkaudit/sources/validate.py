@@ -85,3 +85,19 @@ def aligned(expression: DataFrame, clinical: DataFrame, sets: DataFrame, gene: s
 def check_output(df: DataFrame, names: list[str], what: str) -> DataFrame:
     require(df.columns == names, f"{what}: columns are {df.columns}, not {names}")
     return df
+
+
+def require_few_rescued(harmonized: DataFrame, most: int = 100) -> DataFrame:
+    """The table of ``attribution.harmonize`` itself, if at most ``most`` symbols came from alias or synonym tables."""
+    n = harmonized.where(F.col("status").isin("alias", "synonym")).count()
+    if n > most:
+        raise ValueError(f"{n} symbols rescued, {most} at most")
+    return harmonized
+
+
+def require_classes(df: DataFrame, label: str, least_rows: int = 300, least_class: int = 30) -> DataFrame:
+    """The table itself, if it has enough rows, and enough of each of two classes."""
+    sizes = {r[0]: r[1] for r in df.groupBy(label).count().limit(100).collect()}
+    if sum(sizes.values()) < least_rows or len(sizes) < 2 or min(sizes.values()) < least_class:
+        raise ValueError(f"too few rows by class: {sizes}")
+    return df
