@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkaudit.llm.common import cut
+from larkaudit.llm.common import cut, fresh, spread_join
 
 #: Distinct sites from which a line is boilerplate.
 LEAST_SITES = 10
@@ -23,14 +23,14 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, least: int = LEAST_SITES) -> DataFrame:
-    """h and sites of the lines that at least ``least`` sites have; sites is exact near the threshold, else estimated."""
-    sketches = lines.where("site is not null").groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS)).alias("sketch"))
-    estimates = sketches.select("h", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= least * (1 - NEAR) - 1)
+    """h, sites and n (lines) of the lines that at least ``least`` sites have; sites is exact near the threshold, else estimated."""
+    sketches = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS)).alias("sketch"), F.count("*").alias("n"))
+    estimates = sketches.where("sketch is not null").select("h", F.hll_sketch_estimate("sketch").alias("sites"), "n").where(F.col("sites") >= least * (1 - NEAR) - 1)
     estimates = cut(estimates)
     far = F.col("sites") > least * (1 + NEAR) + 1
-    near = lines.where("site is not null").join(estimates.where(~far).select("h"), "h", "left_semi")
-    exact = near.select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= least)
-    return estimates.where(far).unionByName(exact)
+    near = spread_join(lines.where("site is not null").select("h", "site"), cut(estimates.where(~far).select("h", "n")), "h")
+    exact = near.distinct().groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= least)
+    return estimates.where(far).unionByName(exact.join(estimates.select("h", "n"), "h"))
 
 
 def clean_lines(docs: DataFrame, least: int = LEAST_SITES) -> DataFrame:
@@ -42,19 +42,24 @@ def clean_lines(docs: DataFrame, least: int = LEAST_SITES) -> DataFrame:
     names n_lines and n_removed are replaced, all others are kept.
     """
     lines = line_table(docs)
-    bad = cut(boilerplate(lines, least).select("h"))
-    hit = cut(lines.select("key", "doc_id", "pos", "h").join(bad, "h"))
-    first = hit.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos")).alias("first"))
-    rest = hit.join(first, "h").where(~((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("pos") == F.col("first.pos"))))
-    out = rest.groupBy("key").agg(F.collect_set("pos").alias("_out"))
+    bad = cut(boilerplate(lines, least).select("h", "n"))
+    hit = cut(spread_join(lines.select("key", "doc_id", "pos", "h"), bad, "h"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos")
+    first = cut(hit.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    rest = spread_join(hit, first, "h").where(~((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("pos") == F.col("first.pos"))))
+    key, out = fresh(docs, "_key"), fresh(docs, "_out")
+    removed = rest.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias(out)).withColumnRenamed("key", key)
+    joined = docs.drop("n_lines", "n_removed").withColumn(key, F.xxhash64("doc_id", "text")).join(removed, key, "left")
+    # What is left of a text are the runs of lines between those taken out, so the work is linear in its lines.
     split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("_out", i)), "\n")
-    joined = docs.drop("n_lines", "n_removed").withColumn("_key", F.xxhash64("doc_id", "text")).join(out.withColumnRenamed("key", "_key"), "_key", "left")
+    ends = F.concat(F.array(F.lit(-1)), F.col(out), F.array(F.size(split)))
+    runs = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends) - 1), lambda a, b: F.slice(split, a + 2, b - a - 1))
+    kept = F.array_join(F.flatten(runs), "\n")
     return (
         joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)))
-        .withColumn("n_removed", F.when(F.col("_out").isNull(), 0).otherwise(F.size("_out")))
-        .withColumn("text", F.when(F.col("_out").isNull(), F.col("text")).otherwise(kept))
-        .drop("_key", "_out")
+        .withColumn("n_removed", F.when(F.col(out).isNull(), 0).otherwise(F.size(out)))
+        .withColumn("text", F.when(F.col(out).isNull(), F.col("text")).otherwise(kept))
+        .drop(key, out)
     )
 
 
