@@ -1,11 +1,31 @@
-"""License scans: lines compared to license notices by the Dice coefficient of their word pairs."""
+"""License scans: runs of lines compared to licence texts and notices by the Dice coefficient of their word pairs.
+
+Text is normalised to lower-cased runs of letters and digits. A window is a run of whole lines; its
+pairs are the distinct pairs of neighbouring words, across line ends too. Size bounds prune: a window
+reaches the least coefficient only if it shares enough of a template's pairs, so a text that lacks all
+of some words, or shares too few pairs as a whole, is dropped before any window is made, and a window
+grows only while its own number of pairs allows the coefficient.
+"""
 
 from __future__ import annotations
 
+import math
+import operator
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Notices by which licenses are named in running text. Fixed values.
+_WARRANTY = "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GPL = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {n} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+#: Licence texts, notices at the head of files, and sentences that name a licence in running text. Fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -19,80 +39,163 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "reserved": "All rights reserved.",
+    "MIT-text": f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", {_WARRANTY}, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause-text": f"{_BSD_HEAD}\n{_BSD_TAIL}",
+    "BSD-3-Clause-text": f"{_BSD_HEAD}\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n{_BSD_TAIL}",
+    "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-2.0-notice": _GPL.replace("{n}", "2"),
+    "GPL-3.0-notice": _GPL.replace("{n}", "3"),
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
 }
-#: A word.
-WORD = r"[\p{L}\p{N}]+"
 #: Least Dice coefficient of a match.
 LEAST_DICE = 0.8
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def word_pairs(w: Column) -> Column:
-    """Neighbouring words of an array, repeats kept."""
+    """Neighbouring words of an array."""
     n = F.greatest(F.size(w) - 1, F.lit(0))
     return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def pair_bounds(n: int, least: float) -> tuple[float, float]:
-    """Numbers of pairs that can reach ``least`` against a template of n pairs: overlap is at most the smaller number."""
-    return n * least / (2 - least), n * (2 - least) / least
+def template_pairs(text: str) -> list[str]:
+    w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+
+
+def least_shared(n: int, least: float) -> int:
+    """Pairs of a template of n that a window has to share: it has at least as many itself, and 2 s / (n + m) >= least."""
+    return math.ceil(n * least / (2 - least) - 1e-9)
+
+
+def most_pairs(n: int, least: float) -> float:
+    """Pairs that a window may have itself: of them n at most are shared."""
+    return n * (2 - least) / least + 1e-9
+
+
+def needles(pairs: list[str], least: float) -> list[str]:
+    """Long words of which a match has one: pairs without any of them are fewer than a match has to share."""
+    free, out = set(pairs), []
+    while len(free) >= least_shared(len(pairs), least):
+        counts = {}
+        for p in free:
+            for w in set(p.split()):
+                counts[w] = counts.get(w, 0) + 1
+        out.append(max(counts, key=lambda w: (min(len(w), 8), counts[w], w)))
+        free = {p for p in free if out[-1] not in p.split()}
+    return out
 
 
 def scan_lines(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_DICE, separator: str = "\n") -> DataFrame:
-    """doc_id, line_no, license, dice for each line of ``docs`` (doc_id, text, ...) that matches a notice.
-
-    The coefficient is over bags of word pairs: twice the pairs in common over the pairs of both;
-    no template has a pair twice, so further repeats in a line only add to its size.
-    A line is named after the notice with the largest Dice coefficient, ties after the smaller
-    name. Lines are numbered from 0; null and empty texts have none that match; repeated rows each
-    give their rows; extra columns are ignored. Templates are few and known beforehand, so each
-    line is compared in place, without a join: lines of the wrong length for all templates are
-    dropped first, then for each line the templates whose size bounds rule it out.
+    """doc_id, line_no, last_line, license, dice for each run of lines of ``docs`` (doc_id, text, ...) that matches a template.
+
+    From each line on, the run with the largest coefficient counts, the shortest of equal ones; of runs
+    that overlap, the one with the largest coefficient stays, ties to the smaller name, then to the
+    earlier one. Lines are numbered from 0. Null, empty and wordless texts match nothing; repeated
+    rows each give their rows; extra columns are ignored; an empty table gives no rows. A document is
+    compared where it lies, without joins, whatever its length.
     """
-    given = TEMPLATES if templates is None else templates
-    known = sorted((name, text) for name, text in given.items())
-    counts = docs.sparkSession.range(1).select(*[F.size(word_pairs(words(F.lit(t)))).alias(str(k)) for k, (_, t) in enumerate(known)]).first()
-    bounds = [pair_bounds(n, least) for n in counts]
-    table = F.array(*[F.struct(F.lit(name).alias("license"), word_pairs(words(F.lit(t))).alias("pairs"), F.lit(n).alias("n")) for (name, t), n in zip(known, counts, strict=True)])
-    lines = docs.select("doc_id", F.posexplode(F.split("text", separator)).alias("line_no", "line"))
-    # Most lines are of a length that no template allows; their words are counted, not made.
-    n = (F.regexp_count("line", F.lit(WORD)) - 1).cast("int")
-    lines = lines.withColumn("n", n).where((F.col("n") >= max(1, min(low for low, _ in bounds))) & (F.col("n") <= max(high for _, high in bounds)))
-    lines = lines.withColumn("p", F.array_distinct(word_pairs(words(F.col("line")))))
-    n = F.col("n")
-
-    def near(t: Column) -> Column:
-        return (n >= t["n"] * (least / (2 - least)) - 1e-9) & (n <= t["n"] * ((2 - least) / least) + 1e-9)
-
-    dice = F.transform(
-        F.filter(table, near),
-        lambda t: F.struct((2.0 * F.size(F.array_intersect(F.col("p"), t["pairs"])) / (n + t["n"])).alias("dice"), t["license"].alias("license")),
-    )
-    best = F.aggregate(
-        dice,
-        F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")),
-        lambda a, t: F.when(t["dice"] > a["dice"], t).otherwise(a),
+    known = sorted((name, template_pairs(text)) for name, text in (TEMPLATES if templates is None else templates).items())
+    known = [(name, pairs) for name, pairs in known if pairs]
+    wanted = sorted({w for _, pairs in known for w in needles(pairs, least)})
+    if not known:
+        return docs.sparkSession.createDataFrame([], "doc_id long, line_no int, last_line int, license string, dice double")
+    table = F.array(*[
+        F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, p)).alias("pairs"), F.lit(len(p)).alias("n"), F.lit(least_shared(len(p), least)).alias("need"), F.lit(most_pairs(len(p), least)).alias("most"))
+        for name, p in known
+    ])
+    some = docs.where(let(F.lower("text"), lambda low: reduce(operator.or_, [low.contains(w) for w in wanted])))
+    lines = F.transform(F.split("text", separator), words)
+    every = F.array(*map(F.lit, sorted({p for _, pairs in known for p in pairs})))
+    few = F.array(*map(F.lit, wanted))
+
+    def compared(flat: Column) -> Column:
+        """The templates that the words of a text can match; pairs are made only if one of the needles is a word."""
+        hits = F.array_intersect(F.array_distinct(word_pairs(flat)), every)
+        near = let(hits, lambda h: F.filter(table, lambda t: F.size(F.array_intersect(h, t["pairs"])) >= t["need"]))
+        return F.when(F.arrays_overlap(flat, few), near)
+
+    some = some.select("doc_id", F.explode(F.array(let(lines, lambda x: F.struct(x.alias("lines"), let(F.flatten(x), compared).alias("near"))))).alias("m"))
+    some = some.select("doc_id", F.col("m.lines").alias("lines"), F.col("m.near").alias("near")).where(F.size("near") > 0)
+    # One row a document, a template and a line to start from.
+    starts = some.select("doc_id", "lines", "near").withColumn("t", F.explode("near")).withColumn("line_no", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)))
+    first = F.get("lines", F.col("line_no"))
+    onward = F.slice("lines", F.col("line_no") + 1, F.size("lines"))
+    starts = starts.where(F.size(first) > 0)
+    state = F.struct(
+        F.array().cast("array<string>").alias("set"), F.array().cast("array<string>").alias("end"), F.lit(False).alias("done"), F.lit(0).alias("at"), F.lit(0.0).alias("dice"), F.lit(-1).alias("last")
     )
-    found = lines.select("doc_id", "line_no", best.alias("best"))
-    return found.where(F.col("best.dice") >= least).select("doc_id", "line_no", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"))
+
+    def grow(s: Column, line: Column) -> Column:
+        def judged(union: Column) -> Column:
+            dice = 2.0 * F.size(F.array_intersect(union, F.col("t.pairs"))) / (F.size(union) + F.col("t.n"))
+            better = dice > s["dice"]
+            return F.struct(
+                union.alias("set"), F.when(F.size(line) > 0, F.slice(line, -1, 1)).otherwise(s["end"]).alias("end"), (F.size(union) > F.col("t.most")).alias("done"), (s["at"] + 1).alias("at"),
+                F.when(better, dice).otherwise(s["dice"]).alias("dice"), F.when(better, s["at"]).otherwise(s["last"]).alias("last"),
+            )
+
+        union = F.array_union(s["set"], word_pairs(F.concat(s["end"], line)))
+        return F.when(s["done"], s).otherwise(let(union, judged))
+
+    best = F.filter(F.array(F.aggregate(onward, state, grow)), lambda x: x["dice"] >= least)
+    runs = starts.withColumn("best", F.explode(best))
+    windows = runs.select("doc_id", "lines", F.struct("line_no", (F.col("line_no") + F.col("best.last")).alias("last_line"), F.col("t.license").alias("license"), F.col("best.dice").alias("dice")).alias("w"))
+    return _without_overlaps(windows)
+
+
+def _without_overlaps(windows: DataFrame) -> DataFrame:
+    """Of a document's overlapping windows the best; a document's rows meet by its lines, so repeated rows keep apart by their number."""
+    key = [F.col("doc_id"), F.xxhash64("lines").alias("_a"), F.xxhash64(F.lit("lines"), "lines").alias("_b")]
+    of_text = windows.select(*key, "w").groupBy("doc_id", "_a", "_b", "w").agg(F.count("*").alias("copies"))
+    grouped = of_text.groupBy("doc_id", "_a", "_b", "copies").agg(F.collect_list("w").alias("ws"))
+
+    def beaten(w: Column) -> Column:
+        def beats(v: Column) -> Column:
+            order = F.struct(-v["dice"], v["license"], v["line_no"], v["last_line"]) < F.struct(-w["dice"], w["license"], w["line_no"], w["last_line"])
+            return (v["line_no"] <= w["last_line"]) & (w["line_no"] <= v["last_line"]) & order
+
+        return F.exists("ws", beats)
+
+    kept = grouped.select("doc_id", "copies", F.explode(F.filter("ws", lambda w: ~beaten(w))).alias("w"))
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "w.*")
 
 
 def oracle(templates: dict[str, str] | None = None, least: float = LEAST_DICE) -> str:
-    values = ", ".join(f"('{k}', '{t}')" for k, t in (TEMPLATES if templates is None else templates).items())
+    """The same rows by all runs of lines of each document that as a whole shares enough pairs with a template."""
+    quoted = {k: v.replace("'", "''") for k, v in (TEMPLATES if templates is None else templates).items()}
+    values = ", ".join(f"('{k}', '{t}')" for k, t in quoted.items())
     ws = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
     return f"""
-    with t as (select license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as tp
-               from (select license, {ws.format("notice")} as w from (values {values}) v(license, notice))),
-    l as (select doc_id, cast(unnest(range(0, len(ls))) as integer) as line_no, unnest(ls) as line
-          from (select doc_id, string_split(text, chr(10)) as ls from documents)),
-    lw as (select doc_id, line_no, {ws.format("line")} as w from l),
-    p as (select doc_id, line_no, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as lp
-          from lw where len(w) between 2 and 60),
-    d as (select doc_id, line_no, license, 2.0::double * len(list_intersect(lp, tp)) / (len(lp) + len(tp)) as dice from p, t)
-    select doc_id, line_no, license, dice from d where dice >= {least}
-    qualify row_number() over (partition by doc_id, line_no order by dice desc, license) = 1
+    with t0 as (select license, {ws.format("notice")} as w from (values {values}) v(license, notice)), t as (select license, {pairs.format("w")} as tp from t0),
+    d0 as (select doc_id, list_transform(string_split(text, chr(10)), lambda l: {ws.format("l")}) as lines from documents where text is not null),
+    d1 as (select doc_id, lines, flatten(lines) as w from d0), d2 as (select doc_id, lines, {pairs.format("w")} as dp from d1),
+    c as (select doc_id, lines, license, tp from d2, t where len(list_intersect(dp, tp)) >= ceil(len(tp) * {least}::double / (2 - {least}::double) - 1e-9)),
+    s as (select *, unnest(range(0, len(lines))) as i from c), e as (select *, unnest(range(i, len(lines))) as j from s where len(lines[i + 1]) > 0),
+    x as (select doc_id, license, tp, i, j, flatten(lines[i + 1:j + 1]) as w from e), p as (select doc_id, license, tp, i, j, {pairs.format("w")} as wp from x),
+    m as (select doc_id, license, i, j, 2.0::double * len(list_intersect(wp, tp)) / (len(wp) + len(tp)) as dice from p),
+    b as (select * from m where dice >= {least} qualify row_number() over (partition by doc_id, license, i order by dice desc, j) = 1)
+    select doc_id, cast(i as integer) as line_no, cast(j as integer) as last_line, license, dice from b
+    where not exists (select 1 from b v where v.doc_id = b.doc_id and v.i <= b.j and b.i <= v.j and (-v.dice, v.license, v.i, v.j) < (-b.dice, b.license, b.i, b.j))
     """

@@ -223,12 +223,26 @@ def test_pages_query_on_odd_rows(spark):
 
 def test_licenses(spark, odd):
     got = licenses.scan_lines(odd).collect()
-    assert [(r["doc_id"], r["line_no"], r["license"], r["dice"]) for r in got] == [(7, 0, "Apache-2.0", 1.0)]
-    near = spark.createDataFrame([(1, "This work is licensed under the GNU General Public Licence, version 3"), (2, "all rights reserved"), (3, "rights")], "doc_id long, text string")
-    assert {(r["doc_id"], r["license"]) for r in licenses.scan_lines(near).collect()} == {(1, "GPL-3.0"), (2, "reserved")}
+    assert [tuple(r) for r in got] == [(7, 0, 0, "Apache-2.0", 1.0)]
+    rows = [
+        (1, "This work is licensed under the GNU General Public Licence, version 3"), (2, "all rights reserved"), (2, "all rights reserved"), (3, "rights"), (4, "All rights reserved. All rights reserved."),
+        (5, "Intro\nAll rights\n\nreserved\nplain line\nLicensed under CC BY 4.0.\n" + "word " * 5000), (None, "/* " + licenses.TEMPLATES["MIT-text"].replace(", ", ",\n * ") + " */\nint main;"),
+        (6, "Copyright someone\n\n" + licenses.TEMPLATES["BSD-3-Clause-text"] + "\n\nReleased under the MIT License."),
+    ]
+    near = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, license string")
+    got = sorted((r["doc_id"] or 0, r["line_no"], r["last_line"], r["license"]) for r in licenses.scan_lines(near).collect())
+    assert [g for g in got if g[0]] == [(1, 0, 0, "GPL-3.0"), (2, 0, 0, "reserved"), (2, 0, 0, "reserved"), (4, 0, 0, "reserved"), (5, 1, 3, "reserved"), (5, 5, 5, "CC-BY-4.0"), (6, 2, 6, "BSD-3-Clause-text"), (6, 8, 8, "MIT")]
+    assert [g[3] for g in got if not g[0]] == ["MIT-text"]
     assert licenses.scan_lines(odd.limit(0)).count() == 0
 
 
+def test_needles_leave_too_few_pairs():
+    for text in licenses.TEMPLATES.values():
+        pairs = licenses.template_pairs(text)
+        found = set(licenses.needles(pairs, 0.8))
+        assert len([p for p in pairs if not found & set(p.split())]) < licenses.least_shared(len(pairs), 0.8)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, sf, name):
     ours, theirs = queries.queries()[name](spark, sf).toPandas(), duck(sf, queries.oracle_sql()[name])
