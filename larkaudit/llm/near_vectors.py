@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkaudit.llm.common import cut
+from larkaudit.llm.common import cut, spread_join
 from larkaudit.llm.graph import connected_components
 from larkaudit.llm.vectors import matrix, packed
 
@@ -220,8 +220,8 @@ def missed(rows: DataFrame, components: DataFrame, n: int, length: int, audit: i
 def count_links(rows: DataFrame, components: DataFrame, length: int) -> DataFrame:
     """vec_id and n_links, of all pairs within a component, by copies: blocks of a component meet pair by pair."""
     named = rows.join(components.withColumnRenamed("node", "vec_id"), "vec_id")
-    blocks = named.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    named = named.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    blocks = cut(named.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")))
+    named = spread_join(named, blocks, "component").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = named.withColumn("other", other).select(
         "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "vec_id", "v", "copies"
