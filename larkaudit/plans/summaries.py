@@ -15,6 +15,11 @@ SPREAD = """count(value) as n, round(avg(value), 6) + 0.0 as mean, round(stddev_
        round(round(quantile_cont(value, 0.025), 9), 6) + 0.0 as q025, round(round(quantile_cont(value, 0.975), 9), 6) + 0.0 as q975"""
 
 
+def n6(df):
+    """As ``r6``, halves at the sixth place upwards on both sides: a tenth of a billionth is added first."""
+    return r6(df.select(*[(F.col(x) + 1e-10).alias(x) if kind == "double" else F.col(x) for x, kind in df.dtypes]))
+
+
 @query("""with """ + c._at("model, repeat_id, fold_id", "oof", "0.5") + """, br as (select model, repeat_id, fold_id, avg((p - y) * (p - y)) as brier from oof group by all),
        w as (select model, round(recall, 9) as recall, round(specificity, 9) as specificity, round(accuracy, 9) as accuracy, round(brier, 9) as brier from rates join br using (model, repeat_id, fold_id)),
        l as (select model, 'recall' as metric, recall as value from w union all select model, 'specificity', specificity from w union all select model, 'accuracy', accuracy from w union all select model, 'brier', brier from w)
@@ -74,7 +79,7 @@ def global_set_stability(spark, d):
     return r6(at.stability(_terms(spark, d), "term", "term_shap", "repeat_id", 5).withColumn("median_abs", su.r9(F.col("median_abs"))))
 
 
-ITEM = """count(distinct repeat_id) as n_repeats, round(avg(abs({v})), 6) as mean_abs, round(round(median(abs({v})), 9), 6) as median_abs, round(avg({v}), 6) + 0.0 as mean_signed, round(median(rank), 6) as median_rank,
+ITEM = """count(distinct repeat_id) as n_repeats, round(avg(abs({v})) + 1e-10, 6) as mean_abs, round(round(median(abs({v})), 9) + 1e-10, 6) as median_abs, round(avg({v}) + 1e-10, 6) + 0.0 as mean_signed, round(median(rank), 6) as median_rank,
        round(avg(case when {v} > 0 then 1.0 else 0.0 end), 6) as frac_positive, round(count(distinct repeat_id) / 5.0::double, 6) as frequency"""
 
 
@@ -83,19 +88,19 @@ ITEM = """count(distinct repeat_id) as n_repeats, round(avg(abs({v})), 6) as mea
 def patient_set_stability(spark, d):
     """Sets among the five largest of a patient, over repeats."""
     top = su.top_items(_terms(spark, d), at.UNIT, "term", "term_shap", 5)
-    return r6(su.item_stability(top, ["sample_id", "term"], "term_shap", 5))
+    return n6(su.item_stability(top, ["sample_id", "term"], "term_shap", 5))
 
 
 @query("""with k as (select sample_id, repeat_id, gene, round(shap, 9) as shap from attribution where gene not in (select gene from memberships)), r as (select *, row_number() over (partition by sample_id, repeat_id order by abs(shap) desc, gene) as rank from k),
        g as (select sample_id, gene, """ + ITEM.format(v="shap") + """, avg(abs(shap)) * count(distinct repeat_id) / 5.0::double as pl, greatest(avg(case when shap > 0 then 1.0 else 0.0 end), avg(case when shap < 0 then 1.0 else 0.0 end)) as sc from r where rank <= 10 group by all)
-       select * exclude (pl, sc), round(pl, 6) as pipeline, n_repeats >= 2 and sc >= 0.8 as stable from g""")
+       select * exclude (pl, sc), round(pl + 1e-10, 6) as pipeline, n_repeats >= 2 and sc >= 0.8 as stable from g""")
 def patient_gap_stability(spark, d):
     """Genes of no set among the ten largest of a patient, over repeats; stable from two repeats and four fifths of one sign on."""
     gap = facts.attribution(spark, d).join(facts.memberships(spark).select("gene").distinct(), "gene", "left_anti").withColumn("shap", su.r9(F.col("shap")))
     top = su.top_items(gap, at.UNIT, "gene", "shap", 10)
     g = su.item_stability(top, ["sample_id", "gene"], "shap", 5).join(at.signs(top, ["sample_id", "gene"], "shap").select("sample_id", "gene", "sign_consistency"), ["sample_id", "gene"])
     stable = (F.col("n_repeats") >= 2) & (F.col("sign_consistency") >= 0.8)
-    return r6(g.withColumn("pipeline", F.col("mean_abs") * F.col("frequency")).withColumn("stable", stable).drop("sign_consistency"))
+    return n6(g.withColumn("pipeline", F.col("mean_abs") * F.col("frequency")).withColumn("stable", stable).drop("sign_consistency"))
 
 
 @query(c.TAXONOMY + """, w as (select rank_state, a_p, b_p, ad, ins from taxonomy), l as (select rank_state, 'a_p' as metric, a_p as value from w union all select rank_state, 'b_p', b_p from w union all select rank_state, 'abs_difference', ad from w union all select rank_state, 'instability', ins from w)
@@ -166,10 +171,10 @@ def patient_core_summary(spark, d):
     return r6(s.withColumn("mean_signed", F.round("mean_signed", 4)).withColumn("sd_signed", F.round("sd_signed", 4)))
 
 
-@query(c.FUZZY + c.RELIABLE + " select core, count(*) as n, round(avg(round(rho, 6)), 6) + 0.0 as mean_rho, round(round(median(round(rho, 6)), 9), 6) + 0.0 as median_rho, round(min(rho), 6) + 0.0 as min_rho, round(max(rho), 6) + 0.0 as max_rho from rho group by core")
+@query(c.FUZZY + c.RELIABLE + " select core, count(*) as n, round(avg(round(rho, 6)) + 1e-10, 6) + 0.0 as mean_rho, round(round(median(round(rho, 6)), 9) + 1e-10, 6) + 0.0 as median_rho, round(min(rho), 6) + 0.0 as min_rho, round(max(rho), 6) + 0.0 as max_rho from rho group by core")
 def core_reliability(spark, d):
     g = c.repeat_reliability(spark, d).groupBy("core")
-    return r6(g.agg(F.count("*").alias("n"), F.avg("rho").alias("mean_rho"), su.r9(F.median("rho")).alias("median_rho"), F.min("rho").alias("min_rho"), F.max("rho").alias("max_rho")))
+    return n6(g.agg(F.count("*").alias("n"), F.avg("rho").alias("mean_rho"), su.r9(F.median("rho")).alias("median_rho"), F.min("rho").alias("min_rho"), F.max("rho").alias("max_rho")))
 
 
 @query(c.STATES + """, n as (select patient_id, state, count(*) as n from fstate group by all), md as (select *, row_number() over (partition by patient_id order by n desc, state) as k, sum(n) over (partition by patient_id) as t from n), x as (select state, n / t::double as cs from md where k = 1)
@@ -320,9 +325,9 @@ def _pool(spark, d):
     return su.pool_scores(g.select("patient_id", "gene", "core", F.col("priority").cast("double").alias("size"), su.r9(F.least(F.lit(1.0), F.col("n_lines") / 5)).alias("support"), su.r9((F.col("core") + 1) / 4).alias("core_stability")))
 
 
-@query("with " + POOL + " select patient_id, gene, n_top, round(frequency, 6) as frequency, class, round(first_score, 6) as first_score, round(score, 6) as score from scored2")
+@query("with " + POOL + " select patient_id, gene, n_top, round(frequency, 6) as frequency, class, round(first_score + 1e-10, 6) as first_score, round(score + 1e-10, 6) as score from scored2")
 def full_pool_scores(spark, d):
-    return r6(_pool(spark, d).select("patient_id", "gene", "n_top", "frequency", "class", "first_score", "score"))
+    return n6(_pool(spark, d).select("patient_id", "gene", "n_top", "frequency", "class", "first_score", "score"))
 
 
 @query("with " + POOL + """, k2 as (select *, row_number() over (partition by patient_id order by score desc, gene) as k from scored2), b as (select * from k2 where k <= 20),
