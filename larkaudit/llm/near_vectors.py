@@ -38,7 +38,7 @@ WEAK = 4
 #: Share of the pairs at THRESHOLD that share a bucket of some table.
 TABLE_RECALL = 0.99
 #: Vectors that a bucket holds on average, and vectors of it that are compared in one task with as many.
-BUCKET, PART = 16, 1024
+BUCKET, PART = 384, 2048
 DESCENTS = 4
 #: Vectors of each stratum that the audit compares with all others, the recall that it asks for, and its repeats.
 AUDIT_ROWS, AUDIT_RECALL, AUDITS = 256, 0.99, 3
@@ -47,7 +47,7 @@ LARGE = 0.01
 #: Vectors of a component that are compared with as many in one task.
 BLOCK = 2048
 #: Rows that small buckets and introductions are put together to for one call.
-CALL_ROWS = 2048
+CALL_ROWS = 4096
 PAIRS = "a long, b long, s double, tie boolean"
 
 
