@@ -14,11 +14,8 @@ from larkaudit.functions.lineage import cut as cut_lineage
 RANGES = 64
 
 
-def _cumulated(counts: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """``before``: rows with smaller values, for each (keys, value) of ``counts``."""
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("before", F.coalesce(F.sum("same").over(w), F.lit(0)))
+def _ranged(counts: DataFrame, value: str) -> DataFrame:
+    """``counts`` (value, same, cut already) with ``rng``, a range of values, and ``before``: rows with smaller values."""
     edges = counts.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.005)
     rng = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e < F.col(value))) if edges else F.lit(0)
     counts = counts.withColumn("rng", rng)
@@ -26,7 +23,20 @@ def _cumulated(counts: DataFrame, value: str, keys: list[str]) -> DataFrame:
     sums = sums.withColumn("start", F.coalesce(F.sum("words").over(Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("rng").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inner = counts.withColumn("inner", F.coalesce(F.sum("same").over(w), F.lit(0)))
-    return inner.join(sums.select("rng", "start"), "rng").withColumn("before", F.col("inner") + F.col("start")).drop("rng", "inner", "start")
+    return inner.join(sums.select("rng", "start"), "rng").withColumn("before", F.col("inner") + F.col("start")).drop("inner", "start")
+
+
+def _cumulated(counts: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """``before``: rows with smaller values, for each (keys, value) of ``counts``."""
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("before", F.coalesce(F.sum("same").over(w), F.lit(0)))
+    return _ranged(counts, value).drop("rng")
+
+
+def places(distinct: DataFrame, value: str, name: str = "place") -> DataFrame:
+    """Adds the place of each row by a numeric column without repeats, from 0 on."""
+    return _ranged(cut_lineage(distinct.withColumn("same", F.lit(1))), value).withColumn(name, F.col("before").cast("long")).drop("same", "rng", "before")
 
 
 def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "avg_rank", total: str = "rank_n") -> DataFrame:
@@ -79,16 +89,26 @@ def tiers(value: Column, q75: Column, q90: Column, strict: bool = False) -> Colu
     return F.when(value.isNull(), None).when(reach(q90), "high").when(reach(q75), "moderate").otherwise("low")
 
 
-def bh_fdr(df: DataFrame, p: str, keys: list[str] | None = None, name: str = "fdr", id_col: str = "test") -> DataFrame:
-    """Adds Benjamini-Hochberg corrected values within ``keys``; null p stay null and do not count."""
+def bh_fdr(df: DataFrame, p: str, keys: list[str] | None = None, name: str = "fdr") -> DataFrame:
+    """Adds Benjamini-Hochberg corrected values within ``keys``; null p stay null and do not count.
+
+    Equal values are corrected alike. Without keys the values run in ranges, of which only the
+    least corrected value of each is compared with the others'.
+    """
     keys = keys or []
-    known = df.where(F.col(p).isNotNull()).withColumn("_k", F.lit(1))
-    part = [*keys, "_k"]
-    up = Window.partitionBy(*part).orderBy(p, id_col)
-    down = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    known = known.withColumn("_i", F.row_number().over(up)).withColumn("_n", F.count("*").over(Window.partitionBy(*part)))
-    known = known.withColumn("_q", F.col(p) * F.col("_n") / F.col("_i")).withColumn(name, F.least(F.lit(1.0), F.min("_q").over(down)))
-    return df.join(known.select(*keys, id_col, name), [*keys, id_col], "left")
+    if not keys:
+        df = cut_lineage(df)
+    counts = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("same"))
+    totals = counts.groupBy(*keys).agg(F.sum("same").alias("_n"))
+    ranked = _cumulated(counts, p, keys).join(totals, keys) if keys else _ranged(counts, p).crossJoin(F.broadcast(totals))  # one row
+    ranked = ranked.withColumn("_q", F.col(p) * F.col("_n") / (F.col("before") + F.col("same")))
+    down = Window.partitionBy(*keys or ["rng"]).orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ranked = ranked.withColumn("_q", F.min("_q").over(down))
+    if not keys:
+        later = Window.orderBy("rng").rowsBetween(1, Window.unboundedFollowing)  # one row a range
+        least = ranked.groupBy("rng").agg(F.min("_q").alias("_m")).select("rng", F.min("_m").over(later).alias("_later"))
+        ranked = ranked.join(F.broadcast(least), "rng").withColumn("_q", F.least("_q", "_later"))
+    return df.join(ranked.select(*keys, p, F.least(F.lit(1.0), F.col("_q")).alias(name)), [*keys, p], "left")
 
 
 def top_k(df: DataFrame, k: int, keys: list[str], *order: Column, name: str = "rank") -> DataFrame:

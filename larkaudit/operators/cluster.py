@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkaudit.functions.ranks import first_rank, min_rank
+from larkaudit.operators.stats import spearman, with_rho_p
+
 
 def gene_correlation(features: DataFrame) -> DataFrame:
     """gene_1, gene_2, r for every pair of genes, 0 for a constant one; each sample pairs its own genes only."""
@@ -95,27 +98,122 @@ def ambiguity(pairs: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFram
     return pairs.groupBy("k").agg(F.avg(F.when((F.col("together") > low) & (F.col("together") < high), 1.0).otherwise(0.0)).alias("pac"), F.avg("together").alias("mean_together"))
 
 
-def modules(pairs: DataFrame, k: int) -> DataFrame:
-    """gene, module: average linkage of 1 - together, cut to k; the matrix is of genes by genes."""
+def leaf_order(merges: list[tuple[int, int, float]], n: int) -> list[int]:
+    """Leaves from left to right, the first cluster of each merge on the left."""
+    order, waiting = [], [2 * n - 2]
+    while waiting:
+        node = waiting.pop()
+        if node < n:
+            order.append(node)
+        else:
+            left, right, _ = merges[node - n]
+            waiting += [right, left]
+    return order
+
+
+def all_modules(pairs: DataFrame) -> DataFrame:
+    """k, gene, module for each k: average linkage of 1 - together, cut to k and numbered in the order of the leaves.
+
+    A task holds the matrix of genes by genes of one k.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["gene_2"].max()) + 1
+        n, k = int(pdf["gene_2"].max()) + 1, int(pdf["k"].iloc[0])
         d = np.zeros((n, n))
         i, j = pdf["gene_1"].to_numpy(), pdf["gene_2"].to_numpy()
         d[i, j] = d[j, i] = 1 - pdf["together"].to_numpy()
-        return pd.DataFrame({"gene": np.arange(n), "module": cut_tree(average_linkage(d), n, k) + 1})
+        merges = average_linkage(d)
+        label, numbers = cut_tree(merges, n, k), {}
+        for leaf in leaf_order(merges, n):
+            numbers.setdefault(label[leaf], len(numbers) + 1)
+        return pd.DataFrame({"k": k, "gene": np.arange(n), "module": [numbers[x] for x in label]})
 
-    return pairs.where(F.col("k") == k).groupBy("k").applyInPandas(one, "gene long, module int")
+    return pairs.groupBy("k").applyInPandas(one, "k int, gene long, module int")
 
 
-def stable_cores(pairs: DataFrame, found: DataFrame, k: int, within: float = 0.6, between: float = 0.25, margin: float = 0.35) -> DataFrame:
-    """gene, module, within, between, eligible: mean consensus with the own module and the largest mean with another."""
-    p = pairs.where(F.col("k") == k)
-    both = p.select(F.col("gene_1").alias("gene"), F.col("gene_2").alias("other"), "together").unionByName(p.select(F.col("gene_2").alias("gene"), F.col("gene_1").alias("other"), "together"))
-    m = both.join(found, "gene").join(found.select(F.col("gene").alias("other"), F.col("module").alias("other_module")), "other")
-    per = m.groupBy("gene", "module", "other_module").agg(F.avg("together").alias("mean"))
-    g = per.groupBy("gene", "module").agg(
-        F.max(F.when(F.col("module") == F.col("other_module"), F.col("mean"))).alias("within"), F.coalesce(F.max(F.when(F.col("module") != F.col("other_module"), F.col("mean"))), F.lit(0.0)).alias("between")
+def modules(pairs: DataFrame, k: int) -> DataFrame:
+    """gene, module of one k."""
+    return all_modules(pairs.where(F.col("k") == k)).select("gene", "module")
+
+
+def module_name(number: Column) -> Column:
+    return F.concat(F.lit("GapModule_"), F.lpad(number.cast("string"), 2, "0"))
+
+
+def _seen(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """k, gene, module, other_module, together: each pair as both of its genes see it."""
+    both = pairs.select("k", F.col("gene_1").alias("gene"), F.col("gene_2").alias("other"), "together")
+    both = both.unionByName(pairs.select("k", F.col("gene_2").alias("gene"), F.col("gene_1").alias("other"), "together"))
+    theirs = found.select("k", F.col("gene").alias("other"), F.col("module").alias("other_module"))
+    return both.join(found, ["k", "gene"]).join(theirs, ["k", "other"])
+
+
+def module_metrics(pairs: DataFrame, found: DataFrame, small: int = 5) -> DataFrame:
+    """By k: within and between means, separation, pac, silhouette of 1 - together, modules of fewer than ``small`` genes and the smallest size.
+
+    A gene alone in its module has a silhouette of 0.
+    """
+    seen = _seen(pairs, found)
+    own = F.col("module") == F.col("other_module")
+    p = seen.groupBy("k").agg(F.avg(F.when(own, F.col("together"))).alias("within"), F.avg(F.when(~own, F.col("together"))).alias("between"))
+    per = seen.groupBy("k", "gene", "module", "other_module").agg(F.avg(1 - F.col("together")).alias("_d"))
+    g = per.groupBy("k", "gene").agg(F.min(F.when(own, F.col("_d"))).alias("_a"), F.min(F.when(~own, F.col("_d"))).alias("_b"))
+    width = F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0))
+    s = g.groupBy("k").agg(F.avg(F.when(F.col("_a").isNull() | F.col("_b").isNull(), 0.0).otherwise(width)).alias("silhouette"))
+    sizes = found.groupBy("k", "module").agg(F.count("*").alias("_n")).groupBy("k")
+    sizes = sizes.agg(F.sum(F.when(F.col("_n") < small, 1).otherwise(0)).alias("n_small"), F.min("_n").alias("min_size"))
+    out = p.join(s, "k").join(ambiguity(pairs).select("k", "pac"), "k").join(sizes, "k")
+    return out.select("k", "within", "between", (F.col("within") - F.col("between")).alias("separation"), "pac", "silhouette", "n_small", "min_size")
+
+
+def select_k(metrics: DataFrame, least: int = 5) -> DataFrame:
+    """``metrics`` with the sum of the ranks of four measures, and selected: the k of the smallest sum.
+
+    Only k whose modules all have ``least`` genes are eligible, if there are any; of equal sums the
+    larger silhouette, then the larger separation, then the smaller k wins. Null measures rank last.
+    """
+    rank = lambda *order: min_rank([], *order)  # noqa: E731 - one row a k
+    total = rank(F.desc_nulls_last("silhouette")) + rank(F.desc_nulls_last("separation")) + rank(F.asc_nulls_last("pac")) + rank(F.asc_nulls_last("n_small"))
+    m = metrics.withColumn("score", total).withColumn("eligible", F.col("min_size") >= least)
+    first = first_rank([], F.desc("eligible"), F.asc("score"), F.desc_nulls_last("silhouette"), F.desc_nulls_last("separation"), F.asc("k"))
+    # Without an eligible k all are alike in that column, so it decides nothing.
+    return m.withColumn("selected", first == 1)
+
+
+def module_stability(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """By k and module: name, size, consensus within and with all other genes, and the tier of both; a lone gene's module has no within."""
+    own = F.col("module") == F.col("other_module")
+    g = _seen(pairs, found).groupBy("k", "module").agg(
+        F.avg(F.when(own, F.col("together"))).alias("within"), F.min(F.when(own, F.col("together"))).alias("least_within"), F.avg(F.when(~own, F.col("together"))).alias("between")
     )
+    g = found.groupBy("k", "module").agg(F.count("*").alias("n_genes")).join(g, ["k", "module"], "left").withColumn("separation", F.col("within") - F.col("between"))
+    tier = F.when((F.col("within") >= 0.8) & (F.col("separation") >= 0.5), "high").when((F.col("within") >= 0.6) & (F.col("separation") >= 0.3), "moderate").otherwise("low")
+    return g.withColumn("name", module_name(F.col("module"))).withColumn("tier", tier)
+
+
+def core_concordance(cores: DataFrame, attribution: DataFrame, found: DataFrame) -> DataFrame:
+    """By module: Spearman's rho of its patients' sums over all genes and over the core's genes, their means and mean absolute difference.
+
+    ``cores`` (gene, module, eligible), ``attribution`` (sample_id, gene, shap), ``found`` (gene, module); modules without a core give no row.
+    """
+    marked = found.join(cores.where("eligible").select("gene", F.lit(True).alias("_core")), "gene", "left")
+    shap = F.col("shap")
+    sums = attribution.join(marked, "gene").groupBy("module", "sample_id").agg(F.sum(shap).alias("parent"), F.sum(F.when(F.col("_core"), shap)).alias("core"))
+    sums = sums.where(F.col("core").isNotNull())
+    means = sums.groupBy("module").agg(F.avg("parent").alias("mean_parent"), F.avg("core").alias("mean_core"), F.avg(F.abs(F.col("parent") - F.col("core"))).alias("mean_abs_difference"))
+    return means.join(with_rho_p(spearman(sums.withColumn("parent", F.round("parent", 9)).withColumn("core", F.round("core", 9)), ["module"], "parent", "core")), "module")
+
+
+def stable_cores(pairs: DataFrame, found: DataFrame, within: float = 0.6, between: float = 0.25, margin: float = 0.35) -> DataFrame:
+    """gene, module, within (mean, median, least), between (largest mean), eligible: consensus with the own module and with others.
+
+    ``pairs`` and ``found`` (gene, module) are of one k.
+    """
+    seen = _seen(pairs.withColumn("k", F.lit(0)), found.withColumn("k", F.lit(0)))
+    per = seen.groupBy("gene", "module", "other_module").agg(F.avg("together").alias("mean"), F.median("together").alias("median"), F.min("together").alias("least"))
+    own = F.col("module") == F.col("other_module")
+    g = per.groupBy("gene", "module").agg(
+        *[F.max(F.when(own, F.col(c))).alias(n) for c, n in (("mean", "within"), ("median", "median_within"), ("least", "least_within"))], F.coalesce(F.max(F.when(~own, F.col("mean"))), F.lit(0.0)).alias("between")
+    )
     ok = (F.col("within") >= within) & (F.col("between") <= between) & (F.col("within") - F.col("between") >= margin)
-    return g.withColumn("eligible", F.coalesce(ok, F.lit(False)))
+    return g.withColumn("margin", F.col("within") - F.col("between")).withColumn("eligible", F.coalesce(ok, F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkaudit.functions.ranks import first_rank, minmax
+from larkaudit.functions.ranks import first_rank, minmax, places
 
 
 def frequency_idf(targets: DataFrame, entity: str = "patient_id", item: str = "gene") -> DataFrame:
@@ -81,11 +81,10 @@ def null_permuted(sets: DataFrame, permutations: int, by_gene: int = 7919, by_pe
     """perm, patient_id, gene: for each permutation each gene's patients move on in the circle of all patients.
 
     How far depends on the gene and the permutation, so a gene keeps its number of patients while
-    what meets in a patient is dealt anew.
+    what meets in a patient is dealt anew. Ids are numbers.
     """
     s = sets.select("patient_id", "gene").distinct()
-    everyone = s.select("patient_id").distinct().withColumn("_one", F.lit(1))
-    home = everyone.select("patient_id", (first_rank(["_one"], F.asc("patient_id")) - 1).cast("long").alias("place"))
+    home = places(s.select("patient_id").distinct(), "patient_id")
     size = home.agg(F.count("*").alias("_n"))
     p = s.join(home, "patient_id").withColumn("perm", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(permutations).cast("long")))).crossJoin(F.broadcast(size))  # one row
     p = p.withColumn("place", (F.col("place") + F.col("gene") * by_gene + F.col("perm") * by_perm) % F.col("_n"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkaudit.functions import ranks, text
+from larkaudit.functions.lineage import cut
 from larkaudit.operators import attribution as at
 from larkaudit.operators import metrics, models, relational, states, stats, targets
 from larkaudit.plans import facts
@@ -654,21 +655,21 @@ def target_jaccard(spark, d):
     return r6(targets.set_metrics(_sets(spark, d)))
 
 
-@query(TOP5 + """, hm as (select patient_id, row_number() over (order by patient_id) - 1 as place, count(*) over () as n from (select distinct patient_id from sets)), pm as (select unnest(range(1, 6)) as perm)
+@query(TOP5 + """, hm as (select patient_id, row_number() over (order by patient_id) - 1 as place, count(*) over () as n from (select distinct patient_id from sets)), pm as (select unnest(range(1, 101)) as perm)
        select perm, h2.patient_id, s.gene from sets s join hm h on s.patient_id = h.patient_id, pm, hm h2 where h2.place = (h.place + s.gene * 7919 + perm * 104729) % h.n""")
 def target_null_a(spark, d):
-    return targets.null_permuted(_sets(spark, d), 5)
+    return targets.null_permuted(_sets(spark, d), 100)
 
 
 @query()
 def target_null_compare(spark, d):
-    """Overlap of the observed target sets against twenty permutations."""
+    """Overlap of the observed target sets against a hundred permutations."""
     def long(df, keys):
         return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mean_jaccard", "max_recurrence")])).alias("_m")).select(*keys, "_m.*")
 
     s = _sets(spark, d)
     observed = long(targets.set_metrics(s), [])
-    nulls = long(targets.set_metrics(targets.null_permuted(s, 20), keys=["perm"]), ["perm"])
+    nulls = long(targets.set_metrics(targets.null_permuted(s, 100), keys=["perm"]), ["perm"])
     return targets.null_compare(nulls, observed)
 
 
@@ -756,27 +757,65 @@ def tree_shap_additivity(spark, d):
     return g.groupBy("repeat_id", "fold_id").agg(F.max(F.abs(F.col("p") - F.col("e") - F.col("s"))).alias("max_error"), F.count("*").alias("n"))
 
 
+def _consensus(spark, d):
+    """Consensus of 100 bootstraps at 3 to 12 modules, and the modules of each k."""
+    from larkaudit.operators import cluster
+
+    pairs = cut(cluster.consensus(_vectors(spark, d), list(range(3, 13)), bootstraps=100))
+    return pairs, cut(cluster.all_modules(pairs))
+
+
+def _selected(pairs, found):
+    """The pairs and modules of the selected k."""
+    from larkaudit.operators import cluster
+
+    k = cluster.select_k(cluster.module_metrics(pairs, found)).where("selected").select("k")
+    return pairs.join(F.broadcast(k), "k"), found.join(F.broadcast(k), "k")  # one row
+
+
 @query()
 def consensus_audit(spark, d):
-    """By number of modules the ambiguity of the bootstrap consensus of features."""
+    """By number of modules the measures of the bootstrap consensus of features, their ranks, and which number is selected."""
     from larkaudit.operators import cluster
 
-    return cluster.ambiguity(cluster.consensus(_vectors(spark, d), [3, 4, 5, 6], bootstraps=10))
+    return cluster.select_k(cluster.module_metrics(*_consensus(spark, d)))
 
 
 @query()
 def consensus_modules(spark, d):
+    """Modules of the selected k, numbered along the tree."""
+    from larkaudit.operators import cluster
+
+    return _selected(*_consensus(spark, d))[1].withColumn("name", cluster.module_name(F.col("module")))
+
+
+@query()
+def module_stability(spark, d):
+    from larkaudit.operators import cluster
+
+    return cluster.module_stability(*_selected(*_consensus(spark, d)))
+
+
+def _cores(spark, d):
     from larkaudit.operators import cluster
 
-    return cluster.modules(cluster.consensus(_vectors(spark, d), [4], bootstraps=10), 4)
+    pairs, found = _selected(*_consensus(spark, d))
+    found = cut(found.select("gene", "module"))
+    return cut(cluster.stable_cores(pairs, found)), found
 
 
 @query()
 def core_refine(spark, d):
+    return _cores(spark, d)[0]
+
+
+@query()
+def core_concordance(spark, d):
+    """Patients' sums over the stable core of each module against those over the whole module."""
     from larkaudit.operators import cluster
 
-    pairs = cluster.consensus(_vectors(spark, d), [4], bootstraps=10)
-    return cluster.stable_cores(pairs, cluster.modules(pairs, 4), 4)
+    cores, found = _cores(spark, d)
+    return cluster.core_concordance(cores, facts.attribution(spark, d).groupBy("sample_id", "gene").agg(F.avg("shap").alias("shap")), found)
 
 
 # --- tiers, contrasts, reports -------------------------------------------------------------------

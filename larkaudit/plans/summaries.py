@@ -273,7 +273,7 @@ def residual_priority(spark, d):
     return r6(su.residual_priority(_units(spark, d)).select("sample_id", "n_flags", "score", "priority"))
 
 
-NULLS = UNITS + ", " + c.NULL.replace("{n}", "20").replace("with mp as (select distinct gene from memberships), ", "") + """,
+NULLS = UNITS + ", " + c.NULL.replace("{n}", "200").replace("with mp as (select distinct gene from memberships), ", "") + """,
        nl as (select sample_id, avg(s) as null_coverage from (select perm, sample_id, repeat_id, sum(abs(shap) * m) / sum(abs(shap)) as s from attribution join sm using (gene) group by all) group by sample_id),
        tk as (select sample_id, repeat_id, abs(shap) as a, row_number() over (partition by sample_id, repeat_id order by round(abs(shap), 9) desc, gene) as k from attribution), tm as (select sample_id, avg(t) as top from (select sample_id, repeat_id, sum(a) filter (where k <= 10) / sum(a) as t from tk group by all) group by sample_id),
        nu as (select sample_id, residual, round(coverage - null_coverage, 9) as coverage_excess, round(top - 10 / 64.0::double, 9) as top_excess from units join nl using (sample_id) join tm using (sample_id)),
@@ -281,11 +281,11 @@ NULLS = UNITS + ", " + c.NULL.replace("{n}", "20").replace("with mp as (select d
 
 
 def _null_units(spark, d):
-    """Residual, coverage above its null mean over twenty permutations, and the mass of the ten largest above an even share."""
+    """Residual, coverage above its null mean over two hundred permutations, and the mass of the ten largest above an even share."""
     from larkaudit.operators import nulls
 
     a = facts.attribution(spark, d)
-    shuffled = nulls.mapping_null(a, c._mapped(spark), 64, 20).groupBy("sample_id").agg(F.avg("coverage").alias("null_coverage"))
+    shuffled = nulls.mapping_null(a, c._mapped(spark), 64, 200).groupBy("sample_id").agg(F.avg("coverage").alias("null_coverage"))
     top = at.topk_mass(a, [10]).groupBy("sample_id").agg(F.avg("top10_mass").alias("top"))
     u = _units(spark, d).join(shuffled, "sample_id").join(top, "sample_id")
     return u.select("sample_id", "residual", su.r9(F.col("coverage") - F.col("null_coverage")).alias("coverage_excess"), su.r9(F.col("top") - 10 / 64.0).alias("top_excess"))
@@ -339,8 +339,8 @@ def patient_target_summary(spark, d):
 
 
 @query("""with t0 as (select distinct patient_id, core, gene from targets), h as (select core, gene, row_number() over (partition by core order by gene) - 1 as place from (select distinct core, gene from t0)), z as (select core, count(*) as n from h group by core),
-       m as (select perm, patient_id, core, (place + patient_id * 7919 + perm * 104729) % n as place from t0 join h using (core, gene) join z using (core), (select unnest(range(1, 21)) as perm))
+       m as (select perm, patient_id, core, (place + patient_id * 7919 + perm * 104729) % n as place from t0 join h using (core, gene) join z using (core), (select unnest(range(1, 101)) as perm))
        select perm, h.gene, count(*) as n_patients from m join h using (core, place) group by all""")
 def target_null_b(spark, d):
-    """How many patients have each gene when genes move within patient and core, for twenty permutations."""
-    return su.genes_permuted(facts.targets(spark, d), 20).groupBy("perm", "gene").agg(F.count("*").alias("n_patients"))
+    """How many patients have each gene when genes move within patient and core, for a hundred permutations."""
+    return su.genes_permuted(facts.targets(spark, d), 100).groupBy("perm", "gene").agg(F.count("*").alias("n_patients"))
