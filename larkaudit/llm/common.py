@@ -68,7 +68,7 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def spread_join(rows: DataFrame, told: DataFrame, key: str) -> DataFrame:
+def spread_join(rows: DataFrame, told: DataFrame, key: str | list[str]) -> DataFrame:
     """``rows`` joined with ``told`` (written already), which has each ``key`` once and in n how many rows have it.
 
     Keys with more than one in HUBS of all rows, fewer than HUBS whatever the size, are broadcast to

@@ -70,6 +70,24 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkaudit.llm.exact import exact_classes
+
+    return exact_classes(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkaudit.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkaudit.llm.periodic import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -82,10 +100,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_nearest": op9_nearest,
         "op10_near_vectors": op10_near_vectors,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from larkaudit.llm import licenses, line_dedup
+    from larkaudit.llm import divergence, exact, licenses, line_dedup
 
-    return {"op3_license_scan": licenses.oracle(), "op6_line_dedup": line_dedup.oracle()}
+    return {
+        "op3_license_scan": licenses.oracle(),
+        "op6_line_dedup": line_dedup.oracle(),
+        "op11_exact_dedup": exact.oracle(),
+        "op12_source_divergence": divergence.oracle(),
+    }
