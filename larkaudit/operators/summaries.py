@@ -113,8 +113,8 @@ def fuzzy_priority(units: DataFrame) -> DataFrame:
 
 
 def null_priority(units: DataFrame) -> DataFrame:
-    """.4 of the rank of the absolute residual, .3 of that of the coverage's shortfall to the null, .3 of that of the top excess."""
-    u = units.withColumn("_a", F.abs("residual")).withColumn("_c", -F.col("coverage_excess"))
+    """.4 of the rank of the absolute residual excess, .3 of that of the coverage's shortfall to the null, .3 of that of the top excess."""
+    u = units.withColumn("_a", F.abs("residual_excess")).withColumn("_c", -F.col("coverage_excess"))
     for c in ("_a", "_c", "top_excess"):
         u = rank_pct(u, c, name=f"_p{c}")
     return u.withColumn("priority", r9(0.4 * F.col("_p_a") + 0.3 * F.col("_p_c") + 0.3 * F.col("_ptop_excess"))).drop("_a", "_c", "_p_a", "_p_c", "_ptop_excess")
@@ -155,17 +155,3 @@ def patient_targets(scored: DataFrame, k: int = 20) -> DataFrame:
     score = 0.5 * F.col("mean_idf") + 0.3 * F.col("n_specific") / F.col("n_targets") + 0.2 * (1 - F.col("mean_frequency"))
     g = g.join(cores, "patient_id").withColumn("specificity", r9(score))
     return g.withColumn("tier", cut(F.col("specificity"), [0.0, 0.35, 0.6, 2.0], ["low", "moderate", "high"]))
-
-
-def genes_permuted(targets: DataFrame, permutations: int) -> DataFrame:
-    """perm, patient_id, core, gene: within each patient and core the genes move on in the circle of the core's genes.
-
-    How far depends on the patient and the permutation, so each patient keeps the numbers by core
-    while which genes they are is dealt anew. One row a core's gene is held for each place.
-    """
-    t = targets.select("patient_id", "core", "gene").distinct()
-    home = t.select("core", "gene").distinct().withColumn("place", (first_rank(["core"], F.asc("gene")) - 1).cast("long"))
-    sizes = home.groupBy("core").agg(F.count("*").alias("_n"))
-    p = t.join(home, ["core", "gene"]).join(sizes, "core").withColumn("perm", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(permutations).cast("long"))))
-    p = p.withColumn("place", (F.col("place") + F.col("patient_id") * 7919 + F.col("perm") * 104729) % F.col("_n")).drop("gene", "_n")
-    return p.join(home, ["core", "place"]).select("perm", "patient_id", "core", "gene")

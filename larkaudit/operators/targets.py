@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkaudit.functions.ranks import first_rank, minmax, places
+from larkaudit.functions.lineage import cut
+from larkaudit.functions.ranks import first_rank, minmax
+
+#: Entities of a block, and pairs of them that are counted at once.
+BLOCK_ENTITIES, PAIRS_AT_ONCE = 1024, 4_000_000
 
 
 def frequency_idf(targets: DataFrame, entity: str = "patient_id", item: str = "gene") -> DataFrame:
@@ -53,19 +59,69 @@ def layers(scored: DataFrame, quotas: dict[str, int], total: int = 20) -> DataFr
     return r.where(keep).withColumn("rank", first_rank(["patient_id"], F.desc("adjusted"), F.asc("gene"))).where(F.col("rank") <= total)
 
 
+def _jaccard_block(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+    """Sum of the Jaccard indices of all pairs of entities of two blocks (or of one block) that share an item.
+
+    Items go in chunks of bounded pairs, so a block whose entities all share an item costs time, not memory.
+    """
+    low, high = key[-2:]
+    codes, entities = pd.factorize(block["entity"])
+    sizes = np.zeros(len(entities), np.int64)
+    sizes[codes] = block["size"].to_numpy()
+    right = np.zeros(len(entities), bool)
+    right[codes] = (block["block"] == high).to_numpy()
+    shared = np.zeros(len(entities) ** 2, np.int32)
+    items = pd.factorize(block["item"])[0]
+    order = np.argsort(items, kind="stable")
+    codes, items = codes[order], items[order]
+    first = np.searchsorted(items, items)  # where each row's item begins
+    before = np.arange(len(items)) - first
+    ends = np.cumsum(before)
+    start = 0
+    while start < len(items):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS_AT_ONCE, side="right")))
+        n = before[start:stop]
+        a = np.repeat(np.arange(start, stop), n)
+        b = np.repeat(first[start:stop], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = codes[a], codes[b]
+        if low != high:
+            apart = right[x] != right[y]
+            x, y = x[apart], y[apart]
+        shared += np.bincount(np.minimum(x, y) * len(entities) + np.maximum(x, y), minlength=len(shared)).astype(np.int32)
+        start = stop
+    at = np.flatnonzero(shared)
+    both = shared[at]
+    value = float((both / (sizes[at // len(entities)] + sizes[at % len(entities)] - both)).sum())
+    return pd.DataFrame([[*key[:-2], value]], columns=[*(f"k{i}" for i in range(len(key) - 2)), "jaccard"])
+
+
+def jaccard_sums(sets: DataFrame, entity: str, item: str, keys: list[str]) -> DataFrame:
+    """keys and jaccard: the sum over all pairs of entities, counted in pairs of blocks of entities.
+
+    ``sets`` has each item of an entity once, and size. A block holds some BLOCK_ENTITIES entities of one
+    key, so neither an item that every entity has nor a large key is the work of one task.
+    """
+    n = sets.select(entity).distinct().count()
+    blocks = max(1, -(-n // BLOCK_ENTITIES))
+    named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    rows = sets.select(*named, F.col(entity).alias("entity"), F.col(item).alias("item"), "size", F.expr(f"pmod(xxhash64({entity}), {blocks})").alias("block"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumn("low", F.least("block", "_o")).withColumn("high", F.greatest("block", "_o"))
+    kind = ", ".join([f"k{i} {sets.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)] + ["jaccard double"])
+    sums = rows.groupBy(*[f"k{i}" for i in range(len(keys))], "low", "high").applyInPandas(_jaccard_block, kind)
+    return sums.groupBy(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)]).agg(F.sum("jaccard").alias("_j"))
+
+
 def set_metrics(sets: DataFrame, entity: str = "patient_id", item: str = "gene", keys: list[str] | None = None) -> DataFrame:
     """Mean Jaccard index over all pairs of entities, largest share of an item, mean size, number of items.
 
-    Pairs that share nothing add nothing to the sum and are counted, not made: only entities that
-    meet in an item's list are paired.
+    Pairs that share nothing add nothing to the sum and are counted, not made.
     """
     keys = keys or []
     s = sets.select(*keys, entity, item).distinct()
-    sizes = s.groupBy(*keys, entity).agg(F.count("*").alias("size"))
-    a = s.join(sizes, [*keys, entity])
-    b = a.select(*keys, F.col(entity).alias("_e"), item, F.col("size").alias("_s"))
-    met = a.join(b, [*keys, item]).where(F.col(entity) < F.col("_e")).groupBy(*keys, entity, "_e", "size", "_s").agg(F.count("*").alias("_i"))
-    jaccard = met.groupBy(*keys).agg(F.sum(F.col("_i") / (F.col("size") + F.col("_s") - F.col("_i"))).alias("_j"))
+    s = cut(s.withColumn("size", F.count("*").over(Window.partitionBy(*keys, entity))))
+    jaccard = jaccard_sums(s, entity, item, keys)
+    sizes = s.select(*keys, entity, "size").distinct()
     whole = sizes.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg("size").alias("mean_size"))
     items = s.groupBy(*keys, item).agg(F.count("*").alias("_c")).groupBy(*keys).agg(F.max("_c").alias("_m"), F.count("*").alias("n_items"))
     if keys:
@@ -77,20 +133,6 @@ def set_metrics(sets: DataFrame, entity: str = "patient_id", item: str = "gene",
     return out.select(*keys, "mean_jaccard", (1 - F.col("mean_jaccard")).alias("dissimilarity"), "max_recurrence", "mean_size", "n_items")
 
 
-def null_permuted(sets: DataFrame, permutations: int, by_gene: int = 7919, by_perm: int = 104729) -> DataFrame:
-    """perm, patient_id, gene: for each permutation each gene's patients move on in the circle of all patients.
-
-    How far depends on the gene and the permutation, so a gene keeps its number of patients while
-    what meets in a patient is dealt anew. Ids are numbers.
-    """
-    s = sets.select("patient_id", "gene").distinct()
-    home = places(s.select("patient_id").distinct(), "patient_id")
-    size = home.agg(F.count("*").alias("_n"))
-    p = s.join(home, "patient_id").withColumn("perm", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(permutations).cast("long")))).crossJoin(F.broadcast(size))  # one row
-    p = p.withColumn("place", (F.col("place") + F.col("gene") * by_gene + F.col("perm") * by_perm) % F.col("_n"))
-    return p.select("perm", "place", "gene").join(home, "place").select("perm", "patient_id", "gene")
-
-
 def null_compare(nulls: DataFrame, observed: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
     """observed, null mean and sd, z, and lower, upper and two-sided shares by metric; shares count the observation itself."""
     o = observed.select(metric, F.col(value).alias("observed"))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkaudit.functions import ranks, text
+from larkaudit.functions import permute, ranks, text
 from larkaudit.functions.lineage import cut
 from larkaudit.operators import attribution as at
-from larkaudit.operators import metrics, models, relational, states, stats, targets
+from larkaudit.operators import metrics, models, relational, scores, states, stats, targets
 from larkaudit.plans import facts
 from larkaudit.plans.facts import BASE_SQL
 
@@ -655,22 +655,76 @@ def target_jaccard(spark, d):
     return r6(targets.set_metrics(_sets(spark, d)))
 
 
-@query(TOP5 + """, hm as (select patient_id, row_number() over (order by patient_id) - 1 as place, count(*) over () as n from (select distinct patient_id from sets)), pm as (select unnest(range(1, 101)) as perm),
-       mv as materialized (select perm, gene, (place + gene * 7919 + perm * 104729) % n as place from sets join hm using (patient_id), pm) select perm, hm.patient_id, gene from mv join hm using (place)""")
+ENTRIES = """with li as (select * from lineitem join orders on l_orderkey = o_orderkey),
+       ent as (select o_custkey as patient_id, l_partkey as gene, l_partkey % 4 as core, max(l_extendedprice)::double as absolute, least(1.0, count(*) / 5.0::double) as rep,
+               greatest(avg(case when l_returnflag = 'N' then 1.0 else 0.0 end), 1 - avg(case when l_returnflag = 'N' then 1.0 else 0.0 end)) as sgn from li group by o_custkey, l_partkey),
+       g0 as (select l_partkey as gene, count(distinct o_custkey) as n, count(distinct l_linenumber) / 7.0::double as ff, round(avg(l_quantity), 9) as margin from li group by l_partkey),
+       gx as (select max(n) as hi, min(n) as lo, min(margin) as ml, max(margin) as mh, count(*) as n_genes, (select count(distinct o_custkey) from li) as total from g0),
+       gen as (select gene, ff, n_genes, row_number() over (order by gene) - 1 as gplace, case when hi <= lo then 0.5 else (ln((1.0::double + total) / (1 + n)) - ln((1.0::double + total) / (1 + hi))) / (ln((1.0::double + total) / (1 + lo)) - ln((1.0::double + total) / (1 + hi))) end as idf,
+               case when mh <= ml then 0.5 else (margin - ml) / (mh - ml) end as margin from g0, gx)"""
+#: Scores of present genes only: no absent gene is above a present one, as prices are positive.
+SCORED_NULL = """, rk as (select *, n_genes - count(*) over w + row_number() over (partition by {k} patient_id order by absolute, gplace) as pos, max(absolute) over w as high,
+       case when count(*) over w < n_genes then 0 else min(absolute) over w end as low from {s} join gen using (gene) window w as (partition by {k} patient_id)),
+       scn as (select {k} patient_id, gene, round(0.35 * case when high > low then (absolute - low) / (high - low) else 0 end + 0.2 * pos / n_genes + 0.2 * (0.5 * rep + 0.25 * sgn + 0.25 * ff) + 0.1 * margin + 0.15 * idf, 9) as score from rk),
+       best as (select * from scn qualify row_number() over (partition by {k} patient_id order by score desc, gene) <= 20)"""
+NULL_SUMS = " select perm, patient_id, count(*) as n_targets, cast(sum(gene) as bigint) as gene_sum, round(sum(score), 6) as score_sum from best group by perm, patient_id"
+
+
+def _null_sums(spark, d, null):
+    e, genes = facts.target_entries(spark, d), facts.target_genes(spark, d)
+    best = scores.best_targets(scores.present_scores(null(e, 100), genes, ["perm"]), 20, ["perm"])
+    return r6(best.groupBy("perm", "patient_id").agg(F.count("*").alias("n_targets"), F.sum("gene").alias("gene_sum"), F.sum("score").alias("score_sum")))
+
+
+@query(ENTRIES + """, grid as (select p.patient_id, gen.*, coalesce(absolute, 0) as absolute, coalesce(rep, 0) as rep, coalesce(sgn, 0) as sgn, ent.gene is not null as present
+               from (select distinct patient_id from ent) p cross join gen left join ent on ent.patient_id = p.patient_id and ent.gene = gen.gene),
+       sc as (select *, 0.35 * case when max(absolute) over w > min(absolute) over w then (absolute - min(absolute) over w) / (max(absolute) over w - min(absolute) over w) else 0 end
+                       + 0.2 * row_number() over (partition by patient_id order by absolute, gplace) / n_genes + 0.2 * (0.5 * rep + 0.25 * sgn + 0.25 * ff) + 0.1 * margin + 0.15 * idf as score from grid window w as (partition by patient_id))
+       select patient_id, count(*) as n_genes, count(*) filter (where present) as n_present, round(sum(score), 6) as total, round(sum(score * gplace) / count(*), 6) as by_place, round(min(score), 6) as least, round(max(score), 6) as most,
+       round(sum(score) filter (where present), 6) as present_total from sc group by patient_id""", base=False)
+def dense_scores(spark, d):
+    """Scores over the whole matrix of patients and genes, summed up by patient: in all, by place, and of present genes."""
+    rows = scores.dense_rows(facts.target_entries(spark, d), facts.target_genes(spark, d))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    n = F.size("scores")
+    placed = F.transform("scores", lambda x, i: x * i)
+    return r6(rows.select(
+        "patient_id", n.cast("long").alias("n_genes"), F.size("present").cast("long").alias("n_present"), add("scores").alias("total"), (add(placed) / n).alias("by_place"),
+        F.array_min("scores").alias("least"), F.array_max("scores").alias("most"), add(F.transform("present", lambda i: F.get("scores", i.cast("int")))).alias("present_total"),
+    ))
+
+
+@query(ENTRIES + SCORED_NULL.format(k="", s="ent") + " select patient_id, gene, score, row_number() over (partition by patient_id order by score desc, gene) as rank from best", base=False)
+def dense_targets(spark, d):
+    """The twenty best targets of each patient by the scores of the whole matrix."""
+    best = scores.best_targets(scores.present_scores(facts.target_entries(spark, d), facts.target_genes(spark, d)))
+    return best.select("patient_id", "gene", "score", F.col("rank").cast("long"))
+
+
+PERMS = "(select unnest(range(1, 101)) as perm)"
+
+
+@query(ENTRIES + ", src as (select ent.*, row_number() over (partition by gene order by patient_id) - 1 as place, count(*) over (partition by gene) as n from ent), pp as (select * from src, " + PERMS + "), "
+       + permute.sql_permuted("mv", "pp", "gene", "perm, gene, core, absolute, rep, sgn") + """, nul as (select perm, src.patient_id, mv.gene, mv.core, mv.absolute, mv.rep, mv.sgn from mv join src on src.gene = mv.gene and src.place = mv.moved)"""
+       + SCORED_NULL.format(k="perm,", s="nul") + NULL_SUMS, base=False)
 def target_null_a(spark, d):
-    return targets.null_permuted(_sets(spark, d), 100)
+    """The twenty best targets when each gene's values are dealt anew to its patients, for a hundred permutations: how many, which and how good, in sums."""
+    return _null_sums(spark, d, scores.null_within_genes)
 
 
 @query()
 def target_null_compare(spark, d):
-    """Overlap of the observed target sets against a hundred permutations."""
+    """Overlap of the observed target sets against a hundred permutations of either kind."""
     def long(df, keys):
-        return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mean_jaccard", "max_recurrence")])).alias("_m")).select(*keys, "_m.*")
+        return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mean_jaccard", "dissimilarity", "max_recurrence")])).alias("_m")).select(*keys, "_m.*")
 
-    s = _sets(spark, d)
-    observed = long(targets.set_metrics(s), [])
-    nulls = long(targets.set_metrics(targets.null_permuted(s, 100), keys=["perm"]), ["perm"])
-    return targets.null_compare(nulls, observed)
+    e, genes = cut(facts.target_entries(spark, d)), cut(facts.target_genes(spark, d))
+    observed, out = cut(long(targets.set_metrics(scores.best_targets(scores.present_scores(e, genes))), [])), None
+    for name, null in (("within_gene", scores.null_within_genes), ("within_patient_and_core", scores.null_within_cores)):
+        best = scores.best_targets(scores.present_scores(null(e, 100), genes, ["perm"]), 20, ["perm"])
+        found = targets.null_compare(cut(long(targets.set_metrics(best, keys=["perm"]), ["perm"])), observed).withColumn("null_type", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query(IDF + """ select patient_id, string_agg(gene || '[' || core || ']', '; ' order by priority desc, gene) as report, count(*) as n_targets from
@@ -703,19 +757,29 @@ def overlap_summary(spark, d):
 
 # --- nulls, models, clusters ---------------------------------------------------------------------
 
-NULL = """with mp as (select distinct gene from memberships), pm as (select unnest(range(1, {n} + 1)) as perm),
-       sm as (select perm, g.gene, case when mp.gene is null then 0.0 else 1.0 end as m from (select distinct gene from features) g cross join pm left join mp on mp.gene = (g.gene * (2 * ((perm * 29) % 32) + 1) + perm * 11) % 64)"""
-
-
-def _mapped(spark):
-    return at.edges(facts.memberships(spark)).select("gene").distinct()
-
-
-@query(NULL.replace("{n}", "100") + """ select perm, sample_id, repeat_id, round(sum(shap * (1 - m)), 6) + 0.0 as residual, round(sum(abs(shap) * m) / sum(abs(shap)), 6) as coverage from attribution join sm using (gene) group by all""")
+#: Labels of the columns in each permutation of a repeat; observed labels are permutation 0.
+NULL = W_SQL + """, mp as (select distinct gene from memberships), pl as (select gene, row_number() over (order by gene) - 1 as place, count(*) over () as n from (select distinct gene from features)),
+       src as (select r as repeat_id, pl.*, perm from pl, (select unnest(range(1, 6)) as r), (select unnest(range(1, {n} + 1)) as perm)), """ + permute.sql_permuted("mv", "src", "repeat_id", "repeat_id, perm, gene") + """,
+       lb as (select repeat_id, perm, mv.gene, pl.gene as label from mv join pl on pl.place = moved union all select r, 0, gene, gene from pl, (select unnest(range(1, 6)) as r)),
+       cv as (select perm, sample_id, repeat_id, sum(shap * case when mp.gene is null then 1.0 else 0.0 end) as residual, coalesce(sum(abs(shap) * case when mp.gene is null then 0.0 else 1.0 end) / nullif(sum(abs(shap)), 0), 0) as coverage
+              from attribution join lb using (repeat_id, gene) left join mp on mp.gene = label group by all),
+       ts as (select perm, sample_id, repeat_id, term, abs(sum(shap * weight)) as mass from attribution join lb using (repeat_id, gene) join weighted on weighted.gene = label group by all),
+       tr as (select *, row_number() over (partition by perm, sample_id, repeat_id order by mass desc) as k from ts), tf as (select perm, sample_id, repeat_id, coalesce(sum(mass) filter (where k <= 3) / nullif(sum(mass), 0), 0) as top_fraction from tr group by all),
+       nv as (select * from cv join tf using (perm, sample_id, repeat_id))"""
+#: Each unit's place in the null of each measure.
+EXCESS = """, lg as (select perm, sample_id, repeat_id, 'residual' as metric, residual as v from nv union all select perm, sample_id, repeat_id, 'coverage', coverage from nv union all select perm, sample_id, repeat_id, 'top_fraction', top_fraction from nv),
+       ob as (select sample_id, repeat_id, metric, v as observed from lg where perm = 0),
+       ex as (select sample_id, repeat_id, metric, max(observed) as observed, count(*) as n, avg(v) as null_mean, max(observed) - avg(v) as excess, stddev_pop(v) as sd, (1.0::double + count(*) filter (where v <= observed + 1e-9)) / (1 + count(*)) as p_lower,
+              (1.0::double + count(*) filter (where v >= observed - 1e-9)) / (1 + count(*)) as p_upper from lg join ob using (sample_id, repeat_id, metric) where perm > 0 group by all)"""
+#: Sets that count as the largest ones: there are ten in all.
+TOP_SETS = 3
+
+
+@query(NULL.replace("{n}", "100") + " select perm, sample_id, repeat_id, round(residual, 6) + 0.0 as residual, round(coverage, 6) as coverage, round(top_fraction, 6) as top_fraction from nv where perm > 0")
 def mapping_null(spark, d):
     from larkaudit.operators import nulls
 
-    return r6(nulls.mapping_null(facts.attribution(spark, d), _mapped(spark), 64, 100))
+    return r6(nulls.mapping_null(facts.attribution(spark, d), at.edges(facts.memberships(spark)), 100, TOP_SETS))
 
 
 @query("""select perm, sample_id, repeat_id, round(sum(abs(shap) * case when ((sample_id * 7919 + gene * 104729 + repeat_id * 1299709 + perm * 15485863) % 1000003) % 2 = 0 then 1.0::double else -1.0::double end), 6) + 0.0 as total
@@ -726,16 +790,16 @@ def signflip_null(spark, d):
     return r6(nulls.signflip_null(facts.attribution(spark, d), 100))
 
 
-@query(NULL.replace("{n}", "200") + """, o as (select sample_id, repeat_id, sum(abs(shap)) filter (where gene in (select gene from mp)) / sum(abs(shap)) as observed from attribution group by all),
-       nu as (select perm, sample_id, repeat_id, sum(abs(shap) * m) / sum(abs(shap)) as v from attribution join sm using (gene) group by all),
-       g as (select sample_id, repeat_id, max(observed) as observed, avg(v) as null_mean, stddev_pop(v) as sd, count(*) as n, count(*) filter (where v <= observed + 1e-9) as l, count(*) filter (where v >= observed - 1e-9) as u from nu join o using (sample_id, repeat_id) group by all)
-       select sample_id, repeat_id, round(observed, 6) as observed, round(null_mean, 6) as null_mean, n, round(observed - null_mean, 6) + 0.0 as excess, round((observed - null_mean) / nullif(sd, 0), 4) + 0.0 as z, round(least(1.0, 2 * least(1 + l, 1 + u) / (1.0 + n)), 6) as p_value from g""")
+@query(NULL.replace("{n}", "200") + EXCESS + """ select sample_id, repeat_id, metric, round(observed, 6) + 0.0 as observed, n, round(null_mean, 6) + 0.0 as null_mean, round(sd, 6) as null_sd, round(excess, 6) + 0.0 as excess,
+       round(case when sd < 1e-9 then null else excess / sd end, 4) + 0.0 as z, round(p_lower, 6) as p_lower, round(p_upper, 6) as p_upper, round(least(1.0, 2 * least(p_lower, p_upper)), 6) as p_value from ex""")
 def patient_null_excess(spark, d):
+    return r6(_patient_null(spark, d).withColumn("z", F.round("z", 4)))
+
+
+def _patient_null(spark, d):
     from larkaudit.operators import nulls
 
-    a = facts.attribution(spark, d)
-    observed = at.completeness(a, at.edges(facts.memberships(spark)))
-    return r6(nulls.unit_excess(observed, nulls.mapping_null(a, _mapped(spark), 64, 200), "coverage").withColumn("z", F.round("z", 4)))
+    return nulls.patient_null(facts.attribution(spark, d), at.edges(facts.memberships(spark)), 200, TOP_SETS)
 
 
 def _vectors(spark, d):

@@ -73,6 +73,30 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("core", F.col("gene") % 4)
 
 
+def target_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """patient_id, gene, core, absolute, repeat_support, sign_support: highest price, lines (of five), and the share of the flag that most lines have."""
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    kept = F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0))
+    g = l.groupBy(F.col("o_custkey").alias("patient_id"), F.col("l_partkey").alias("gene")).agg(
+        F.max("l_extendedprice").cast("double").alias("absolute"), F.least(F.lit(1.0), F.count("*") / 5.0).alias("repeat_support"), F.greatest(kept, 1 - kept).alias("sign_support")
+    )
+    return g.withColumn("core", F.col("gene") % 4)
+
+
+def target_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gene, idf (0..1 over genes), fold_frequency (line numbers of seven) and margin (mean quantity) of each gene that a patient has."""
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    g = l.groupBy(F.col("l_partkey").alias("gene")).agg(
+        F.countDistinct("o_custkey").alias("n"), (F.countDistinct("l_linenumber") / 7.0).alias("fold_frequency"), F.round(F.avg("l_quantity"), 9).alias("margin")
+    )
+    most = g.agg(F.max("n").alias("_hi"), F.min("n").alias("_lo"))
+    total = l.agg(F.countDistinct("o_custkey").alias("_n"))
+    g = g.crossJoin(F.broadcast(most)).crossJoin(F.broadcast(total))  # one row each
+    idf = lambda c: F.log((1.0 + F.col("_n")) / (1.0 + F.col(c)))
+    scaled = F.when(F.col("_hi") <= F.col("_lo"), 0.5).otherwise((idf("n") - idf("_hi")) / F.nullif(idf("_lo") - idf("_hi"), F.lit(0.0)))
+    return g.select("gene", scaled.alias("idf"), "fold_frequency", "margin")
+
+
 BASE_SQL = """
 emb as (select vec_id as sample_id, case when label >= 5 then 1 else 0 end as y, embedding as e from embeddings),
 features as (select sample_id, y, unnest(range(0, len(e))) as gene, cast(unnest(e) as double) as value from emb),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larkaudit.functions import permute
 from larkaudit.operators import attribution as at
-from larkaudit.operators import metrics
+from larkaudit.operators import metrics, scores
 from larkaudit.operators import summaries as su
 from larkaudit.plans import catalog as c
 from larkaudit.plans import facts
@@ -273,27 +274,30 @@ def residual_priority(spark, d):
     return r6(su.residual_priority(_units(spark, d)).select("sample_id", "n_flags", "score", "priority"))
 
 
-NULLS = UNITS + ", " + c.NULL.replace("{n}", "200").replace("with mp as (select distinct gene from memberships), ", "") + """,
-       nl as (select sample_id, avg(s) as null_coverage from (select perm, sample_id, repeat_id, sum(abs(shap) * m) / sum(abs(shap)) as s from attribution join sm using (gene) group by all) group by sample_id),
-       tk as (select sample_id, repeat_id, abs(shap) as a, row_number() over (partition by sample_id, repeat_id order by round(abs(shap), 9) desc, gene) as k from attribution), tm as (select sample_id, avg(t) as top from (select sample_id, repeat_id, sum(a) filter (where k <= 10) / sum(a) as t from tk group by all) group by sample_id),
-       nu as (select sample_id, residual, round(coverage - null_coverage, 9) as coverage_excess, round(top - 10 / 64.0::double, 9) as top_excess from units join nl using (sample_id) join tm using (sample_id)),
-       np as (select *, round(0.4 * """ + PCT.format("abs(residual)") + " + 0.3 * " + PCT.format("(-coverage_excess)") + " + 0.3 * " + PCT.format("top_excess") + """, 9) as priority from nu)"""
+NULLS = c.NULL.replace("{n}", "200") + c.EXCESS + """, nu as (select sample_id, round(avg(excess) filter (where metric = 'residual'), 9) as residual_excess, round(avg(excess) filter (where metric = 'coverage'), 9) as coverage_excess,
+       round(avg(excess) filter (where metric = 'top_fraction'), 9) as top_excess from ex group by sample_id),
+       np as (select *, round(0.4 * """ + PCT.format("abs(residual_excess)") + " + 0.3 * " + PCT.format("(-coverage_excess)") + " + 0.3 * " + PCT.format("top_excess") + """, 9) as priority from nu)"""
 
 
-def _null_units(spark, d):
-    """Residual, coverage above its null mean over two hundred permutations, and the mass of the ten largest above an even share."""
+@query(NULLS + " select sample_id, round(residual_excess, 6) + 0.0 as residual_excess, round(coverage_excess, 6) + 0.0 as coverage_excess, round(top_excess, 6) + 0.0 as top_excess, round(priority, 6) as priority from np")
+def null_corrected_priority(spark, d):
+    """Residual, coverage and mass of the largest sets above their null means over two hundred permutations, and the priority they give."""
     from larkaudit.operators import nulls
 
-    a = facts.attribution(spark, d)
-    shuffled = nulls.mapping_null(a, c._mapped(spark), 64, 200).groupBy("sample_id").agg(F.avg("coverage").alias("null_coverage"))
-    top = at.topk_mass(a, [10]).groupBy("sample_id").agg(F.avg("top10_mass").alias("top"))
-    u = _units(spark, d).join(shuffled, "sample_id").join(top, "sample_id")
-    return u.select("sample_id", "residual", su.r9(F.col("coverage") - F.col("null_coverage")).alias("coverage_excess"), su.r9(F.col("top") - 10 / 64.0).alias("top_excess"))
+    p = nulls.null_patients(c._patient_null(spark, d), ["sample_id"])
+    value = lambda m: su.r9(F.max(F.when(F.col("metric") == m, F.col("excess_mean"))))
+    wide = p.groupBy("sample_id").agg(value("residual").alias("residual_excess"), value("coverage").alias("coverage_excess"), value("top_fraction").alias("top_excess"))
+    return r6(su.null_priority(wide))
 
 
-@query(NULLS + " select sample_id, round(residual, 6) + 0.0 as residual, round(coverage_excess, 6) + 0.0 as coverage_excess, round(top_excess, 6) + 0.0 as top_excess, round(priority, 6) as priority from np")
-def null_corrected_priority(spark, d):
-    return r6(su.null_priority(_null_units(spark, d)))
+@query(c.NULL.replace("{n}", "200") + c.EXCESS + """ select sample_id, metric, count(*) as n_repeats, round(avg(observed), 6) + 0.0 as observed_mean, round(avg(null_mean), 6) + 0.0 as null_mean_mean, round(avg(excess), 6) + 0.0 as excess_mean,
+       round(stddev_samp(excess), 6) as excess_sd, round(median(excess), 6) + 0.0 as excess_median, round(avg(case when sd < 1e-9 then null else excess / sd end), 4) + 0.0 as z_mean from ex group by all""")
+def null_corrected_patients(spark, d):
+    """Observed, null and excess of each measure by patient, over repeats."""
+    from larkaudit.operators import nulls
+
+    p = nulls.null_patients(c._patient_null(spark, d), ["sample_id"]).withColumn("z_mean", F.round("z_mean", 4))
+    return r6(p.select("sample_id", "metric", "n_repeats", "observed_mean", "null_mean_mean", "excess_mean", "excess_sd", "excess_median", "z_mean"))
 
 
 @query(c.STATES + c.CONSISTENT + """, am as (select patient_id, core, round(avg(positive), 9) as m, coalesce(stddev_samp(positive), 0) as s from fuzzy group by all), u0 as (select patient_id, max(m) as most, round(avg(s), 9) as uncertainty from am group by patient_id),
@@ -338,9 +342,9 @@ def patient_target_summary(spark, d):
     return r6(su.patient_targets(_pool(spark, d)).select("patient_id", "n_targets", "n_generic", "n_recurrent", "n_specific", "mean_score", "dominant_core", "specificity", "tier"))
 
 
-@query("""with t0 as (select distinct patient_id, core, gene from targets), h as (select core, gene, row_number() over (partition by core order by gene) - 1 as place from (select distinct core, gene from t0)), z as (select core, count(*) as n from h group by core),
-       m as (select perm, patient_id, core, (place + patient_id * 7919 + perm * 104729) % n as place from t0 join h using (core, gene) join z using (core), (select unnest(range(1, 101)) as perm))
-       select perm, h.gene, count(*) as n_patients from m join h using (core, place) group by all""")
+@query(c.ENTRIES + ", src as (select ent.*, row_number() over (partition by patient_id, core order by gene) - 1 as place, count(*) over (partition by patient_id, core) as n from ent), pp as (select * from src, " + c.PERMS + "), "
+       + permute.sql_permuted("mv", "pp", "patient_id * 1000003 + core", "perm, patient_id, core, absolute, rep, sgn") + """, nul as (select perm, mv.patient_id, src.gene, mv.core, mv.absolute, mv.rep, mv.sgn from mv join src on src.patient_id = mv.patient_id and src.core = mv.core and src.place = mv.moved)"""
+       + c.SCORED_NULL.format(k="perm,", s="nul") + c.NULL_SUMS, base=False)
 def target_null_b(spark, d):
-    """How many patients have each gene when genes move within patient and core, for a hundred permutations."""
-    return su.genes_permuted(facts.targets(spark, d), 100).groupBy("perm", "gene").agg(F.count("*").alias("n_patients"))
+    """The twenty best targets when each patient's values are dealt anew within a core, for a hundred permutations, in sums."""
+    return c._null_sums(spark, d, scores.null_within_cores)

@@ -65,18 +65,6 @@ def test_border_scores(spark):
     assert {r["patient_id"]: r["score"] for r in got} == pytest.approx({1: 0.25 + 0.2 * 0.5 + 0.1, 2: 0.3 + 0.2 + 0.15 * 0.4 + 0.1 * 0.5})
 
 
-def test_genes_move_within_patient_and_core(spark):
-    rows = [(p, p % 2, 10 * (p % 2) + g) for p in range(6) for g in range(p % 3 + 1)]
-    t = spark.createDataFrame(rows, "patient_id long, core long, gene long")
-    moved = summaries.genes_permuted(t, 4).collect()
-    for perm in range(1, 5):
-        count = {}
-        for r in moved:
-            if r["perm"] == perm:
-                assert r["gene"] // 10 == r["core"]
-                count[r["patient_id"]] = count.get(r["patient_id"], 0) + 1
-        assert count == {p: p % 3 + 1 for p in range(6)}
-
 
 def test_competition_rank_and_log(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (3.0,)], "v double")
