@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from larkaudit.llm.common import WORD, bounded_batches, fresh
-from larkaudit.llm.shingles import encoded
+from larkaudit.llm.shingles import blocks, encoded
 
 LEAST_WORDS, LEAST_POWER = 6, 4
 RUN = "struct<start:long,length:long,period:long>"
@@ -126,26 +126,22 @@ def strongest(runs: np.ndarray) -> int:
     return best
 
 
-def _found(texts: list[str | None]) -> tuple[list, list, list[str]]:
-    """For each text its runs, the strongest one, and the text of the words that stay."""
+def _found(texts: list[bytes]) -> Iterator[tuple[np.ndarray, int, str]]:
+    """For each text its runs, which of them is the strongest (-1 without any), and the text of the words that stay."""
     words, ids, bounds = [], [], [0]
     for t in texts:
-        own = encoded(t).split()  # bytes are split at blank, tab and the line ends of ASCII
+        own = t.split()  # bytes are split at blank, tab and the line ends of ASCII
         # A word's number is the place where its document has it first, so no gram spans two documents.
         ids.append(np.fromiter(map({}.setdefault, own, count(bounds[-1])), np.int64, len(own)))
         words.append(own)
         bounds.append(bounds[-1] + len(own))
-    runs = runs_of(np.concatenate(ids)) if ids else np.zeros((0, 3), np.int64)
+    runs = runs_of(np.concatenate(ids))
     cuts = np.searchsorted(runs[:, 0], bounds)
-    each, best, kept = [], [], []
     for i, own in enumerate(words):
         mine = runs[cuts[i] : cuts[i + 1]] - [bounds[i], 0, 0]
         if len(mine):
             own = [own[j] for j in np.flatnonzero(~dropped(len(own), mine))]
-        each.append(mine)
-        best.append(strongest(mine) if len(mine) else -1)
-        kept.append(b" ".join(own).decode("utf-8", "replace"))
-    return each, best, kept
+        yield mine, strongest(mine) if len(mine) else -1, b" ".join(own).decode("utf-8", "replace")
 
 
 def _struct(rows: np.ndarray, mask: np.ndarray | None = None) -> pa.StructArray:
@@ -154,19 +150,18 @@ def _struct(rows: np.ndarray, mask: np.ndarray | None = None) -> pa.StructArray:
 
 
 def run_column(text: Column) -> Column:
-    """A struct of n_runs, runs, strongest (null without runs) and collapsed for each text; texts of a batch are searched at once."""
+    """A struct of n_runs, runs, strongest (null without runs) and collapsed for each text; texts are searched in blocks of bounded size, a longer one alone."""
     kind = _parse_datatype_string(RESULT)
 
     @F.arrow_udf(kind)
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            each, best, kept = _found(texts.to_pylist())
-            sizes = [len(r) for r in each]
-            flat = np.concatenate([*each, np.zeros((0, 3), np.int64)]).astype(np.int64)
-            top = np.array([r[b] if b >= 0 else (0, 0, 0) for r, b in zip(each, best, strict=True)], np.int64).reshape(-1, 3)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            runs = pa.ListArray.from_arrays(offsets, _struct(flat))
-            columns = [pa.array(sizes, pa.int64()), runs, _struct(top, np.array(best, np.int64) < 0), pa.array(kept, pa.string())]
+            rows = [r for block in blocks([encoded(t) for t in texts.to_pylist()]) for r in _found(block)]
+            flat = np.concatenate([*(r for r, _, _ in rows), np.zeros((0, 3), np.int64)])
+            top = np.array([r[b] if b >= 0 else (0, 0, 0) for r, b, _ in rows], np.int64).reshape(-1, 3)
+            sizes, none = np.array([len(r) for r, _, _ in rows], np.int64), np.array([b < 0 for _, b, _ in rows], bool)
+            runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), _struct(flat))
+            columns = [pa.array(sizes), runs, _struct(top, none), pa.array([t for _, _, t in rows], pa.string())]
             yield pa.StructArray.from_arrays(columns, RESULT_NAMES).cast(to_arrow_type(kind))
 
     return found(text)
