@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkaudit.llm.common import bounded_batches, cut, spread_join
+from larkaudit.llm.common import bounded_batches, cut, discard, new_path, spread_join, written
 from larkaudit.llm.shingles import encoded
 
 MIN_DF = 10
@@ -138,9 +138,11 @@ def divergence(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP_TERMS) -> D
     read whole; repeated rows count each; an empty table gives no rows; other columns are not read.
     """
     known = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    sums = cut(group_sums(count_vectors(known), ["lang", "source"]))
+    spark, all_sums, kept_sums = docs.sparkSession, new_path(docs.sparkSession), new_path(docs.sparkSession)
+    sums = written(group_sums(count_vectors(known), ["lang", "source"]), all_sums)
     terms = cut(vocabulary(sums, min_df))
-    kept = cut(spread_join(sums.select("lang", "source", "term", "hits"), terms, ["lang", "term"]))
+    kept = written(spread_join(sums.select("lang", "source", "term", "hits"), terms, ["lang", "term"]), kept_sums)
+    discard(spark, all_sums)  # terms and kept are written: nothing reads it any more
     langs = terms.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.count("*").alias("terms"))
     groups = known.select("lang", "source").distinct()
     langs = groups.groupBy("lang").agg(F.count("*").alias("n")).join(langs, "lang", "left").withColumn("sources", F.col("n")).na.fill(0)
@@ -149,6 +151,7 @@ def divergence(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP_TERMS) -> D
     groups = cut(groups.withColumn("none", share("0", "group_total", "terms")).withColumnRenamed("_n", "n"))
     entries = spread_join(kept, groups, ["lang", "source"])
     entries = cut(entries.withColumn("p", share("hits", "group_total", "terms")).withColumn("q", share("total", "lang_total", "terms")))
+    discard(spark, kept_sums)
     above = entries.where("p > q").select("lang", "source", F.col("term").alias("item"), F.expr("(p - q) * (p - q) div (p + q)").alias("value"))
     return ranked(pair_values(entries, groups), "pair").unionByName(ranked(above, "term", top))
 
