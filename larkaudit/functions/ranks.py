@@ -12,16 +12,25 @@ from pyspark.sql import functions as F
 from larkaudit.functions.lineage import cut as cut_lineage
 
 RANGES = 64
+#: Distinct values that one window takes; more are split into RANGES ranges.
+ONE_WINDOW = 200_000
 
 
 def _ranged(counts: DataFrame, value: str) -> DataFrame:
-    """``counts`` (value, same, cut already) with ``rng``, a range of values, and ``before``: rows with smaller values."""
-    edges = counts.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.005)
-    rng = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e < F.col(value))) if edges else F.lit(0)
-    counts = counts.withColumn("rng", rng)
+    """``counts`` (value, same) with ``rng``, a range of values, and ``before``: rows with smaller values.
+
+    Up to ONE_WINDOW values are one range, and so one window.
+    """
+    counts = cut_lineage(counts)  # read for their number, range bounds, sums and windows
+    edges = []
+    if counts.count() > ONE_WINDOW:
+        edges = sorted(set(counts.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.005)))
+    w = Window.partitionBy("rng").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    if not edges:
+        return counts.withColumn("rng", F.lit(0)).withColumn("before", F.coalesce(F.sum("same").over(w), F.lit(0)))
+    counts = counts.withColumn("rng", F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(value))))
     sums = counts.groupBy("rng").agg(F.sum("same").alias("words"))
     sums = sums.withColumn("start", F.coalesce(F.sum("words").over(Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("rng").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inner = counts.withColumn("inner", F.coalesce(F.sum("same").over(w), F.lit(0)))
     return inner.join(sums.select("rng", "start"), "rng").withColumn("before", F.col("inner") + F.col("start")).drop("inner", "start")
 
@@ -36,7 +45,7 @@ def _cumulated(counts: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 def places(distinct: DataFrame, value: str, name: str = "place") -> DataFrame:
     """Adds the place of each row by a numeric column without repeats, from 0 on."""
-    return _ranged(cut_lineage(distinct.withColumn("same", F.lit(1))), value).withColumn(name, F.col("before").cast("long")).drop("same", "rng", "before")
+    return _ranged(distinct.withColumn("same", F.lit(1)), value).withColumn(name, F.col("before").cast("long")).drop("same", "rng", "before")
 
 
 def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "avg_rank", total: str = "rank_n") -> DataFrame:
@@ -44,6 +53,10 @@ def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None, name
     keys = keys or []
     if not keys:
         df = cut_lineage(df)  # read for range bounds, ranks, totals and the join: once is enough to make it
+        if df.count() <= ONE_WINDOW:
+            known, alike = F.col(value).isNotNull(), F.count("*").over(Window.partitionBy(value))
+            rank = F.rank().over(Window.orderBy(F.col(value).asc_nulls_last())) + (alike - 1) / 2
+            return df.withColumn(name, F.when(known, rank)).withColumn(total, F.when(known, F.count(value).over(Window.partitionBy())))
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("same"))
     ranked = _cumulated(counts, value, keys)
     totals = counts.groupBy(*keys).agg(F.sum("same").alias(total))

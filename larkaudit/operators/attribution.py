@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkaudit.functions.lineage import cut
+from larkaudit.functions.quantiles import exact_quantiles
 from larkaudit.functions.ranks import first_rank
 from larkaudit.functions.text import clean_symbol
 
@@ -95,7 +97,8 @@ def harmonize(symbols: DataFrame, approved: DataFrame, aliases: DataFrame, synon
 
 def gap_tiers(genes: DataFrame, least_folds: int = 5, stable_folds: int = 10) -> DataFrame:
     """Adds a tier from folds, sign consistency and the quantiles of ``pipeline`` over supported genes."""
-    q = genes.where(F.col("n_folds") >= least_folds).agg(F.percentile("pipeline", 0.75).alias("_q75"), F.percentile("pipeline", 0.9).alias("_q90"))
+    genes = cut(genes)
+    q = exact_quantiles(genes.where(F.col("n_folds") >= least_folds), "pipeline", {"_q75": 0.75, "_q90": 0.9})
     g = genes.crossJoin(F.broadcast(q))  # one row
     tier = (
         F.when((F.col("n_folds") >= stable_folds) & (F.col("pipeline") >= F.col("_q90")) & (F.col("sign_consistency") >= 0.8), "high")

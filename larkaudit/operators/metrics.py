@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkaudit.functions.lineage import cut
+from larkaudit.functions.quantiles import exact_quantiles
 from larkaudit.functions.ranks import average_ranks, first_rank
 
 
@@ -78,7 +80,9 @@ def best_threshold(swept: DataFrame, keys: list[str], measure: str) -> DataFrame
 
 def calibration_bins(df: DataFrame, keys: list[str], bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
     """Quantile bins: mean p and observed share; a p that is equal to an edge stays below it."""
-    edges = df.groupBy(*keys).agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
+    df = cut(df.select(*keys, y, p))
+    q = exact_quantiles(df, p, {f"_e{i}": i / bins for i in range(1, bins)}, keys)
+    edges = q.select(*keys, F.array(*[f"_e{i}" for i in range(1, bins)]).alias("_e"))
     b = df.join(F.broadcast(edges), keys).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(p))).cast("long"))  # one row a group of keys
     g = b.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("observed"))
     return g.withColumn("residual", F.col("observed") - F.col("mean_p"))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkaudit.functions.quantiles import exact_quantiles
 from larkaudit.functions.ranks import first_rank
 
 
@@ -38,7 +39,7 @@ def training_median(rows: DataFrame, keys: list[str], value: str = "value", trai
     """Nulls and non-finite values replaced by the median of the training rows of their group."""
     finite = F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(F.col(value))
     r = rows.withColumn(value, finite)
-    medians = r.where(F.col(train)).groupBy(*keys).agg(F.percentile(value, 0.5).alias("_m"))
+    medians = exact_quantiles(r.where(F.col(train)), value, {"_m": 0.5}, keys)
     return r.join(medians, keys, "left").withColumn(value, F.coalesce(value, "_m")).drop("_m")
 
 

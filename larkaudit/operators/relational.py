@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkaudit.functions.lineage import cut
+from larkaudit.functions.quantiles import exact_quantiles
+
 
 class AuditError(ValueError):
     """An invariant does not hold."""
@@ -74,12 +77,15 @@ def fallback_join(left: DataFrame, right: DataFrame, key: str, least: int = 100)
     return squeezed if squeezed.count() > n else exact
 
 
-def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, sd, median, q25, q75, least, most by keys, null keys kept."""
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.round(F.median(value), 9).alias("median"),
-        F.round(F.percentile(value, 0.25), 9).alias("q25"), F.round(F.percentile(value, 0.75), 9).alias("q75"), F.min(value).alias("least"), F.max(value).alias("most"),
-    )
+def describe(df: DataFrame, keys: list[str], value: str, tails: dict[str, float] | None = None) -> DataFrame:
+    """n, mean, sd, median, q25, q75, least, most by keys, null keys kept; ``tails`` are further quantiles by name."""
+    df = cut(df.select(*keys, value))
+    named = {c: F.struct(F.col(k)).alias(c) for c, k in zip((f"_k{i}" for i in range(len(keys))), keys, strict=True)}  # a struct joins where its field is null
+    spread = df.groupBy(*named.values()).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"))
+    q = exact_quantiles(df, value, {"median": 0.5, "q25": 0.25, "q75": 0.75} | (tails or {}), keys)
+    q = q.select(*named.values(), *[F.round(c, 9).alias(c) for c in q.columns if c not in keys])
+    out = spread.join(q, list(named)) if keys else spread.crossJoin(q)  # one row each
+    return out.select(*[F.col(c)[k].alias(k) for c, k in zip(named, keys, strict=True)], "n", "mean", "sd", "median", "q25", "q75", "least", "most", *(tails or {}))
 
 
 def column_diagnostics(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkaudit.functions.lineage import cut as cut_lineage
+from larkaudit.functions.quantiles import exact_quantiles
 from larkaudit.functions.ranks import cut, first_rank, rank_pct, tiers
 
 
@@ -39,11 +41,12 @@ def taxonomy(d: DataFrame, near: float = 0.05) -> DataFrame:
     """Percentiles, rank state, tiers, integrated state and number of flags of each sample of ``disagreement``."""
     d = rank_pct(rank_pct(d, "a_p", name="a_pct"), "b_p", name="b_pct")
     d = d.withColumn("mean_pct", (F.col("a_pct") + F.col("b_pct")) / 2).withColumn("instability", F.greatest("a_sd", "b_sd"))
-    q = d.agg(*[F.percentile(c, F.array(F.lit(0.75), F.lit(0.9))).alias(f"q_{c}") for c in ("abs_difference", "instability")])
-    d = d.crossJoin(F.broadcast(q))  # one row
+    d = cut_lineage(d)
+    for c in ("abs_difference", "instability"):
+        d = d.crossJoin(F.broadcast(exact_quantiles(d, c, {f"q75_{c}": 0.75, f"q90_{c}": 0.9})))  # one row
     d = d.withColumn("rank_state", cut(F.col("mean_pct"), [0.0, 0.25, 0.75, 1.0], ["early_like", "intermediate", "advanced_like"]))
-    d = d.withColumn("dependence", tiers(F.col("abs_difference"), F.col("q_abs_difference")[0], F.col("q_abs_difference")[1]))
-    d = d.withColumn("instability_tier", tiers(F.col("instability"), F.col("q_instability")[0], F.col("q_instability")[1]))
+    d = d.withColumn("dependence", tiers(F.col("abs_difference"), F.col("q75_abs_difference"), F.col("q90_abs_difference")))
+    d = d.withColumn("instability_tier", tiers(F.col("instability"), F.col("q75_instability"), F.col("q90_instability")))
     d = d.withColumn("direction", F.when(F.col("difference") > near, "a_higher").when(F.col("difference") < -near, "b_higher").otherwise("agree"))
     early, advanced = F.col("rank_state") == "early_like", F.col("rank_state") == "advanced_like"
     state = (
@@ -53,7 +56,7 @@ def taxonomy(d: DataFrame, near: float = 0.05) -> DataFrame:
     )
     flag = lambda c: F.when(c, 1).otherwise(0)
     flags = flag(F.col("dependence") == "high") + flag(F.col("instability_tier") == "high") + flag(((F.col("y") == 0) & advanced) | ((F.col("y") == 1) & early))
-    return d.withColumn("integrated_state", state).withColumn("n_flags", flags).drop("q_abs_difference", "q_instability")
+    return d.withColumn("integrated_state", state).withColumn("n_flags", flags).drop("q75_abs_difference", "q90_abs_difference", "q75_instability", "q90_instability")
 
 
 def residual_state(signs: DataFrame, zero: float = 0.01, stable: float = 0.8) -> Column:
@@ -65,7 +68,8 @@ def residual_state(signs: DataFrame, zero: float = 0.01, stable: float = 0.8) ->
 def fuzzy_memberships(core: DataFrame) -> DataFrame:
     """Adds by repeat and core: the value centred on the median, its positive and negative membership and its magnitude's."""
     keys = ["repeat_id", "core"]
-    middle = core.groupBy(*keys).agg(F.median("signed").alias("_m"))
+    core = cut_lineage(core)
+    middle = exact_quantiles(core, "signed", {"_m": 0.5}, keys)
     c = core.join(middle, keys).withColumn("centred", F.round(F.col("signed") - F.col("_m"), 9)).withColumn("_abs", F.abs("centred")).drop("_m")
     c = rank_pct(rank_pct(c, "centred", keys, "positive"), "_abs", keys, "magnitude")
     return c.withColumn("negative", 1 - F.col("positive")).drop("_abs")

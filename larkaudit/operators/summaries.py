@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkaudit.functions.lineage import cut as cut_lineage
+from larkaudit.functions.quantiles import exact_quantiles
 from larkaudit.functions.ranks import cut, first_rank, minmax, rank_pct, tiers
+from larkaudit.operators.relational import describe
 
 
 def r9(c: Column) -> Column:
@@ -21,10 +24,7 @@ def long_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 
 def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, sd, median, least, most, q025 and q975 by keys, null keys kept."""
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), r9(F.median(value)).alias("median"),
-        F.min(value).alias("least"), F.max(value).alias("most"), r9(F.percentile(value, 0.025)).alias("q025"), r9(F.percentile(value, 0.975)).alias("q975"),
-    )
+    return describe(df, keys, value, {"q025": 0.025, "q975": 0.975}).drop("q25", "q75")
 
 
 def over_repeats(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
@@ -83,19 +83,20 @@ def portability(threshold: float = 0.5, near: float = 0.05) -> Column:
 
 
 def candidate_scores(units: DataFrame) -> DataFrame:
-    """Score and tier of residual candidates: .25 size, .2 low coverage, .2 consistency, .15 instability, .2 dependence, as ranks where not shares.
+    """Score and tier of residual candidates: ranks, weighted .25 unmapped mass, .2 low coverage, .2 sign consistency, .15 sd of the residual, .2 dependence.
 
-    ``units``: unit, size, coverage, sign_consistency, instability, dependence. A tier's bins are
-    closed on the right, so a score has to exceed its quantile.
+    ``units``: unit, unmapped, coverage, sign_consistency, residual_sd, dependence. Low coverage is one
+    minus the rank of coverage. A tier's bins are closed on the right, so a score has to exceed its quantile.
     """
-    u = units.withColumn("_low", -F.col("coverage"))
-    for c in ("size", "_low", "instability", "dependence"):
+    u = units
+    for c in ("unmapped", "coverage", "sign_consistency", "residual_sd", "dependence"):
         u = rank_pct(u, c, name=f"_p{c}")
-    score = 0.25 * F.col("_psize") + 0.2 * F.col("_p_low") + 0.2 * F.col("sign_consistency") + 0.15 * F.col("_pinstability") + 0.2 * F.col("_pdependence")
+    score = 0.25 * F.col("_punmapped") + 0.2 * (1 - F.col("_pcoverage")) + 0.2 * F.col("_psign_consistency") + 0.15 * F.col("_presidual_sd") + 0.2 * F.col("_pdependence")
     u = u.withColumn("score", r9(score))
-    q = u.agg(*[r9(F.percentile("score", x)).alias(n) for x, n in ((0.75, "_q75"), (0.9, "_q90"))])
+    u = cut_lineage(u)
+    q = exact_quantiles(u, "score", {"_q75": 0.75, "_q90": 0.9}).select(*[r9(F.col(c)).alias(c) for c in ("_q75", "_q90")])
     u = u.crossJoin(F.broadcast(q)).withColumn("tier", tiers(F.col("score"), F.col("_q75"), F.col("_q90"), strict=True))  # one row
-    return u.drop("_low", "_psize", "_p_low", "_pinstability", "_pdependence", "_q75", "_q90")
+    return u.drop("_punmapped", "_pcoverage", "_psign_consistency", "_presidual_sd", "_pdependence", "_q75", "_q90")
 
 
 def residual_priority(units: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkaudit.operators import metrics, models
+from larkaudit.operators import linear, metrics, models
 from larkaudit.sources.config import RunConfig
 from larkaudit.sources.readers import read_delimited, unpivot_matrix
 from larkaudit.sources.validate import Inputs, SchemaError, aligned, check_output
@@ -28,12 +28,10 @@ def reliability(oof: DataFrame) -> DataFrame:
 
 
 def representation(long: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row of coverage, and mean contributions of each gene without a set; contributions are scaled values times class difference."""
-    rows = long.join(labels, "patient_id")
-    g = rows.groupBy("gene_id").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), (F.avg(F.when(F.col("label") == 1, F.col("value"))) - F.avg(F.when(F.col("label") == 0, F.col("value")))).alias("_d"))
-    scaled = F.coalesce(F.try_divide(F.col("value") - F.col("_m"), F.col("_s")), F.lit(0.0)) * F.coalesce(F.try_divide("_d", "_s"), F.lit(0.0))
+    """One row of coverage, and mean contributions of each gene without a set; contributions are scaled values times the coefficients of a fitted model."""
+    shap = linear.whole_fit(long.select(F.col("patient_id").alias("sample_id"), F.col("gene_id").alias("gene"), "value"), labels.select(F.col("patient_id").alias("sample_id"), F.col("label").alias("y")))
     has = sets.select("gene_id").distinct().withColumn("represented", F.lit(True))
-    c = rows.join(g, "gene_id").withColumn("c", scaled).join(has, "gene_id", "left").withColumn("represented", F.coalesce("represented", F.lit(False)))
+    c = shap.select(F.col("gene").alias("gene_id"), F.col("shap").alias("c")).join(has, "gene_id", "left").withColumn("represented", F.coalesce("represented", F.lit(False)))
     per = c.groupBy("gene_id", "represented").agg(F.avg(F.abs("c")).alias("mean_absolute_contribution"), F.avg("c").alias("mean_signed_contribution"), F.sum(F.abs("c")).alias("_a"), F.sum("c").alias("_c"))
     covered = lambda v: F.sum(F.when(F.col("represented"), F.col(v)).otherwise(0.0))
     one = per.agg(

@@ -520,7 +520,7 @@ def bh_fdr_within(spark, d):
        n as (select count(distinct sample_id)::double as n from x)
        select a.gene as gene_1, b.gene as gene_2, round(coalesce(sum(a.z * b.z) / (max(n) - 1), 0), 6) + 0.0 as r from z a join z b on a.sample_id = b.sample_id and a.gene < b.gene, n group by all""")
 def gene_correlation(spark, d):
-    from larkaudit.operators.cluster import gene_correlation as correlated
+    from larkaudit.operators.gram import gene_correlation as correlated
 
     return r6(correlated(facts.features(spark, d)))
 
@@ -771,6 +771,10 @@ EXCESS = """, lg as (select perm, sample_id, repeat_id, 'residual' as metric, re
        ob as (select sample_id, repeat_id, metric, v as observed from lg where perm = 0),
        ex as (select sample_id, repeat_id, metric, max(observed) as observed, count(*) as n, avg(v) as null_mean, max(observed) - avg(v) as excess, stddev_pop(v) as sd, (1.0::double + count(*) filter (where v <= observed + 1e-9)) / (1 + count(*)) as p_lower,
               (1.0::double + count(*) filter (where v >= observed - 1e-9)) / (1 + count(*)) as p_upper from lg join ob using (sample_id, repeat_id, metric) where perm > 0 group by all)"""
+def _mapped(spark):
+    return at.edges(facts.memberships(spark)).select("gene").distinct()
+
+
 #: Sets that count as the largest ones: there are ten in all.
 TOP_SETS = 3
 

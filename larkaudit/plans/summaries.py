@@ -261,11 +261,18 @@ def _units(spark, d):
     return r.join(tax, "sample_id")
 
 
-@query(UNITS + f""", p as (select sample_id, size, coverage, round(0.25 * {PCT.format("size")} + 0.2 * {PCT.format("(-coverage)")} + 0.2 * sign_consistency + 0.15 * {PCT.format("instability")} + 0.2 * {PCT.format("dependence")}, 9) as score from units),
+@query(UNITS + f""", um as (select sample_id, round(avg(a), 9) as unmapped from (select sample_id, repeat_id, sum(case when gene in (select gene from mp) then 0 else abs(shap) end) as a from attribution group by all) group by sample_id),
+       rs as (select sample_id, round(stddev_samp(residual), 9) as residual_sd from cover group by sample_id), cu as (select * from units join um using (sample_id) join rs using (sample_id)),
+       p as (select sample_id, unmapped, coverage, round(0.25 * {PCT.format("unmapped")} + 0.2 * (1 - {PCT.format("coverage")}) + 0.2 * {PCT.format("sign_consistency")} + 0.15 * {PCT.format("residual_sd")} + 0.2 * {PCT.format("dependence")}, 9) as score from cu),
        qq as (select round(quantile_cont(score, 0.75), 9) as q75, round(quantile_cont(score, 0.9), 9) as q90 from p)
-       select sample_id, round(size, 6) as size, round(coverage, 6) as coverage, round(score, 6) as score, case when score > q90 then 'high' when score > q75 then 'moderate' else 'low' end as tier from p, qq""")
+       select sample_id, round(unmapped, 6) as unmapped, round(coverage, 6) as coverage, round(score, 6) as score, case when score > q90 then 'high' when score > q75 then 'moderate' else 'low' end as tier from p, qq""")
 def residual_candidates(spark, d):
-    return r6(su.candidate_scores(_units(spark, d)).select("sample_id", "size", "coverage", "score", "tier"))
+    """Residual candidates by the ranks of their unmapped mass, low coverage, consistency, spread of the residual and model dependence."""
+    a = facts.attribution(spark, d).join(c._mapped(spark), "gene", "left_anti")
+    unmapped = a.groupBy(*at.UNIT).agg(F.sum(F.abs("shap")).alias("a")).groupBy("sample_id").agg(su.r9(F.avg("a")).alias("unmapped"))
+    spread = _cover(spark, d).groupBy("sample_id").agg(su.r9(F.stddev_samp("residual")).alias("residual_sd"))
+    u = _units(spark, d).join(unmapped, "sample_id", "left").na.fill(0.0, ["unmapped"]).join(spread, "sample_id")
+    return r6(su.candidate_scores(u).select("sample_id", "unmapped", "coverage", "score", "tier"))
 
 
 @query(UNITS + f""", p as (select sample_id, n_flags, round(0.5 * {PCT.format("size")} + 0.5 * {PCT.format("instability")}, 9) as score from units)
