@@ -115,6 +115,7 @@ def _kind(df: DataFrame, names: list[str]) -> str:
 
 def mapping_null(attribution: DataFrame, edges: DataFrame, n: int, top: int = TOP_SETS) -> DataFrame:
     """perm, UNIT and METRICS of every unit for each permutation of the gene labels of its repeat."""
+    attribution = cut(attribution)  # read for the genes and for the rows
     genes, labels = labels_of(attribution, edges)
 
     def made(units: pd.DataFrame, shap: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -136,6 +137,7 @@ def patient_null(attribution: DataFrame, edges: DataFrame, n: int, top: int = TO
     Of the permutations of the gene labels only n, sum, sum of squares and the counts on either side are kept;
     shares count the observation itself, and p_value is twice the smaller one, 1 at most.
     """
+    attribution = cut(attribution)  # read for the genes and for the rows
     genes, labels = labels_of(attribution, edges)
 
     def made(units: pd.DataFrame, shap: np.ndarray) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,8 @@ def frequency_idf(targets: DataFrame, entity: str = "patient_id", item: str = "g
 
 def specificity(targets: DataFrame, alpha: float = 1.0) -> DataFrame:
     """Adds each target's idf scaled to 0..1 over items, class, base priority scaled within the patient, and adjusted priority."""
-    f = frequency_idf(targets).withColumn("_one", F.lit(1))
+    targets = cut(targets)  # read for frequencies, limits, totals and scores
+    f = cut(frequency_idf(targets))
     lim = f.agg(F.min("idf").alias("_lo"), F.max("idf").alias("_hi"))
     f = f.crossJoin(F.broadcast(lim))  # one row
     f = f.withColumn("idf01", F.when(F.col("_hi") <= F.col("_lo"), 0.5).otherwise((F.col("idf") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))))
