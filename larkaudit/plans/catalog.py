@@ -154,14 +154,15 @@ def stage_parse(spark, d):
     return t(spark, d, "orders").select("o_orderkey", text.stage_group(raw).alias("stage_group"), text.stage_binary(raw).alias("stage_binary"))
 
 
-NODE_TEXTS = ["Node negative", "N2", "lymph nodes: ", "{n} positive nodes", "no positive lymph nodes", "{n} of 12 nodes", "nodal-positive", "count {n}", "unknown", "n0 (i-)"]
+NODE_TEXTS = ["Node negative", "N2", "lymph nodes: ", "{n} positive nodes", "no positive lymph nodes", "{n} of 12 nodes", "lymph_node_positive", "count {n}", "unknown", "n0 (i-)"]
 
 
-@query(r"""with v as (select c_custkey as id, list_value('Node negative', 'N2', 'lymph nodes: ', '{n} positive nodes', 'no positive lymph nodes', '{n} of 12 nodes', 'nodal-positive', 'count {n}', 'unknown', 'n0 (i-)')[c_custkey % 10 + 1] as v, c_nationkey % 4 as n, c_mktsegment as m from customer),
-       k as (select id, lower(replace(v, '{n}', cast(n as varchar)) || case when v like '%: ' then cast(n as varchar) else ' ' || m end) as raw from v), f as (select *, regexp_extract_all(raw, '[0-9]+') as numbers from k)
-       select id, cast(case when regexp_matches(raw, '\bnode[\s_-]*negative\b|\bnodal[\s_-]*negative\b|\bnegative\b|\bn0\b|\b0\s*(positive\s*)?(nodes?|lymph nodes?)\b|\bno\s+(positive\s+)?(nodes?|lymph nodes?)\b') then 0
-                            when regexp_matches(raw, '\bnode[\s_-]*positive\b|\bnodal[\s_-]*positive\b|\bpositive\b|\bn[1-9]\b|\b[1-9]\d*\s*(positive\s*)?(nodes?|lymph nodes?)\b') then 1
-                            when len(numbers) = 1 then case when try_cast(numbers[1] as bigint) > 0 then 1 else 0 end end as integer) as status from f""", base=False)
+@query(r"""with v as (select c_custkey as id, list_value('Node negative', 'N2', 'lymph nodes: ', '{n} positive nodes', 'no positive lymph nodes', '{n} of 12 nodes', 'lymph_node_positive', 'count {n}', 'unknown', 'n0 (i-)')[c_custkey % 10 + 1] as v, c_nationkey % 4 as n, c_mktsegment as m from customer),
+       k as (select id, lower(replace(v, '{n}', cast(n as varchar)) || case when v like '%: ' then cast(n as varchar) else ' ' || m end) as raw from v), f as (select *, regexp_extract_all(raw, '[0-9]+') as numbers from k),
+       w as (select *, regexp_extract_all(regexp_replace(raw, '[_-]', ' ', 'g'), '[a-z0-9]+') as words, regexp_replace(raw, '[_-]', ' ', 'g') as plain from f)
+       select id, cast(case when list_contains(words, 'negative') or list_contains(words, 'n0') or regexp_matches(plain, '(^|[^a-z0-9])(0 *|no +)(positive *)?(lymph )?nodes?([^a-z0-9]|$)') then 0
+                            when list_contains(words, 'positive') or len(list_filter(words, lambda x: regexp_full_match(x, 'n[1-9]'))) > 0 or regexp_matches(plain, '(^|[^a-z0-9])[1-9][0-9]* *(positive *)?(lymph )?nodes?([^a-z0-9]|$)') then 1
+                            when len(numbers) = 1 then case when try_cast(numbers[1] as bigint) > 0 then 1 else 0 end end as integer) as status from w""", base=False)
 def node_parse(spark, d):
     v, n = F.element_at(F.array(*map(F.lit, NODE_TEXTS)), (F.col("c_custkey") % 10 + 1).cast("int")), (F.col("c_nationkey") % 4).cast("string")
     raw = F.concat(F.replace(v, F.lit("{n}"), n), F.when(v.endswith(": "), n).otherwise(F.concat(F.lit(" "), "c_mktsegment")))
@@ -961,3 +962,181 @@ def state_descriptives(spark, d):
 
 
 from larkaudit.plans import summaries  # noqa: E402, F401  (registers its queries)
+
+
+# --- aliases, independent tests, reports, models of folds ------------------------------------------
+
+
+@query("""with k as (select l_orderkey, count(*) as n_records, count(distinct l_linestatus) as n_values, min(l_linestatus) as v, string_agg(distinct l_returnflag, ' | ' order by l_returnflag) as flags,
+       string_agg(distinct cast(l_linenumber as varchar), ' | ' order by cast(l_linenumber as varchar)) as lines from lineitem where l_linestatus is not null group by l_orderkey)
+       select l_orderkey, n_records, n_values, case when n_values = 1 then v end as l_linestatus, n_values > 1 as conflicting, flags, lines from k""", base=False)
+def node_record_audit(spark, d):
+    """Records of each order: how many, whether they agree on the status, and the sets of their flags and numbers."""
+    from larkaudit.operators import aliases
+
+    return aliases.record_audit(t(spark, d, "lineitem"), "l_orderkey", "l_linestatus", {"flags": "l_returnflag", "lines": "l_linenumber"})
+
+
+ALIASES = """sm as (select c_custkey as accession, c_name as title, c_mktsegment || '-' || (c_custkey % 40) as source, 'C ' || (c_custkey % 300) as description from customer),
+       al as (select accession, 1 as alias_rank, 'accession' as alias_type, cast(accession as varchar) as alias_raw from sm union all select accession, 2, 'title', title from sm
+              union all select accession, 3, 'source', source from sm union all select accession, 4, 'description', description from sm),
+       an as (select *, regexp_replace(upper(alias_raw), '[^A-Z0-9]', '', 'g') as alias from al), ow as (select alias from an group by alias having count(distinct accession) = 1),
+       ua as (select * from an semi join ow using (alias) where alias <> '' qualify row_number() over (partition by alias order by alias_rank, alias_raw) = 1)"""
+
+
+def _owned(spark, d):
+    from larkaudit.operators import aliases
+
+    s = t(spark, d, "customer").select(
+        F.col("c_custkey").alias("accession"), F.col("c_name").alias("title"), F.concat_ws("-", "c_mktsegment", (F.col("c_custkey") % 40).cast("string")).alias("source"),
+        F.concat(F.lit("C "), (F.col("c_custkey") % 300).cast("string")).alias("description"),
+    )
+    return aliases.owned_aliases(aliases.aliases(s, "accession", ["accession", "title", "source", "description"]), "accession")
+
+
+@query("with " + ALIASES + " select accession, alias_rank, alias_type, alias_raw, alias from ua", base=False)
+def sample_aliases(spark, d):
+    """The names of samples that one sample alone has, of four that each sample has."""
+    return _owned(spark, d)
+
+
+@query("with " + ALIASES + """, co as (select o_orderkey as place, case o_orderkey % 3 when 0 then 'customer ' || lpad(cast(o_custkey as varchar), 9, '0') when 1 then cast(o_custkey as varchar) else 'C-' || (o_custkey % 300) end as name from orders),
+       fc as (select * from (select name, min(place) as place from co group by name) c join ua on regexp_replace(upper(c.name), '[^A-Z0-9]', '', 'g') = ua.alias)
+       select accession, name, place, alias, alias_type, alias_raw from fc qualify row_number() over (partition by accession order by place, name) = 1""", base=False)
+def alias_matches(spark, d):
+    """Columns that the names of samples find, each column and each sample once."""
+    from larkaudit.operators import aliases
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("customer "), F.lpad(c, 9, "0"))).when(k % 3 == 1, c).otherwise(F.concat(F.lit("C-"), (F.col("o_custkey") % 300).cast("string")))
+    return aliases.matched_columns(t(spark, d, "orders").select(k.alias("place"), name.alias("name")), _owned(spark, d), "accession", "name", "place")
+
+
+def _state_rows(spark, d):
+    """Customers' balances and spending by states that come from neither."""
+    from larkaudit.functions.provenance import derived
+    from larkaudit.operators import validation
+
+    spent = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("spent"))
+    p = t(spark, d, "customer").join(spent, "c_custkey", "left").withColumn("zone", (F.col("c_nationkey") % 3).cast("string"))
+    p = derived(p, "region", F.concat(F.lit("r"), "zone"), ["zone"])
+    p = derived(p, "price", F.round(F.col("c_acctbal"), 2), ["c_acctbal"])
+    return validation.long_states(p, ["region", "c_mktsegment"], ["price", "spent"])
+
+
+STATE_ROWS = """sp as (select o_custkey, round(sum(o_totalprice), 2) as spent from orders group by o_custkey), pt as (select *, round(c_acctbal, 2) as price, 'r' || (c_nationkey % 3) as region from customer left join sp on o_custkey = c_custkey),
+       lr as (select 'region' as state_variable, region as state, 'price' as metric, price as value from pt union all select 'region', region, 'spent', spent from pt
+              union all select 'c_mktsegment', c_mktsegment, 'price', price from pt union all select 'c_mktsegment', c_mktsegment, 'spent', spent from pt),
+       lk as (select * from lr where state is not null and value is not null qualify count(*) over (partition by state_variable, metric, state) >= 10)"""
+
+
+@query("with " + STATE_ROWS + """, rk as (select *, rank() over w + (count(*) over (partition by state_variable, metric, value) - 1) / 2.0::double as r, count(*) over (partition by state_variable, metric)::double as n from lk window w as (partition by state_variable, metric order by value)),
+       tie as (select state_variable, metric, sum(m * m * m - m)::double as ties from (select state_variable, metric, value, count(*)::double as m from lk group by all) group by all),
+       gs as (select state_variable, metric, state, sum(r) as s, count(*)::double as m, max(n) as n from rk group by all),
+       h as (select state_variable, metric, (12 / (max(n) * (max(n) + 1)) * sum(s * s / m) - 3 * (max(n) + 1)) / (1 - max(ties) / (max(n) * max(n) * max(n) - max(n))) as h, count(*) as n_groups, cast(max(n) as bigint) as n, string_agg(state, ' | ' order by state) as groups
+             from gs join tie using (state_variable, metric) group by all),
+       pv as (select *, case n_groups when 3 then exp(-h / 2) else exp(-h / 2) * (1 + h / 2) end as p_value from h), ad as (select *, p_value * count(*) over () / count(*) over (order by p_value) as q from pv)
+       select state_variable, metric, round(h, 6) as h, n_groups, n, groups, round(p_value, 6) as p_value, round(least(1.0, min(q) over (order by p_value rows between current row and unbounded following)), 6) as fdr from ad""", base=False)
+def noncircular_omnibus(spark, d):
+    """Do measures differ between the groups of states that do not come from them? Corrected over all tests."""
+    from larkaudit.operators import validation
+
+    return r6(validation.omnibus(_state_rows(spark, d)))
+
+
+@query("with " + STATE_ROWS + """, pr as (select a.state_variable, a.metric, a.state as group_1, b.state as group_2, count(*)::double as n, sum(case when a.value > b.value then 1.0 when a.value = b.value then 0.5 else 0 end) as u from lk a join lk b on a.state_variable = b.state_variable and a.metric = b.metric and a.state < b.state group by all),
+       ms as (select state_variable, metric, state, avg(value) as m, count(*) as n from lk group by all)
+       select pr.state_variable, pr.metric, group_1, group_2, x.n as n_1, y.n as n_2, round(u, 6) as u, round(2 * u / pr.n - 1, 6) + 0.0 as cliffs_delta, round(x.m, 6) as mean_group_1, round(y.m, 6) as mean_group_2, round(x.m - y.m, 6) + 0.0 as mean_difference,
+       case when abs(2 * u / pr.n - 1) < 0.147 then 'negligible' when abs(2 * u / pr.n - 1) < 0.33 then 'small' when abs(2 * u / pr.n - 1) < 0.474 then 'medium' else 'large' end as effect_size
+       from pr join ms x on (pr.state_variable, pr.metric, group_1) = (x.state_variable, x.metric, x.state) join ms y on (pr.state_variable, pr.metric, group_2) = (y.state_variable, y.metric, y.state)""", base=False)
+def noncircular_pairs(spark, d):
+    """The same measures between each pair of groups."""
+    from larkaudit.operators import validation
+
+    p = validation.pairs(_state_rows(spark, d))
+    return r6(p.select("state_variable", "metric", "group_1", "group_2", "n_1", "n_2", "u", "cliffs_delta", "mean_group_1", "mean_group_2", "mean_difference", "effect_size"))
+
+
+REPORTS = """gn as (select t.*, case when gene % 3 = 0 then p_brand else cast(gene as varchar) end as harmonized, row_number() over (partition by patient_id order by priority desc, gene) as rank from targets t left join part on p_partkey = gene),
+       gt as (select patient_id, string_agg(gene || case when harmonized is not null and harmonized <> cast(gene as varchar) then '->' || harmonized else '' end || '[' || core || ']', '; ' order by rank) as genes, count(*) as n from gn where rank <= 5 group by patient_id),
+       cs as (select patient_id, core, sum(priority) as s, count(*) as n_core from targets group by patient_id, core), cp as (select *, round(s / sum(s) over (partition by patient_id), 9) as core_priority, row_number() over (partition by patient_id order by round(s, 2) desc, core) as k from cs),
+       pp as (select c_custkey as patient_id, c_mktsegment as true_group, core, core_priority, coalesce(genes, '') as genes, coalesce(n, 0) as n_genes, c_acctbal < 0 as expansion, coalesce(core_priority, 0) > 0.3 as arbitration, n_core from customer left join gt on gt.patient_id = c_custkey left join cp on cp.patient_id = c_custkey and k = 1)"""
+
+
+def _reports(spark, d):
+    """Customers as patients: the genes they bought most dearly, the core they spent most on, and flags by balance and share."""
+    from larkaudit.operators import reports
+
+    g = facts.targets(spark, d).join(t(spark, d, "part").select(F.col("p_partkey").alias("gene"), "p_brand"), "gene", "left")
+    g = g.withColumn("harmonized", F.when(F.col("gene") % 3 == 0, F.col("p_brand")).otherwise(F.col("gene").cast("string")))
+    top = ranks.top_k(g, 5, ["patient_id"], F.desc("priority"), F.asc("gene"))
+    c = facts.targets(spark, d).groupBy("patient_id", "core").agg(F.sum("priority").alias("s"), F.count("*").alias("n_core"))
+    c = c.join(c.groupBy("patient_id").agg(F.sum("s").alias("_all")), "patient_id").withColumn("core_priority", F.round(F.col("s") / F.col("_all"), 9))
+    c = ranks.top_k(c, 1, ["patient_id"], F.desc(F.round("s", 2)), F.asc("core")).select("patient_id", "core", "core_priority", "n_core")
+    p = t(spark, d, "customer").select(F.col("c_custkey").alias("patient_id"), F.col("c_mktsegment").alias("true_group"), (F.col("c_acctbal") < 0).alias("expansion")).join(c, "patient_id", "left")
+    p = p.withColumn("arbitration", F.coalesce("core_priority", F.lit(0.0)) > 0.3)
+    return reports.with_texts(p, reports.gene_texts(top, "gene", "harmonized", "core", "rank"))
+
+
+@query("with " + BASE_SQL + ", " + REPORTS + """ select patient_id, genes as recommended_gap_genes, n_genes as n_recommended_gap_genes, concat_ws(chr(10), 'PATIENT-SPECIFIC MEASUREMENT AUDIT', repeat('=', 60), '', 'Patient: ' || patient_id, 'Clinical group: ' || true_group, '', 'PRIMARY UNRESOLVED EXPLANATORY AXIS', repeat('-', 60),
+       'Core: ' || coalesce(cast(core as varchar), 'NA'), 'Core priority: ' || case when core_priority is null then 'NA' else format('{:.4f}', core_priority) end, '', 'REPRESENTATION-GAP GENE TARGETS', repeat('-', 60),
+       case when genes = '' then 'No gene-level target passed the current support and ranking thresholds.' else genes end, '', 'INTERPRETATION BOUNDARY', repeat('-', 60), 'Priorities within this audit only.') as report from pp""", base=False)
+def patient_reports(spark, d):
+    """One text a patient: group, core and gene targets."""
+    from larkaudit.operators import reports
+
+    p = _reports(spark, d)
+    text = reports.report(
+        "PATIENT-SPECIFIC MEASUREMENT AUDIT", F.col("patient_id"), {"Clinical group": reports.shown(F.col("true_group"))},
+        {"PRIMARY UNRESOLVED EXPLANATORY AXIS": [F.concat(F.lit("Core: "), reports.shown(F.col("core"))), F.concat(F.lit("Core priority: "), reports.number(F.col("core_priority")))],
+         "REPRESENTATION-GAP GENE TARGETS": [reports.genes_or_note(F.col("recommended_gap_genes"))]}, "Priorities within this audit only.",
+    )
+    return p.select("patient_id", "recommended_gap_genes", "n_recommended_gap_genes", text.alias("report"))
+
+
+@query("with " + BASE_SQL + ", " + REPORTS + """ select 'representation_expansion' as recommendation_type, count(*) filter (where expansion) as n_patients from pp union all select 'model_arbitration', count(*) filter (where arbitration) from pp""", base=False)
+def recommendation_types(spark, d):
+    """In how many patients each kind of recommendation is made."""
+    from larkaudit.operators import reports
+
+    return reports.type_counts(_reports(spark, d), {"representation_expansion": "expansion", "model_arbitration": "arbitration"})
+
+
+@query("with " + BASE_SQL + ", " + REPORTS + " select core, arbitration, count(*) as n_patient_core_records, round(avg(core_priority), 6) as mean_core_priority, round(avg(n_core), 6) as mean_targets from pp group by all", base=False)
+def core_recommendations(spark, d):
+    """Records, mean priority and mean number of targets by core and recommendation."""
+    from larkaudit.operators import reports
+
+    return r6(reports.core_counts(_reports(spark, d), ["core", "arbitration"], {"mean_core_priority": "core_priority", "mean_targets": "n_core"}))
+
+
+@query("with " + BASE_SQL + ", " + REPORTS + ", bo as (select patient_id, row_number() over (order by core_priority desc nulls last, patient_id) as rank from pp) select pp.patient_id, rank as boundary_priority_rank, core from pp join bo using (patient_id) where rank <= 100", base=False)
+def boundary_reports(spark, d):
+    """The hundred patients whose first core weighs most, in order."""
+    from larkaudit.operators import reports
+
+    p = _reports(spark, d)
+    best = p.select("patient_id", "core_priority").orderBy(F.desc_nulls_last("core_priority"), "patient_id").limit(100)
+    ranked = best.withColumn("rank", ranks.first_rank([], F.desc_nulls_last("core_priority"), F.asc("patient_id")))  # a hundred rows
+    return reports.in_order(p, ranked).select("patient_id", F.col("boundary_priority_rank").cast("long"), "core")
+
+
+def _net(spark, d):
+    """Elastic-net models of 25 folds over the 15 best genes of each."""
+    from larkaudit.operators import linear
+
+    return linear.ElasticNetAudit(facts.features(spark, d).select("sample_id", "gene", "value"), facts.folds(spark, d), 15)
+
+
+@query()
+def elastic_net_folds(spark, d):
+    """Measures of each fold's held-out rows, with the numbers of training and test rows."""
+    return _net(spark, d).metrics
+
+
+@query()
+def elastic_net_genes(spark, d):
+    """Selected genes of each fold with F, p, coefficient and mean absolute attribution over held-out rows."""
+    run = _net(spark, d)
+    size = run.attributions.groupBy("repeat_id", "held", "gene").agg(F.avg(F.abs("shap")).alias("mean_absolute"))
+    return run.genes.join(run.coefficients, ["repeat_id", "held", "rank"]).join(size, ["repeat_id", "held", "gene"]).drop("mean", "sd")

@@ -27,36 +27,63 @@ def head(spark: SparkSession, path: str, n: int = 4096) -> bytes:
         stream.close()
 
 
-def encoding(start: bytes) -> str:
-    """By byte order mark, else UTF-16 if every other byte is zero, else UTF-8 if it decodes, else Latin 1."""
+#: Bytes that Windows-1252 leaves undefined. Fixed values.
+UNDEFINED_1252 = "[\u0081\u008d\u008f\u0090\u009d]"
+#: Bytes that are letters or signs in Windows-1252 and controls in Latin 1.
+WINDOWS = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+
+
+def candidates(spark: SparkSession, path: str, start: bytes) -> list[str]:
+    """Encodings that the whole of a file decodes in, strictly, in the order in which they are tried.
+
+    A byte order mark, or zeros in every other byte at the beginning, names its encoding. Other files are
+    read line by line in tasks: UTF-8 if every line is valid, then Windows-1252 if no line has one of its
+    undefined bytes; Latin 1 has a letter for every byte.
+    """
     for mark, name in MARKS.items():
         if start.startswith(mark):
-            return name
+            return [name]
     if len(start) > 3 and not any(start[1:64:2]):
-        return "UTF-16LE"
-    for cut in range(4):  # a character may be cut off at the end
-        try:
-            start[: len(start) - cut].decode()
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
-    return "ISO-8859-1"
+        return ["UTF-16LE"]
+    if len(start) > 3 and not any(start[0:64:2]):
+        return ["UTF-16BE"]
+    lines = spark.read.text(path)  # bytes as they are: the text source decodes nothing
+    found = ["UTF-8"] if lines.where(~F.is_valid_utf8("value")).isEmpty() else []
+    as_latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    if not found and lines.where(as_latin.rlike(UNDEFINED_1252)).isEmpty():
+        found = ["windows-1252"]
+    return [*found, "ISO-8859-1"]
+
+
+def header(start: bytes, name: str, comment: str | None) -> tuple[str | None, int]:
+    """The separator that cuts a file's first line into most columns, and their number."""
+    lines = [x for x in start.decode(name, "ignore").lstrip("\ufeff").splitlines() if x and not (comment and x.startswith(comment))]
+    if not lines:
+        return None, 0
+    sep = max(SEPARATORS, key=lambda s: lines[0].count(s))
+    return sep, lines[0].count(sep) + 1
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str | None = None, comment: str | None = "#") -> DataFrame:
-    """A delimited table with a header: encoding by its first bytes, separator by what cuts its header into most columns."""
-    start = head(spark, path)
-    name = encoding(start)
-    lines = [x for x in start.decode(name, "ignore").lstrip("﻿").splitlines() if x and not (comment and x.startswith(comment))]
-    sep = max(SEPARATORS, key=lambda s: lines[0].count(s)) if lines else "\t"
-    if not lines or lines[0].count(sep) == 0:
-        raise ValueError(f"{path}: no header of more than one column")
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", name)
+    """A delimited table with a header: the first encoding that all of it decodes in and that gives more than one column."""
+    start = head(spark, path, 1 << 20)
+    told = {name: header(start, name, comment) for name in candidates(spark, path, start)}
+    name = next((n for n, (_, columns) in told.items() if columns > 1), None)
+    if name is None:
+        raise ValueError(f"{path}: no header of more than one column in {', '.join(told)}")
+    sep = told[name][0]
+    windows = name == "windows-1252"  # Spark's reader does not know it: read as Latin 1, whose control characters it uses for letters
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", "ISO-8859-1" if windows else name)
     reader = reader.option("comment", comment) if comment else reader
     if name.startswith("UTF-16"):  # line ends of two bytes can't be found by cutting the file; such a file is read whole
-        reader = reader.option("encoding", "UTF-16").option("multiLine", True)
+        marked = any(start.startswith(m) for m in MARKS)
+        reader = reader.option("encoding", "UTF-16" if marked else name).option("multiLine", True)
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
-    return df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
+    if windows:
+        controls = "".join(map(chr, WINDOWS))
+        letters = bytes(WINDOWS).decode("cp1252")
+        df = df.select(*[F.translate(F.col(f"`{c}`"), controls, letters).alias(c.translate(str.maketrans(controls, letters))) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
+    return df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns])
 
 
 def read_hash_header(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,7 @@ def one(spark, value, f):
     [
         ("Node negative", 0), ("0 positive nodes", 0), ("no positive lymph nodes", 0), ("N0", 0), ("3 positive nodes", 1), ("N2", 1), ("node-positive", 1), ("3 of 12 nodes", 1),
         ("count 0", 0), ("count 4", 1), ("4 and 7", None), ("unknown", None), ("", None), (None, None),
+        ("lymph_node_negative", 0), ("lymph_node_positive", 1), ("nodenegative", 0), ("nodal_positive", 1), ("tumor_negative", None), ("no nodes", 0), ("10 lymph nodes", 1), ("n10", 1),
     ],
 )
 def test_node_status(spark, raw, want):
@@ -27,6 +28,7 @@ def test_node_status(spark, raw, want):
     "raw, code, group",
     [
         ("Stage IVA", "IVA", "Advanced"), ("stage iii", "III", "Advanced"), ("T2 stage IIB", "IIB", "Early"), ("stage 3", "III", "Advanced"), ("12", None, None), ("I", "I", "Early"), ("unknown", None, None), (None, None, None),
+        ("StageII", "II", "Early"), ("Stage_IIA", "IIA", "Early"), ("pathologic-stage-IS", "IS", "Early"), ("I or IV", "IV", "Advanced"), ("T3 N1", "III", "Advanced"), ("2b", "II", "Early"), ("x5 y12", None, None),
     ],
 )
 def test_stage_codes(spark, raw, code, group):
