@@ -123,13 +123,13 @@ def anchors(members: DataFrame, consistency: DataFrame, reliability: DataFrame,
 def border_scores(patients: DataFrame, k: int = 100) -> DataFrame:
     """The k patients that an audit should look at first.
 
-    ``patients``: patient_id, discordant, dependent, unstable (0/1), uncertainty, consistency and
-    null_gap. Score: .25, .15 and .15 for the flags, .2 for the rank of uncertainty, .15 for
-    inconsistency, .1 for the rank of the gap to the null.
+    ``patients``: patient_id, discordant, dependent, unstable (0/1), uncertainty (of core memberships),
+    consistency (over repeats) and null_gap (the null-corrected priority). Score: .25, .15 and .15 for the flags,
+    .2 for the rank of uncertainty, .15 for inconsistency, .1 for the rank of the gap; equal ones by gap, then uncertainty.
     """
     p = rank_pct(rank_pct(patients, "uncertainty", name="uncertainty_pct"), "null_gap", name="null_pct")
     score = 0.25 * F.col("discordant") + 0.15 * F.col("dependent") + 0.15 * F.col("unstable") + 0.2 * F.col("uncertainty_pct") + 0.15 * (1 - F.col("consistency")) + 0.1 * F.col("null_pct")
-    return p.withColumn("score", F.round(score, 9)).orderBy(F.desc("score"), "patient_id").limit(k)
+    return p.withColumn("score", F.round(score, 9)).orderBy(F.desc("score"), F.desc("null_gap"), F.desc("uncertainty"), "patient_id").limit(k)
 
 
 def recommendation_confidence(consistency: Column, uncertainty: Column, core_priority: Column, n_targets: Column, most: int = 20) -> tuple[Column, Column]:

@@ -9,6 +9,10 @@ from larkaudit.functions.lineage import cut as cut_lineage
 from larkaudit.functions.quantiles import exact_quantiles
 from larkaudit.functions.ranks import cut, first_rank, minmax, rank_pct, tiers
 from larkaudit.operators.relational import describe
+from larkaudit.operators.scores import ATTRIBUTION, CORE, PERCENTILE, SPECIFIC, SUPPORT
+
+#: Least share of repeats, of folds, and of values of one sign, of a target that takes part. Fixed values.
+LEAST_SUPPORT = {"repeat_support": 0.4, "fold_frequency": 0.2, "sign_support": 0.6}
 
 
 def r9(c: Column) -> Column:
@@ -74,12 +78,15 @@ def directions(members: DataFrame) -> DataFrame:
     )
 
 
-def portability(threshold: float = 0.5, near: float = 0.05) -> Column:
-    """State of a sample under two models: model_dependent, intermediate, discordant or concordant."""
-    a, b = F.col("a_p"), F.col("b_p")
-    la, lb = F.when(a >= threshold, 1).otherwise(0), F.when(b >= threshold, 1).otherwise(0)
-    close = lambda p: F.round(F.abs(p - threshold), 9) <= near
-    return F.when(la != lb, "model_dependent").when(close(a) & close(b), "intermediate").when(la != F.col("y"), "discordant").otherwise("concordant")
+def portability(a_threshold: Column, b_threshold: Column, near: float = 0.05) -> Column:
+    """State of a sample (y, a_p, b_p) under two models, each with its own threshold; ambiguous where both are within ``near`` of theirs."""
+    sides = [(F.col("a_p"), a_threshold), (F.col("b_p"), b_threshold)]
+    first, second = (F.when(p >= at, 1).otherwise(0) for p, at in sides)
+    close = [F.round(F.abs(p - at), 9) <= near for p, at in sides]
+    return (
+        F.when(first != second, "model_dependent").when(close[0] & close[1], "intermediate_ambiguous").when((F.col("y") == 0) & (first == 1), "clinical_early_molecular_advanced_like")
+        .when((F.col("y") == 1) & (first == 0), "clinical_advanced_molecular_early_like").otherwise("clinical_molecular_concordant")
+    )
 
 
 def candidate_scores(units: DataFrame) -> DataFrame:
@@ -122,37 +129,47 @@ def null_priority(units: DataFrame) -> DataFrame:
 
 
 def pool_scores(pool: DataFrame, k: int = 20) -> DataFrame:
-    """Scores of every target of every patient in two passes.
+    """Scores of the supported targets of every patient in two passes.
 
-    ``pool``: patient_id, gene, size (of the patient's attribution), support (0..1, over repeats),
-    core_stability (0..1). The first pass weighs the scaled size, its rank within the patient, support
-    and core stability by .35, .2, .2 and .1, renormalised; how many patients' first k hold a gene gives its
-    frequency, class and specificity, which the second pass adds with .15.
+    ``pool``: patient_id, gene, core, size (of the patient's attribution), repeat_support, fold_frequency,
+    sign_support, margin (of the gene's consensus). Targets below LEAST_SUPPORT take no part, but their
+    patients count. The first pass weighs the scaled size, its rank within the patient, support and scaled
+    margin, renormalised; how many patients' first k hold a gene gives its frequency, class and specificity, which the second pass adds.
     """
-    p = rank_pct(pool, "size", ["patient_id"], "size_pct").withColumn("scaled", minmax("size", ["patient_id"]))
-    first = 0.35 * F.col("scaled") + 0.2 * F.col("size_pct") + 0.2 * F.col("support") + 0.1 * F.col("core_stability")
-    p = p.withColumn("first_score", r9(first / 0.85))
+    pool = cut_lineage(pool)
+    p = pool.where(" and ".join(f"{c} >= {v}" for c, v in LEAST_SUPPORT.items()))
+    p = rank_pct(p, "size", ["patient_id"], "size_pct").withColumn("scaled", minmax("size", ["patient_id"]))
+    support = 0.5 * F.col("repeat_support") + 0.25 * F.col("sign_support") + 0.25 * F.col("fold_frequency")
+    low, high = p.agg(F.min("margin"), F.max("margin")).first()
+    core = F.lit(0.5) if low is None or high <= low else (F.col("margin") - low) / (high - low)
+    first = ATTRIBUTION * F.col("scaled") + PERCENTILE * F.col("size_pct") + SUPPORT * support + CORE * core
+    p = cut_lineage(p.withColumn("_f", first).withColumn("first_score", r9(F.col("_f") / (ATTRIBUTION + PERCENTILE + SUPPORT + CORE))))
     top = p.withColumn("_k", first_rank(["patient_id"], F.desc("first_score"), F.asc("gene"))).where(F.col("_k") <= k)
     n = pool.agg(F.countDistinct("patient_id").alias("_n"))
-    f = pool.select("gene").distinct().join(top.groupBy("gene").agg(F.count("*").alias("n_top")), "gene", "left").withColumn("n_top", F.coalesce("n_top", F.lit(0)))
+    f = p.select("gene").distinct().join(top.groupBy("gene").agg(F.count("*").alias("n_top")), "gene", "left").withColumn("n_top", F.coalesce("n_top", F.lit(0)))
     f = f.crossJoin(F.broadcast(n)).withColumn("frequency", F.col("n_top") / F.col("_n")).withColumn("idf", r9(F.log((1.0 + F.col("_n")) / (1.0 + F.col("n_top"))) + 1))  # one row
+    f = cut_lineage(f)
     lim = f.agg(F.min("idf").alias("_lo"), F.max("idf").alias("_hi"))
     idf01 = F.when(F.col("_hi") <= F.col("_lo"), 0.5).otherwise((F.col("idf") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
     kind = F.when(F.col("frequency") >= 0.25, "generic").when(F.col("frequency") >= 0.1, "recurrent").otherwise("specific")
     f = f.crossJoin(F.broadcast(lim)).select("gene", "n_top", "frequency", idf01.alias("idf01"), kind.alias("class"))  # one row
-    return p.join(f, "gene").withColumn("score", r9(first + 0.15 * F.col("idf01")))
+    return p.join(f, "gene").withColumn("score", r9(F.col("_f") + SPECIFIC * F.col("idf01"))).drop("_f")
 
 
-def patient_targets(scored: DataFrame, k: int = 20) -> DataFrame:
-    """By patient, of the k best targets: counts by class, means, the core that most belong to, a specificity score of .5, .3 and .2 and its tier."""
-    top = scored.withColumn("_k", first_rank(["patient_id"], F.desc("score"), F.asc("gene"))).where(F.col("_k") <= k)
+def patient_targets(layered: DataFrame, patients: DataFrame) -> DataFrame:
+    """By patient, of the targets of all layers: counts by class, means, the core that most belong to, shares, specificity and its tier.
+
+    ``layered``: patient_id, gene, core, class, score, idf01. Specificity weighs the share of specific
+    targets, the mean idf and the share of targets that are not generic. ``patients`` without targets have counts of 0 and nulls.
+    """
     count = lambda c: F.sum(F.when(F.col("class") == c, 1).otherwise(0))
-    g = top.groupBy("patient_id").agg(
-        F.count("*").alias("n_targets"), *[count(c).alias(f"n_{c}") for c in ("generic", "recurrent", "specific")], F.avg("score").alias("mean_score"), F.avg("idf01").alias("mean_idf"),
-        F.avg("frequency").alias("mean_frequency"),
+    g = layered.groupBy("patient_id").agg(
+        F.count("*").alias("n_targets"), *[count(c).alias(f"n_{c}") for c in ("generic", "recurrent", "specific")], F.avg("score").alias("mean_score"), F.max("score").alias("most_score"),
+        F.avg("idf01").alias("mean_idf"),
     )
-    cores = top.groupBy("patient_id", "core").agg(F.count("*").alias("_c"))
+    cores = layered.groupBy("patient_id", "core").agg(F.count("*").alias("_c"))
     cores = cores.withColumn("_r", first_rank(["patient_id"], F.desc("_c"), F.asc("core"))).where("_r = 1").select("patient_id", F.col("core").alias("dominant_core"))
-    score = 0.5 * F.col("mean_idf") + 0.3 * F.col("n_specific") / F.col("n_targets") + 0.2 * (1 - F.col("mean_frequency"))
-    g = g.join(cores, "patient_id").withColumn("specificity", r9(score))
-    return g.withColumn("tier", cut(F.col("specificity"), [0.0, 0.35, 0.6, 2.0], ["low", "moderate", "high"]))
+    g = g.join(cores, "patient_id").withColumn("specific_fraction", F.col("n_specific") / F.col("n_targets")).withColumn("generic_fraction", F.col("n_generic") / F.col("n_targets"))
+    g = g.withColumn("specificity", r9(0.5 * F.col("specific_fraction") + 0.3 * F.col("mean_idf") + 0.2 * (1 - F.col("generic_fraction"))))
+    g = g.withColumn("tier", cut(F.col("specificity"), [0.0, 0.35, 0.6, 2.0], ["low", "moderate", "high"]))
+    return patients.select("patient_id").distinct().join(g, "patient_id", "left").na.fill(0, ["n_targets", "n_generic", "n_recurrent", "n_specific"])

@@ -418,7 +418,9 @@ def completeness(spark, d):
     return r6(at.completeness(facts.attribution(spark, d), at.edges(facts.memberships(spark))))
 
 
-@query("select 0.0::double as max_error, 0.0::double as mean_error, count(distinct (sample_id, repeat_id)) as n from attribution")
+@query(W_SQL + """, st as (select sample_id, repeat_id, sum(shap * weight) as in_sets from attribution join weighted using (gene) group by all),
+       un as (select sample_id, repeat_id, sum(shap) as total, sum(case when gene in (select gene from weighted) then 0 else shap end) as residual from attribution group by all)
+       select round(max(abs(total - coalesce(in_sets, 0) - residual)), 6) as max_error, round(avg(abs(total - coalesce(in_sets, 0) - residual)), 6) as mean_error, count(*) as n from un left join st using (sample_id, repeat_id)""")
 def exact_reconstruction(spark, d):
     return r6(at.reconstruction_error(facts.attribution(spark, d), at.edges(facts.memberships(spark))))
 
@@ -657,7 +659,7 @@ def target_jaccard(spark, d):
 
 
 ENTRIES = """with li as (select * from lineitem join orders on l_orderkey = o_orderkey),
-       ent as (select o_custkey as patient_id, l_partkey as gene, l_partkey % 4 as core, max(l_extendedprice)::double as absolute, least(1.0, count(*) / 5.0::double) as rep,
+       ent as (select o_custkey as patient_id, l_partkey as gene, l_partkey % 4 as core, max(l_extendedprice)::double as absolute, least(1.0, max(l_quantity) / 50.0::double) as rep,
                greatest(avg(case when l_returnflag = 'N' then 1.0 else 0.0 end), 1 - avg(case when l_returnflag = 'N' then 1.0 else 0.0 end)) as sgn from li group by o_custkey, l_partkey),
        g0 as (select l_partkey as gene, count(distinct o_custkey) as n, count(distinct l_linenumber) / 7.0::double as ff, round(avg(l_quantity), 9) as margin from li group by l_partkey),
        gx as (select max(n) as hi, min(n) as lo, min(margin) as ml, max(margin) as mh, count(*) as n_genes, (select count(distinct o_custkey) from li) as total from g0),
@@ -926,33 +928,12 @@ def contrast_flip(spark, d):
     return r6(f.withColumn("u", F.round("u", 3)))
 
 
-PATIENTS = TAXONOMY + """, u as (select sample_id, round(avg(least(1, greatest(0, 1 - 2 * abs(round(mean_p, 9) - 0.5)))), 9) as uncertainty from summary group by sample_id),
-       cons as (select sample_id, round(avg(greatest(frac_advanced, 1 - frac_advanced)), 9) as consistency from summary group by sample_id),
-       cover as (select sample_id, repeat_id, sum(case when gene in (select gene from memberships) then abs(shap) else 0 end) / sum(abs(shap)) as c from attribution group by all),
-       gap as (select sample_id, round(1 - avg(c), 9) as null_gap from cover group by sample_id),
-       patients as (select sample_id as patient_id, ((y = 0 and rank_state = 'advanced_like') or (y = 1 and rank_state = 'early_like'))::integer as discordant, (dependence = 'high')::integer as dependent,
-                    (instability_tier = 'high')::integer as unstable, uncertainty, consistency, null_gap from taxonomy join u using (sample_id) join cons using (sample_id) join gap using (sample_id))"""
-
-
-def _patients(spark, d):
-    """Flags, uncertainty, consistency and gap of each sample."""
-    tax = _taxonomy(spark, d)
-    summary = states.uncertainty(states.patient_summary(facts.oof(spark, d)).withColumn("mean_p", F.round("mean_p", 9)))
-    by = summary.groupBy("sample_id").agg(
-        F.round(F.avg("uncertainty"), 9).alias("uncertainty"), F.round(F.avg(F.greatest(F.col("frac_advanced"), 1 - F.col("frac_advanced"))), 9).alias("consistency")
-    )
-    gap = at.completeness(facts.attribution(spark, d), at.edges(facts.memberships(spark))).groupBy("sample_id").agg(F.round(1 - F.avg("coverage"), 9).alias("null_gap"))
+def _flags(spark, d):
+    """patient_id, discordant, dependent and unstable (0 or 1) of each sample."""
     flag = lambda c: F.when(c, 1).otherwise(0)
     discordant = ((F.col("y") == 0) & (F.col("rank_state") == "advanced_like")) | ((F.col("y") == 1) & (F.col("rank_state") == "early_like"))
-    tax = tax.select("sample_id", flag(discordant).alias("discordant"), flag(F.lower("dependence").contains("high")).alias("dependent"), flag(F.lower("instability_tier").contains("high")).alias("unstable"))
-    return tax.join(by, "sample_id").join(gap, "sample_id").withColumnRenamed("sample_id", "patient_id")
-
-
-@query(PATIENTS + """, pct as (select *, (rank() over (order by uncertainty) + (count(*) over (partition by uncertainty) - 1) / 2.0::double) / count(*) over () as up, (rank() over (order by null_gap) + (count(*) over (partition by null_gap) - 1) / 2.0::double) / count(*) over () as np from patients),
-       sc as (select *, round(0.25::double * discordant + 0.15::double * dependent + 0.15::double * unstable + 0.2 * up + 0.15 * (1 - consistency) + 0.1 * np, 9) as score from pct)
-       select patient_id, discordant, dependent, unstable, round(uncertainty, 6) as uncertainty, round(consistency, 6) as consistency, round(null_gap, 6) as null_gap, round(score, 6) as score from sc order by score desc, patient_id limit 100""")
-def boundary_score(spark, d):
-    return r6(states.border_scores(_patients(spark, d)).drop("uncertainty_pct", "null_pct"))
+    marks = {"discordant": discordant, "dependent": F.lower("dependence").contains("high"), "unstable": F.lower("instability_tier").contains("high")}
+    return _taxonomy(spark, d).select(F.col("sample_id").alias("patient_id"), *[flag(c).alias(name) for name, c in marks.items()])
 
 
 @query(TAXONOMY + """ select rank_state, count(ad) as n, round(avg(ad), 6) as mean, round(stddev_samp(ad), 6) as sd, round(round(median(ad), 9), 6) as median, round(round(quantile_cont(ad, 0.25), 9), 6) as q25, round(round(quantile_cont(ad, 0.75), 9), 6) as q75,

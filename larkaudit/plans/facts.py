@@ -74,11 +74,11 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """patient_id, gene, core, absolute, repeat_support, sign_support: highest price, lines (of five), and the share of the flag that most lines have."""
+    """patient_id, gene, core, absolute, repeat_support, sign_support: highest price, largest quantity (of fifty), and the share of the flag that most lines have."""
     l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     kept = F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0))
     g = l.groupBy(F.col("o_custkey").alias("patient_id"), F.col("l_partkey").alias("gene")).agg(
-        F.max("l_extendedprice").cast("double").alias("absolute"), F.least(F.lit(1.0), F.count("*") / 5.0).alias("repeat_support"), F.greatest(kept, 1 - kept).alias("sign_support")
+        F.max("l_extendedprice").cast("double").alias("absolute"), F.least(F.lit(1.0), F.max("l_quantity") / 50.0).alias("repeat_support"), F.greatest(kept, 1 - kept).alias("sign_support")
     )
     return g.withColumn("core", F.col("gene") % 4)
 

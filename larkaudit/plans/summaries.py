@@ -243,9 +243,16 @@ def oriented_auc(spark, d):
     return r6(a.select("model", F.col("roc_auc").alias("raw_auc"), F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("oriented_auc"), (F.col("roc_auc") < 0.5).alias("flipped")))
 
 
-@query(c.WIDE + """ select sample_id, case when (a_p >= 0.5) <> (b_p >= 0.5) then 'model_dependent' when round(abs(a_p - 0.5), 9) <= 0.05 and round(abs(b_p - 0.5), 9) <= 0.05 then 'intermediate' when (a_p >= 0.5)::integer <> y then 'discordant' else 'concordant' end as state from wide""")
+@query(c.WIDE + ", swept as (select model, y, p, threshold from oof, " + c.GRID_SQL + "), " + c._at("model, threshold", "swept", "threshold") + """, bt as (select model, threshold as bar from rates qualify row_number() over (partition by model order by round((recall + specificity) / 2, 9) desc, threshold) = 1),
+       two as (select max(bar) filter (where model = 'a') as ta, max(bar) filter (where model = 'b') as tb from bt)
+       select sample_id, case when (a_p >= ta) <> (b_p >= tb) then 'model_dependent' when round(abs(a_p - ta), 9) <= 0.05 and round(abs(b_p - tb), 9) <= 0.05 then 'intermediate_ambiguous'
+              when y = 0 and a_p >= ta then 'clinical_early_molecular_advanced_like' when y = 1 and a_p < ta then 'clinical_advanced_molecular_early_like' else 'clinical_molecular_concordant' end as state from wide, two""")
 def portability_state(spark, d):
-    return c._wide(spark, d).select("sample_id", su.portability().alias("state"))
+    """States by each model's own best threshold."""
+    swept = metrics.threshold_sweep(facts.oof(spark, d), ["model"], c.GRID).withColumn("balanced_accuracy", F.round("balanced_accuracy", 9))
+    best = metrics.best_threshold(swept, ["model"], "balanced_accuracy")
+    two = best.agg(*[F.max(F.when(F.col("model") == m, F.col("threshold"))).alias(f"_{m}") for m in ("a", "b")])
+    return c._wide(spark, d).crossJoin(F.broadcast(two)).select("sample_id", su.portability(F.col("_a"), F.col("_b")).alias("state"))  # one row
 
 
 UNITS = c.TAXONOMY + ", " + COVER + """, res as (select sample_id, round(abs(avg(residual)), 9) as size, round(avg(residual), 9) as residual, round(avg(coverage), 9) as coverage, greatest(avg(case when residual > 0 then 1.0 else 0.0 end), avg(case when residual < 0 then 1.0 else 0.0 end)) as sign_consistency from cover group by sample_id),
@@ -289,12 +296,16 @@ NULLS = c.NULL.replace("{n}", "200") + c.EXCESS + """, nu as (select sample_id,
 @query(NULLS + " select sample_id, round(residual_excess, 6) + 0.0 as residual_excess, round(coverage_excess, 6) + 0.0 as coverage_excess, round(top_excess, 6) + 0.0 as top_excess, round(priority, 6) as priority from np")
 def null_corrected_priority(spark, d):
     """Residual, coverage and mass of the largest sets above their null means over two hundred permutations, and the priority they give."""
+    return r6(_null_priority(spark, d))
+
+
+def _null_priority(spark, d):
     from larkaudit.operators import nulls
 
     p = nulls.null_patients(c._patient_null(spark, d), ["sample_id"])
     value = lambda m: su.r9(F.max(F.when(F.col("metric") == m, F.col("excess_mean"))))
     wide = p.groupBy("sample_id").agg(value("residual").alias("residual_excess"), value("coverage").alias("coverage_excess"), value("top_fraction").alias("top_excess"))
-    return r6(su.null_priority(wide))
+    return su.null_priority(wide)
 
 
 @query(c.NULL.replace("{n}", "200") + c.EXCESS + """ select sample_id, metric, count(*) as n_repeats, round(avg(observed), 6) + 0.0 as observed_mean, round(avg(null_mean), 6) + 0.0 as null_mean_mean, round(avg(excess), 6) + 0.0 as excess_mean,
@@ -321,32 +332,41 @@ def fuzzy_priority(spark, d):
     return r6(su.fuzzy_priority(u).select("patient_id", "most", "consistency", "uncertainty", "null_priority", "priority"))
 
 
-POOL = """pool as (select patient_id, gene, core, cast(priority as double) as size, round(least(1.0, n_lines / 5.0::double), 9) as support, round((core + 1) / 4.0::double, 9) as core_stability from targets),
+POOL = c.ENTRIES + """, pool0 as (select patient_id, ent.gene, core, absolute as size, rep, sgn, ff, g0.margin from ent join g0 on g0.gene = ent.gene), pool as (select * from pool0 where rep >= 0.4 and ff >= 0.2 and sgn >= 0.6), pl as (select min(margin) as ml2, max(margin) as mh2 from pool),
        p1 as (select *, (rank() over (partition by patient_id order by size) + (count(*) over (partition by patient_id, size) - 1) / 2.0::double) / count(*) over (partition by patient_id) as size_pct,
               case when max(size) over w <= min(size) over w then 0.5 else (size - min(size) over w) / (max(size) over w - min(size) over w) end as scaled from pool window w as (partition by patient_id)),
-       p2 as (select *, 0.35 * scaled + 0.2 * size_pct + 0.2 * support + 0.1 * core_stability as f from p1), tops as (select *, row_number() over (partition by patient_id order by round(f / 0.85, 9) desc, gene) as k from p2),
-       fr as (select gene, count(*) filter (where k <= 20) as n_top, count(*) filter (where k <= 20) / (select count(distinct patient_id) from pool)::double as frequency,
-              round(ln((1.0::double + (select count(distinct patient_id) from pool)) / (1.0::double + count(*) filter (where k <= 20))) + 1, 9) as idf from tops group by gene), lm as (select min(idf) as lo, max(idf) as hi from fr),
+       p2 as (select *, 0.35 * scaled + 0.2 * size_pct + 0.2 * (0.5 * rep + 0.25 * sgn + 0.25 * ff) + 0.1 * case when mh2 <= ml2 then 0.5 else (margin - ml2) / (mh2 - ml2) end as f from p1, pl),
+       tops as (select *, row_number() over (partition by patient_id order by round(f / 0.85, 9) desc, gene) as k from p2), np as (select count(distinct patient_id) as n from pool0),
+       fr as (select gene, count(*) filter (where k <= 20) as n_top, count(*) filter (where k <= 20) / max(n)::double as frequency, round(ln((1.0::double + max(n)) / (1.0::double + count(*) filter (where k <= 20))) + 1, 9) as idf from tops, np group by gene), lm as (select min(idf) as lo, max(idf) as hi from fr),
        cl as (select gene, n_top, frequency, case when hi <= lo then 0.5 else (idf - lo) / (hi - lo) end as idf01, case when frequency >= 0.25 then 'generic' when frequency >= 0.1 then 'recurrent' else 'specific' end as class from fr, lm),
        scored2 as (select p2.patient_id, p2.gene, core, n_top, frequency, idf01, class, round(f / 0.85, 9) as first_score, round(f + 0.15 * idf01, 9) as score from p2 join cl using (gene))"""
 
 
 def _pool(spark, d):
-    g = facts.targets(spark, d)
-    return su.pool_scores(g.select("patient_id", "gene", "core", F.col("priority").cast("double").alias("size"), su.r9(F.least(F.lit(1.0), F.col("n_lines") / 5)).alias("support"), su.r9((F.col("core") + 1) / 4).alias("core_stability")))
+    e = facts.target_entries(spark, d).join(facts.target_genes(spark, d).select("gene", "fold_frequency", "margin"), "gene").withColumnRenamed("absolute", "size")
+    return su.pool_scores(e)
 
 
-@query("with " + POOL + " select patient_id, gene, n_top, round(frequency, 6) as frequency, class, round(first_score + 1e-10, 6) as first_score, round(score + 1e-10, 6) as score from scored2")
+@query(POOL + " select patient_id, gene, n_top, round(frequency, 6) as frequency, class, round(first_score + 1e-10, 6) as first_score, round(score + 1e-10, 6) as score from scored2", base=False)
 def full_pool_scores(spark, d):
+    """Scores of the supported targets in two passes, with the frequency and class of their genes."""
     return n6(_pool(spark, d).select("patient_id", "gene", "n_top", "frequency", "class", "first_score", "score"))
 
 
-@query("with " + POOL + """, k2 as (select *, row_number() over (partition by patient_id order by score desc, gene) as k from scored2), b as (select * from k2 where k <= 20),
-       g as (select patient_id, count(*) as n_targets, count(*) filter (where class = 'generic') as n_generic, count(*) filter (where class = 'recurrent') as n_recurrent, count(*) filter (where class = 'specific') as n_specific, avg(score) as mean_score, avg(idf01) as mi, avg(frequency) as mf from b group by patient_id),
-       co as (select patient_id, core, row_number() over (partition by patient_id order by count(*) desc, core) as r from b group by patient_id, core), z as (select g.*, core as dominant_core, round(0.5 * mi + 0.3 * n_specific / n_targets + 0.2 * (1 - mf), 9) as specificity from g join co using (patient_id) where r = 1)
-       select patient_id, n_targets, n_generic, n_recurrent, n_specific, round(mean_score, 6) as mean_score, dominant_core, round(specificity, 6) as specificity, case when specificity <= 0.35 then 'low' when specificity <= 0.6 then 'moderate' else 'high' end as tier from z""")
+@query(POOL + """, l0 as (select *, row_number() over (partition by patient_id, class order by score desc, gene) as lr from scored2), l1 as (select * from l0 where (class = 'generic' and lr <= 5) or (class = 'recurrent' and lr <= 5) or (class = 'specific' and lr <= 10)),
+       b as (select * from l1 qualify row_number() over (partition by patient_id order by score desc, gene) <= 20),
+       g as (select patient_id, count(*) as n_targets, count(*) filter (where class = 'generic') as n_generic, count(*) filter (where class = 'recurrent') as n_recurrent, count(*) filter (where class = 'specific') as n_specific, avg(score) as mean_score, max(score) as most_score, avg(idf01) as mi from b group by patient_id),
+       co as (select patient_id, core, row_number() over (partition by patient_id order by count(*) desc, core) as r from b group by patient_id, core),
+       z as (select g.*, core as dominant_core, round(0.5 * n_specific / n_targets + 0.3 * mi + 0.2 * (1 - n_generic / n_targets), 9) as specificity from g join co using (patient_id) where r = 1)
+       select p.patient_id, coalesce(n_targets, 0) as n_targets, coalesce(n_generic, 0) as n_generic, coalesce(n_recurrent, 0) as n_recurrent, coalesce(n_specific, 0) as n_specific, round(mean_score, 6) as mean_score, round(most_score, 6) as most_score, dominant_core,
+       round(specificity, 6) as specificity, case when specificity <= 0.35 then 'low' when specificity <= 0.6 then 'moderate' when specificity > 0.6 then 'high' end as tier from (select distinct patient_id from pool0) p left join z using (patient_id)""", base=False)
 def patient_target_summary(spark, d):
-    return r6(su.patient_targets(_pool(spark, d)).select("patient_id", "n_targets", "n_generic", "n_recurrent", "n_specific", "mean_score", "dominant_core", "specificity", "tier"))
+    """The layered targets of each patient summed up, with their specificity."""
+    from larkaudit.operators import targets
+
+    layered = targets.layers(_pool(spark, d).withColumn("adjusted", F.col("score")), {"generic": 5, "recurrent": 5, "specific": 10})
+    out = su.patient_targets(layered, facts.target_entries(spark, d))
+    return r6(out.select("patient_id", "n_targets", "n_generic", "n_recurrent", "n_specific", "mean_score", "most_score", "dominant_core", "specificity", "tier"))
 
 
 @query(c.ENTRIES + ", src as (select ent.*, row_number() over (partition by patient_id, core order by gene) - 1 as place, count(*) over (partition by patient_id, core) as n from ent), pp as (select * from src, " + c.PERMS + "), "
@@ -355,3 +375,19 @@ def patient_target_summary(spark, d):
 def target_null_b(spark, d):
     """The twenty best targets when each patient's values are dealt anew within a core, for a hundred permutations, in sums."""
     return c._null_sums(spark, d, scores.null_within_cores)
+
+
+@query(NULLS + ", " + c.TAXONOMY.replace("with ", "", 1) + ", " + c.STATES.replace("with ", "", 1) + c.CONSISTENT + """, un as (select patient_id, round(avg(s), 9) as uncertainty from (select patient_id, core, coalesce(stddev_samp(positive), 0) as s from fuzzy group by all) group by patient_id),
+       bp as (select cs.patient_id, ((y = 0 and rank_state = 'advanced_like') or (y = 1 and rank_state = 'early_like'))::integer as discordant, (dependence = 'high')::integer as dependent, (instability_tier = 'high')::integer as unstable, uncertainty, round(consistency, 9) as consistency, priority as null_gap
+              from cs join un using (patient_id) join taxonomy on taxonomy.sample_id = cs.patient_id join np on np.sample_id = cs.patient_id),
+       sc as (select *, round(0.25::double * discordant + 0.15::double * dependent + 0.15::double * unstable + 0.2 * """ + PCT.format("uncertainty") + " + 0.15 * (1 - consistency) + 0.1 * " + PCT.format("null_gap") + """, 9) as score from bp)
+       select patient_id, discordant, dependent, unstable, round(uncertainty, 6) as uncertainty, round(consistency, 6) as consistency, round(null_gap, 6) as null_gap, round(score, 6) as score from sc order by score desc, sc.null_gap desc, sc.uncertainty desc, patient_id limit 100""")
+def boundary_score(spark, d):
+    """The hundred patients at the border: flags of the taxonomy, spread of core memberships, consistency over repeats, and null-corrected priority."""
+    from larkaudit.operators import states
+
+    f = c._fuzzy(spark, d)
+    u = f.groupBy("patient_id", "core").agg(F.coalesce(F.stddev_samp("positive"), F.lit(0.0)).alias("s")).groupBy("patient_id").agg(su.r9(F.avg("s")).alias("uncertainty"))
+    u = u.join(states.repeat_consistency(c._states(spark, d), "patient_id").select("patient_id", su.r9(F.col("consistency")).alias("consistency")), "patient_id")
+    gap = _null_priority(spark, d).select(F.col("sample_id").alias("patient_id"), F.col("priority").alias("null_gap"))
+    return r6(states.border_scores(c._flags(spark, d).join(u, "patient_id").join(gap, "patient_id")).drop("uncertainty_pct", "null_pct"))

@@ -100,3 +100,32 @@ def test_guards(spark):
     assert validate.require_classes(labels, "y", 100, 50).count() == 100
     with pytest.raises(ValueError):
         validate.require_classes(labels, "y")
+
+
+def test_portability_goes_by_each_models_threshold(spark):
+    rows = [(1, 0, 0.5, 0.2), (2, 0, 0.41, 0.62), (3, 0, 0.8, 0.9), (4, 1, 0.1, 0.2), (5, 1, 0.8, 0.9), (6, 1, 0.36, 0.56)]
+    df = spark.createDataFrame(rows, "id long, y int, a_p double, b_p double")
+    got = {r["id"]: r["s"] for r in df.select("id", summaries.portability(F.lit(0.4), F.lit(0.6)).alias("s")).collect()}
+    assert got == {
+        1: "model_dependent", 2: "intermediate_ambiguous", 3: "clinical_early_molecular_advanced_like", 4: "clinical_advanced_molecular_early_like", 5: "clinical_molecular_concordant", 6: "intermediate_ambiguous"
+    }
+
+
+def test_patient_targets_weigh_specific_shares(spark):
+    rows = [(1, 10, 0, "generic", 0.9, 0.0), (1, 11, 1, "specific", 0.7, 1.0), (1, 12, 1, "specific", 0.5, 0.8), (1, 13, 0, "recurrent", 0.3, 0.4), (2, 10, 3, "generic", 0.2, 0.0)]
+    layered = spark.createDataFrame(rows, "patient_id long, gene long, core long, class string, score double, idf01 double")
+    got = {r["patient_id"]: r for r in summaries.patient_targets(layered, spark.createDataFrame([(1,), (2,), (3,), (3,)], "patient_id long")).collect()}
+    assert (got[1]["specificity"], got[1]["tier"], got[1]["dominant_core"], got[1]["most_score"]) == (pytest.approx(0.5 * 0.5 + 0.3 * 0.55 + 0.2 * 0.75), "moderate", 0, 0.9)
+    assert (got[2]["specificity"], got[2]["tier"], got[2]["n_generic"]) == (0.0, "low", 1)
+    assert (got[3]["n_targets"], got[3]["n_specific"], got[3]["specificity"], got[3]["tier"]) == (0, 0, None, None)
+
+
+def test_targets_without_support_take_no_part_but_their_patients_count(spark):
+    rows = [(1, 10, 0, 4.0, 0.8, 1.0, 1.0, 2.0), (1, 11, 0, 2.0, 0.4, 0.2, 0.6, 1.0), (1, 12, 0, 9.0, 0.3, 1.0, 1.0, 9.0), (2, 10, 0, 5.0, 0.5, 1.0, 1.0, 2.0), (3, 11, 0, 7.0, 0.9, 0.1, 1.0, 1.0), (4, 11, 0, 7.0, 0.9, 0.9, 0.5, 1.0)]
+    pool = spark.createDataFrame(rows, "patient_id long, gene long, core long, size double, repeat_support double, fold_frequency double, sign_support double, margin double")
+    got = {(r["patient_id"], r["gene"]): r for r in summaries.pool_scores(pool).collect()}
+    assert got.keys() == {(1, 10), (1, 11), (2, 10)}
+    assert (got[1, 10]["frequency"], got[1, 10]["class"], got[1, 11]["frequency"]) == (0.5, "generic", 0.25)
+    first = 0.35 * 1 + 0.2 * 1 + 0.2 * (0.5 * 0.8 + 0.25 + 0.25) + 0.1 * 1
+    assert (got[1, 10]["first_score"], got[1, 10]["score"]) == pytest.approx((first / 0.85, first), abs=1e-8)
+    assert got[1, 11]["score"] == pytest.approx(0.2 * 0.5 + 0.2 * (0.5 * 0.4 + 0.25 * 0.6 + 0.25 * 0.2) + 0.15, abs=1e-8)
