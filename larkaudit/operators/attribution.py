@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from larkaudit.functions.lineage import cut
 from larkaudit.functions.quantiles import exact_quantiles
-from larkaudit.functions.ranks import first_rank
+from larkaudit.functions.ranks import cut as classes
+from larkaudit.functions.ranks import first_rank, min_rank
 from larkaudit.functions.text import clean_symbol
 
 UNIT = ["sample_id", "repeat_id"]
@@ -106,3 +107,27 @@ def gap_tiers(genes: DataFrame, least_folds: int = 5, stable_folds: int = 10) ->
         .otherwise("low")
     )
     return g.withColumn("tier", tier).drop("_q75", "_q90")
+
+
+#: Right edges of the classes of set sizes, and their names. Fixed values.
+SIZES, SIZE_NAMES = [0.0, 50.0, 200.0, 500.0, 1000.0, float("inf")], ["10_to_50", "51_to_200", "201_to_500", "501_to_1000", "greater_than_1000"]
+
+
+def size_adjusted(sets: DataFrame) -> DataFrame:
+    """``sets`` (term, size, mean_abs, cv) with what their size does not explain, and ranks before and after.
+
+    per_gene, per_sqrt_gene; residual of log10 mean_abs on log10 size, fitted to sets with a mean above 0;
+    size_class; weight 1 / (1 + cv), a missing cv being the median; score, their product; raw_rank,
+    adjusted_rank and rank_change, equal ones alike. A row a set: its windows are as long as the collection of sets.
+    """
+    s = cut(sets.withColumn("_x", F.log10(F.greatest(F.col("size"), F.lit(1)).cast("double"))))
+    y = F.when(F.col("mean_abs") > 0, F.log10("mean_abs"))
+    fit = s.agg(F.regr_slope(y, "_x").alias("_slope"), F.regr_intercept(y, "_x").alias("_intercept"))
+    middle = exact_quantiles(s, "cv", {"_cv": 0.5}).select(F.round("_cv", 9).alias("_cv"))
+    s = s.crossJoin(F.broadcast(fit)).crossJoin(F.broadcast(middle))  # one row each
+    s = s.withColumn("per_gene", F.col("mean_abs") / F.col("size")).withColumn("per_sqrt_gene", F.col("mean_abs") / F.sqrt("size"))
+    s = s.withColumn("residual", F.round(F.log10(F.greatest(F.col("mean_abs"), F.lit(1e-15))) - (F.col("_intercept") + F.col("_slope") * F.col("_x")), 9))
+    s = s.withColumn("size_class", classes(F.col("size").cast("double"), SIZES, SIZE_NAMES)).withColumn("weight", F.round(1 / (1 + F.coalesce("cv", "_cv")), 9))
+    s = s.withColumn("score", F.round(F.col("residual") * F.col("weight"), 9))
+    s = s.withColumn("raw_rank", min_rank([], F.desc("mean_abs"))).withColumn("adjusted_rank", min_rank([], F.desc("score")))
+    return s.withColumn("rank_change", F.col("adjusted_rank") - F.col("raw_rank")).drop("_x", "_slope", "_intercept", "_cv")

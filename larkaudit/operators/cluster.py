@@ -206,3 +206,24 @@ def stable_cores(pairs: DataFrame, found: DataFrame, within: float = 0.6, betwee
     )
     ok = (F.col("within") >= within) & (F.col("between") <= between) & (F.col("within") - F.col("between") >= margin)
     return g.withColumn("margin", F.col("within") - F.col("between")).withColumn("eligible", F.coalesce(ok, F.lit(False)))
+
+
+#: Least share of folds that select a gene of a core, tiers of modules that may have one, and least genes of module and core. Fixed values.
+FOLD_SHARE, PARENT_TIERS, CORE_GENES = 0.2, ["high", "moderate"], 5
+
+
+def refined_cores(cores: DataFrame, frequency: DataFrame, stability: DataFrame) -> DataFrame:
+    """``cores`` with frequency, parent_tier, parent_genes, retained, and core, the name of the core that a retained gene belongs to.
+
+    ``cores`` of ``stable_cores``; ``frequency`` (gene, frequency over folds; absent: 0); ``stability`` (module, tier,
+    n_genes). A gene is retained if it is eligible, selected often enough and of a large enough module of a high or moderate
+    tier, and if its module has CORE_GENES such genes. Cores are numbered in the order of their modules.
+    """
+    told = stability.select("module", F.col("tier").alias("parent_tier"), F.col("n_genes").alias("parent_genes"))
+    g = cores.join(frequency.select("gene", "frequency"), "gene", "left").na.fill(0.0, ["frequency"]).join(told, "module")
+    fit = F.col("eligible") & (F.col("frequency") >= FOLD_SHARE) & F.col("parent_tier").isin(PARENT_TIERS) & (F.col("parent_genes") >= CORE_GENES)
+    kept = g.where(fit).groupBy("module").count().where(F.col("count") >= CORE_GENES).select("module")
+    number = first_rank([], F.asc("module"))  # one row a module
+    names = kept.select("module", F.concat(F.lit("GapCore_"), F.lpad(number.cast("string"), 2, "0")).alias("_name"))
+    g = g.join(names, "module", "left").withColumn("retained", fit & F.col("_name").isNotNull())
+    return g.withColumn("core", F.when(F.col("retained"), F.col("_name"))).drop("_name")

@@ -470,6 +470,22 @@ def size_bias_regression(spark, d):
     return r6(j.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count("*").alias("n")))
 
 
+@query(W_SQL + """, ts as (select sample_id, repeat_id, term, sum(shap * weight) as v from attribution join weighted using (gene) group by all), pr as (select term, repeat_id, avg(abs(v)) as a from ts group by all),
+       z as (select term, count(*)::double as size, log10(count(*)) as x from memberships group by term), st as (select term, size, x, round(avg(a), 9) as mean_abs, round(stddev_samp(a) / nullif(avg(a), 0), 9) as cv from pr join z using (term) group by all),
+       fit as (select regr_slope(log10(mean_abs), x) as slope, regr_intercept(log10(mean_abs), x) as intercept from st where mean_abs > 0), md as (select round(median(cv), 9) as mc from st),
+       ad as (select term, cast(size as bigint) as size, mean_abs, mean_abs / size as per_gene, mean_abs / sqrt(size) as per_sqrt_gene, round(log10(greatest(mean_abs, 1e-15)) - (intercept + slope * x), 9) as residual, case when size <= 50 then '10_to_50' else '51_to_200' end as size_class,
+              round(1 / (1 + coalesce(cv, mc)), 9) as weight from st, fit, md), sc as (select *, round(residual * weight, 9) as score from ad)
+       select term, size, round(mean_abs, 6) as mean_abs, round(per_gene, 6) as per_gene, round(per_sqrt_gene, 6) as per_sqrt_gene, round(residual, 6) + 0.0 as residual, size_class, round(weight, 6) as weight, round(score, 6) + 0.0 as score,
+       rank() over (order by mean_abs desc) as raw_rank, rank() over (order by score desc) as adjusted_rank, rank() over (order by score desc) - rank() over (order by mean_abs desc) as rank_change from sc""")
+def size_adjusted_sets(spark, d):
+    """Sets without what their size explains: residual of the regression on size, weighed by stability, with ranks before and after."""
+    w = at.edges(facts.memberships(spark))
+    stable = at.stability(at.allocate(facts.attribution(spark, d), w), "term", "term_shap", "repeat_id", 5)
+    stable = stable.select("term", F.round("mean_abs", 9).alias("mean_abs"), F.round("cv", 9).alias("cv"))
+    a = at.size_adjusted(stable.join(w.groupBy("term").agg(F.count("*").alias("size")), "term"))
+    return r6(a.select("term", "size", "mean_abs", "per_gene", "per_sqrt_gene", "residual", "size_class", "weight", "score", *[F.col(c).cast("long") for c in ("raw_rank", "adjusted_rank", "rank_change")]))
+
+
 # --- statistics ----------------------------------------------------------------------------------
 
 
@@ -877,7 +893,13 @@ def _cores(spark, d):
 
 @query()
 def core_refine(spark, d):
-    return _cores(spark, d)[0]
+    """Consensus of each gene with its module and others, how many folds select it, its module's tier, and the core that retains it."""
+    from larkaudit.operators import cluster
+    from larkaudit.plans import summaries
+
+    pairs, found = _selected(*_consensus(spark, d))
+    cores = cluster.stable_cores(pairs, found.select("gene", "module"))
+    return cluster.refined_cores(cores, summaries.selected_gene_frequency(spark, d), cluster.module_stability(pairs, found))
 
 
 @query()

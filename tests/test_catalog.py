@@ -8,6 +8,21 @@ from larkaudit.plans import catalog
 NO_SQL = sorted(set(catalog.queries()) - set(catalog.oracle_sql()))
 
 
+@pytest.fixture(scope="module", autouse=True)
+def made_once():
+    """The consensus and the models of folds are made once for all queries that read them."""
+    kept, before = {}, {name: getattr(catalog, name) for name in ("_consensus", "_net")}
+
+    def once(name):
+        return lambda spark, d: kept[name] if name in kept else kept.setdefault(name, before[name](spark, d))
+
+    for name in before:
+        setattr(catalog, name, once(name))
+    yield
+    for name, f in before.items():
+        setattr(catalog, name, f)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, sf, name):
     ours = catalog.queries()[name](spark, sf).toPandas()

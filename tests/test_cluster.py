@@ -117,3 +117,13 @@ def test_places_and_empty_tables(spark):
     assert got == {v: i for i, v in enumerate(sorted(ids))}
     assert ranks.places(spark.createDataFrame([], "v long"), "v").count() == 0
     assert ranks.bh_fdr(spark.createDataFrame([], "test long, p double"), "p").count() == 0
+
+
+def test_cores_are_retained_by_folds_tier_and_size(spark):
+    genes = [(g, m, 0.9, 0.1, e) for m, n in ((1, 6), (2, 5), (3, 7), (5, 6)) for g, e in [(10 * m + i, i != 0 or m != 2) for i in range(n)]]
+    cores = spark.createDataFrame(genes, "gene long, module int, within double, between double, eligible boolean")
+    frequency = spark.createDataFrame([(g, 0.1 if g in (10, 50, 51) else 0.2) for g, *_ in genes if g != 36], "gene long, frequency double")
+    stability = spark.createDataFrame([(1, "high", 6), (2, "high", 5), (3, "moderate", 7), (5, "low", 6)], "module int, tier string, n_genes long")
+    got = {r["gene"]: r["core"] for r in cluster.refined_cores(cores, frequency, stability).collect()}
+    # module 1 loses a gene that few folds select and keeps five; module 2 has four; module 3 loses one that no fold selects; module 5 is of a low tier
+    assert {g: c for g, c in got.items() if c} == {**{10 + i: "GapCore_01" for i in range(1, 6)}, **{30 + i: "GapCore_02" for i in range(6)}}

@@ -191,3 +191,16 @@ def test_flipped_contrasts(spark):
     back = stats.flip_contrasts(tests, spark.createDataFrame([("b", "a")], "group_1 string, group_2 string")).first()
     assert (back["n_1"], back["n_2"], back["cliffs_delta"], back["flipped"]) == (12, 10, -one["cliffs_delta"], True)
     assert back["u"] == 120 - one["u"]
+
+
+def test_size_adjusted_sets(spark):
+    sets = [("a", 10, 1.0, 0.5), ("b", 100, 10.0, None), ("c", 1000, 100.0, 1.0), ("d", 60, 60.0, 0.0), ("e", 2000, 0.0, 1.0)]
+    got = {r["term"]: r for r in attribution.size_adjusted(spark.createDataFrame(sets, "term string, size long, mean_abs double, cv double")).collect()}
+    x, y = np.log10([10, 100, 1000, 60]), np.log10([1, 10, 100, 60])
+    slope, intercept = np.polyfit(x, y, 1)
+    assert [got[t]["residual"] for t in "abcd"] == pytest.approx(y - (intercept + slope * x), abs=1e-8)
+    assert got["e"]["residual"] == pytest.approx(-15 - (intercept + slope * np.log10(2000)), abs=1e-8)
+    assert [got[t]["size_class"] for t in "abcde"] == ["10_to_50", "51_to_200", "501_to_1000", "51_to_200", "greater_than_1000"]
+    assert [got[t]["weight"] for t in "abcd"] == pytest.approx([1 / 1.5, 1 / 1.75, 0.5, 1], abs=1e-8)
+    assert [got[t]["raw_rank"] for t in "abcde"] == [4, 3, 1, 2, 5] and got["d"]["adjusted_rank"] == 1
+    assert all(r["rank_change"] == r["adjusted_rank"] - r["raw_rank"] for r in got.values())
