@@ -78,8 +78,12 @@ def word_pairs(w: Column) -> Column:
     return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def template_words(text: str) -> list[str]:
+    return [x for x in re.split(r"[\W_]+", text.lower()) if x]
+
+
 def template_pairs(text: str) -> list[str]:
-    w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+    w = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
@@ -106,28 +110,39 @@ def needles(pairs: list[str], least: float) -> list[str]:
     return out
 
 
+def most_words(n: int, least: float) -> int:
+    """Words of a window at most, for a template of n words: by the same share as its pairs."""
+    return math.floor(n * (2 - least) / least + 1e-9)
+
+
 def scan_lines(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_DICE, separator: str = "\n") -> DataFrame:
     """doc_id, line_no, last_line, license, dice for each run of lines of ``docs`` (doc_id, text, ...) that matches a template.
 
-    From each line on, the run with the largest coefficient counts, the shortest of equal ones; of runs
-    that overlap, the one with the largest coefficient stays, ties to the smaller name, then to the
+    A run is one line, or lines of no more words than ``most_words`` of the template's, and begins with a line that
+    holds one of its pairs, with the word after the line if need be. From each line on, the run with the largest coefficient
+    counts, the shortest of equal ones; of runs that overlap, the one with the largest coefficient stays, ties to the smaller name, then to the
     earlier one. Lines are numbered from 0. Null, empty and wordless texts match nothing; repeated
     rows each give their rows; extra columns are ignored; an empty table gives no rows. A document is
-    compared where it lies, without joins, whatever its length.
+    compared where it lies, without joins; a long text costs time in proportion to its lines, and no row a line.
     """
-    known = sorted((name, template_pairs(text)) for name, text in (TEMPLATES if templates is None else templates).items())
-    known = [(name, pairs) for name, pairs in known if pairs]
-    wanted = sorted({w for _, pairs in known for w in needles(pairs, least)})
+    known = sorted((name, template_pairs(text), len(template_words(text))) for name, text in (TEMPLATES if templates is None else templates).items())
+    known = [(name, pairs, size) for name, pairs, size in known if pairs]
+    wanted = sorted({w for _, pairs, _ in known for w in needles(pairs, least)})
     if not known:
         return docs.sparkSession.createDataFrame([], "doc_id long, line_no int, last_line int, license string, dice double")
     table = F.array(*[
-        F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, p)).alias("pairs"), F.lit(len(p)).alias("n"), F.lit(least_shared(len(p), least)).alias("need"), F.lit(most_pairs(len(p), least)).alias("most"))
-        for name, p in known
+        F.struct(
+            F.lit(name).alias("license"), F.array(*map(F.lit, p)).alias("pairs"), F.lit(len(p)).alias("n"), F.lit(least_shared(len(p), least)).alias("need"),
+            F.lit(most_pairs(len(p), least)).alias("most"), F.lit(most_words(size, least)).alias("words"),
+        )
+        for name, p, size in known
     ])
     some = docs.where(let(F.lower("text"), lambda low: reduce(operator.or_, [low.contains(w) for w in wanted])))
-    lines = F.transform(F.split("text", separator), words)
-    every = F.array(*map(F.lit, sorted({p for _, pairs in known for p in pairs})))
+    every = F.array(*map(F.lit, sorted({p for _, pairs, _ in known for p in pairs})))
     few = F.array(*map(F.lit, wanted))
+    # Only lines with words can add to a run: their number is kept beside them.
+    numbered = F.transform(F.split("text", separator), lambda line, i: F.struct(i.alias("no"), words(line).alias("w")))
+    lines = F.filter(numbered, lambda line: F.size(line["w"]) > 0)
 
     def compared(flat: Column) -> Column:
         """The templates that the words of a text can match; pairs are made only if one of the needles is a word."""
@@ -135,50 +150,67 @@ def scan_lines(docs: DataFrame, templates: dict[str, str] | None = None, least:
         near = let(hits, lambda h: F.filter(table, lambda t: F.size(F.array_intersect(h, t["pairs"])) >= t["need"]))
         return F.when(F.arrays_overlap(flat, few), near)
 
-    some = some.select("doc_id", F.explode(F.array(let(lines, lambda x: F.struct(x.alias("lines"), let(F.flatten(x), compared).alias("near"))))).alias("m"))
+    near = lambda x: let(F.flatten(F.transform(x, lambda line: line["w"])), compared)
+    some = some.select("doc_id", F.explode(F.array(let(lines, lambda x: F.struct(x.alias("lines"), near(x).alias("near"))))).alias("m"))
     some = some.select("doc_id", F.col("m.lines").alias("lines"), F.col("m.near").alias("near")).where(F.size("near") > 0)
-    # One row a document, a template and a line to start from.
-    starts = some.select("doc_id", "lines", "near").withColumn("t", F.explode("near")).withColumn("line_no", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)))
-    first = F.get("lines", F.col("line_no"))
-    onward = F.slice("lines", F.col("line_no") + 1, F.size("lines"))
-    starts = starts.where(F.size(first) > 0)
+    rows = some.select("doc_id", "lines", F.explode("near").alias("t"))  # a row a document and template
     state = F.struct(
-        F.array().cast("array<string>").alias("set"), F.array().cast("array<string>").alias("end"), F.lit(False).alias("done"), F.lit(0).alias("at"), F.lit(0.0).alias("dice"), F.lit(-1).alias("last")
+        F.array().cast("array<string>").alias("set"), F.array().cast("array<string>").alias("end"), F.lit(False).alias("done"), F.lit(0).alias("words"), F.lit(0.0).alias("dice"), F.lit(-1).alias("last")
     )
 
     def grow(s: Column, line: Column) -> Column:
-        def judged(union: Column) -> Column:
+        def judged(x: Column) -> Column:
+            union, length = x["union"], x["length"]
             dice = 2.0 * F.size(F.array_intersect(union, F.col("t.pairs"))) / (F.size(union) + F.col("t.n"))
-            better = dice > s["dice"]
+            better = (dice > s["dice"]) & ((s["words"] == 0) | (length <= F.col("t.words")))
             return F.struct(
-                union.alias("set"), F.when(F.size(line) > 0, F.slice(line, -1, 1)).otherwise(s["end"]).alias("end"), (F.size(union) > F.col("t.most")).alias("done"), (s["at"] + 1).alias("at"),
-                F.when(better, dice).otherwise(s["dice"]).alias("dice"), F.when(better, s["at"]).otherwise(s["last"]).alias("last"),
+                union.alias("set"), F.slice(line["w"], -1, 1).alias("end"), ((F.size(union) > F.col("t.most")) | (length >= F.col("t.words"))).alias("done"), length.alias("words"),
+                F.when(better, dice).otherwise(s["dice"]).alias("dice"), F.when(better, line["no"]).otherwise(s["last"]).alias("last"),
             )
 
-        union = F.array_union(s["set"], word_pairs(F.concat(s["end"], line)))
-        return F.when(s["done"], s).otherwise(let(union, judged))
-
-    best = F.filter(F.array(F.aggregate(onward, state, grow)), lambda x: x["dice"] >= least)
-    runs = starts.withColumn("best", F.explode(best))
-    windows = runs.select("doc_id", "lines", F.struct("line_no", (F.col("line_no") + F.col("best.last")).alias("last_line"), F.col("t.license").alias("license"), F.col("best.dice").alias("dice")).alias("w"))
+        union = F.array_union(s["set"], word_pairs(F.concat(s["end"], line["w"])))
+        return F.when(s["done"], s).otherwise(let(F.struct(union.alias("union"), (s["words"] + F.size(line["w"])).alias("length")), judged))
+
+    def begins(line: Column, i: Column) -> Column:
+        after = F.get("lines", i + 1)["w"]
+        return F.arrays_overlap(word_pairs(F.when(after.isNotNull(), F.concat(line["w"], F.slice(after, 1, 1))).otherwise(line["w"])), F.col("t.pairs"))
+
+    # A run takes a line with a word at least for each word it may have, so what is folded is bounded. Lines are
+    # fetched by number: a slice would read all of a long text's lines for each start.
+    onward = lambda i: F.sequence(i, F.least(i + F.col("t.words"), F.size("lines")) - 1)
+    places = F.transform("lines", lambda line, i: F.when(begins(line, i), i))
+    starts = F.filter(places, lambda i: i.isNotNull())
+    best = F.transform(starts, lambda i: F.struct(F.get("lines", i)["no"].alias("no"), F.aggregate(onward(i), state, lambda s, k: grow(s, F.get("lines", k))).alias("b")))
+    found = F.transform(
+        F.filter(best, lambda x: x["b"]["dice"] >= least),
+        lambda x: F.struct(x["no"].alias("line_no"), x["b"]["last"].alias("last_line"), F.col("t.license").alias("license"), x["b"]["dice"].alias("dice")),
+    )
+    windows = rows.select("doc_id", "lines", found.alias("found")).where(F.size("found") > 0)
     return _without_overlaps(windows)
 
 
 def _without_overlaps(windows: DataFrame) -> DataFrame:
     """Of a document's overlapping windows the best; a document's rows meet by its lines, so repeated rows keep apart by their number."""
     key = [F.col("doc_id"), F.xxhash64("lines").alias("_a"), F.xxhash64(F.lit("lines"), "lines").alias("_b")]
-    of_text = windows.select(*key, "w").groupBy("doc_id", "_a", "_b", "w").agg(F.count("*").alias("copies"))
-    grouped = of_text.groupBy("doc_id", "_a", "_b", "copies").agg(F.collect_list("w").alias("ws"))
-
-    def beaten(w: Column) -> Column:
+    # Rows of one template of equal documents are equal: how often one comes is the number of copies.
+    of_text = windows.select(*key, "found").groupBy("doc_id", "_a", "_b", "found").agg(F.count("*").alias("copies"))
+    grouped = of_text.groupBy("doc_id", "_a", "_b", "copies").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("ws"))
+    # From each line on a template has one window, so all that reach a window are among its nearest ones in order of line.
+    span = F.array_max(F.transform("ws", lambda w: w["last_line"] - w["line_no"])) + 1
+    kinds = F.size(F.array_distinct(F.transform("ws", lambda w: w["license"])))
+    grouped = grouped.withColumn("reach", span * kinds)
+
+    def beaten(w: Column, i: Column) -> Column:
         def beats(v: Column) -> Column:
             order = F.struct(-v["dice"], v["license"], v["line_no"], v["last_line"]) < F.struct(-w["dice"], w["license"], w["line_no"], w["last_line"])
             return (v["line_no"] <= w["last_line"]) & (w["line_no"] <= v["last_line"]) & order
 
-        return F.exists("ws", beats)
+        near = F.sequence(F.greatest(i - F.col("reach"), F.lit(0)), F.least(i + F.col("reach"), F.size("ws") - 1))
+        return F.exists(near, lambda k: beats(F.get("ws", k)))
 
-    kept = grouped.select("doc_id", "copies", F.explode(F.filter("ws", lambda w: ~beaten(w))).alias("w"))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "w.*")
+    marked = F.transform("ws", lambda w, i: F.struct(w.alias("w"), beaten(w, i).alias("beaten")))
+    kept = grouped.select("doc_id", "copies", F.explode(F.filter(marked, lambda x: ~x["beaten"])).alias("x"))
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "x.w.*")
 
 
 def oracle(templates: dict[str, str] | None = None, least: float = LEAST_DICE) -> str:
@@ -188,12 +220,14 @@ def oracle(templates: dict[str, str] | None = None, least: float = LEAST_DICE) -
     ws = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
     return f"""
-    with t0 as (select license, {ws.format("notice")} as w from (values {values}) v(license, notice)), t as (select license, {pairs.format("w")} as tp from t0),
+    with t0 as (select license, {ws.format("notice")} as w from (values {values}) v(license, notice)), t as (select license, {pairs.format("w")} as tp, floor(len(w) * (2 - {least}::double) / {least}::double + 1e-9) as words from t0),
     d0 as (select doc_id, list_transform(string_split(text, chr(10)), lambda l: {ws.format("l")}) as lines from documents where text is not null),
     d1 as (select doc_id, lines, flatten(lines) as w from d0), d2 as (select doc_id, lines, {pairs.format("w")} as dp from d1),
-    c as (select doc_id, lines, license, tp from d2, t where len(list_intersect(dp, tp)) >= ceil(len(tp) * {least}::double / (2 - {least}::double) - 1e-9)),
-    s as (select *, unnest(range(0, len(lines))) as i from c), e as (select *, unnest(range(i, len(lines))) as j from s where len(lines[i + 1]) > 0),
-    x as (select doc_id, license, tp, i, j, flatten(lines[i + 1:j + 1]) as w from e), p as (select doc_id, license, tp, i, j, {pairs.format("w")} as wp from x),
+    c as (select doc_id, lines, license, tp, words from d2, t where len(list_intersect(dp, tp)) >= ceil(len(tp) * {least}::double / (2 - {least}::double) - 1e-9)),
+    s0 as (select *, unnest(range(0, len(lines))) as i from c), s1 as (select *, flatten(lines[i + 1:i + 1 + words::bigint])[1:len(lines[i + 1]) + 1] as fw from s0 where len(lines[i + 1]) > 0),
+    n1 as (select *, case when len(fw) > len(lines[i + 1]) then fw else flatten(lines[i + 1:])[1:len(lines[i + 1]) + 1] end as nw from s1), s as (select * from n1 where len(list_intersect({pairs.format("nw")}, tp)) > 0),
+    e as (select *, unnest(range(i, len(lines))) as j from s),
+    x as (select doc_id, license, tp, words, i, j, flatten(lines[i + 1:j + 1]) as w from e), p as (select doc_id, license, tp, i, j, {pairs.format("w")} as wp from x where i = j or len(w) <= words),
     m as (select doc_id, license, i, j, 2.0::double * len(list_intersect(wp, tp)) / (len(wp) + len(tp)) as dice from p),
     b as (select * from m where dice >= {least} qualify row_number() over (partition by doc_id, license, i order by dice desc, j) = 1)
     select doc_id, cast(i as integer) as line_no, cast(j as integer) as last_line, license, dice from b

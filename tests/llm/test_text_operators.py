@@ -236,6 +236,21 @@ def test_licenses(spark, odd):
     assert licenses.scan_lines(odd.limit(0)).count() == 0
 
 
+def test_licenses_in_long_texts(spark):
+    """Texts of very many lines, without line ends, and of one notice over and over, in seconds and little memory."""
+    notice, mit = "All rights reserved.", licenses.TEMPLATES["MIT-text"]
+    rows = [
+        (1, "\n".join(f"short line of text {i}" for i in range(30_000)) + "\n" + notice), (2, (notice + "\n") * 3_000), (3, "\n" * 300_000 + notice), (4, "of the software is provided as is " * 50_000),
+        (5, " ".join([notice] * 40)), (6, (mit + "\nsome other words here\n\n\n") * 20),
+    ]
+    began = time.time()
+    got = licenses.scan_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = sorted((r["doc_id"], r["line_no"], r["last_line"], r["license"]) for r in got)
+    want = [(1, 30_000, 30_000, "reserved"), *[(2, i, i, "reserved") for i in range(3_000)], (3, 300_000, 300_000, "reserved"), (5, 0, 0, "reserved"), *[(6, 6 * i, 6 * i + 2, "MIT-text") for i in range(20)]]
+    assert found == want
+    assert time.time() - began < 120
+
+
 def test_needles_leave_too_few_pairs():
     for text in licenses.TEMPLATES.values():
         pairs = licenses.template_pairs(text)
