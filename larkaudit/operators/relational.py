@@ -9,6 +9,10 @@ from larkaudit.functions.lineage import cut
 from larkaudit.functions.quantiles import exact_quantiles
 
 
+#: Values of an axis that are broadcast at most.
+SHORT = 100_000
+
+
 class AuditError(ValueError):
     """An invariant does not hold."""
 
@@ -52,10 +56,10 @@ def collapse_mean(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def densify(facts: DataFrame, axes: list[DataFrame], keys: list[str], measures: list[str]) -> DataFrame:
-    """All combinations of the axes, each a short list of distinct values, with 0 where no fact is."""
+    """All combinations of the axes with 0 where no fact is: the first of any length, the others lists of distinct values, broadcast up to SHORT of them."""
     grid = axes[0]
-    for a in axes[1:]:
-        grid = grid.crossJoin(F.broadcast(a))
+    for a in map(cut, axes[1:]):
+        grid = grid.crossJoin(F.broadcast(a) if a.count() <= SHORT else a)
     out = grid.join(facts, keys, "left")
     return out.select(*keys, *[F.coalesce(m, F.lit(0.0)).alias(m) for m in measures])
 
