@@ -301,9 +301,9 @@ def calibration_bins(spark, d):
 
 
 @query("""select model, cast(y as integer) as y, count(p) as n, round(avg(p), 6) as mean, round(stddev_samp(p), 6) as sd, round(round(median(p), 9), 6) as median, round(round(quantile_cont(p, 0.25), 9), 6) as q25,
-       round(round(quantile_cont(p, 0.75), 9), 6) as q75, round(min(p), 6) as least, round(max(p), 6) as most from oof group by model, y""")
+       round(round(quantile_cont(p, 0.75), 9), 6) as q75, round(round(quantile_cont(p, 0.025), 9), 6) as q025, round(round(quantile_cont(p, 0.975), 9), 6) as q975, round(min(p), 6) as least, round(max(p), 6) as most from oof group by model, y""")
 def distribution_by_class(spark, d):
-    return r6(relational.describe(facts.oof(spark, d), ["model", "y"], "p"))
+    return r6(relational.describe(facts.oof(spark, d), ["model", "y"], "p", {"q025": 0.025, "q975": 0.975}))
 
 
 @query("""select model, repeat_id, fold_id, round(avg((p - y) * (p - y)), 6) as brier, round(avg(-(y * ln(least(greatest(p, 1e-7), 1 - 1e-7)) + (1 - y) * ln(1 - least(greatest(p, 1e-7), 1 - 1e-7)))), 6) as log_loss, count(*) as n from oof group by all""")

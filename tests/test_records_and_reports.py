@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larkaudit.functions import ranks
 from larkaudit.functions.provenance import CircularTest, derived, marked, require_independent, roots
 from larkaudit.operators import aliases, reports, stats, summaries, validation
-from larkaudit.sources import readers, resumable
+from larkaudit.sources import cohorts, readers, resumable
 
 # --- names and records ---------------------------------------------------------------------------
 
@@ -162,6 +162,31 @@ def test_the_whole_file_decides_its_encoding(spark, tmp_path, name, letter, foun
     assert df.where("gene like 'last%'").first()["gene"] == f"last{letter}"
 
 
+# --- external cohorts ----------------------------------------------------------------------------
+
+
+def test_expression_of_either_orientation(spark):
+    genes = spark.createDataFrame([("A", "1", "2", "x"), ("B", "3", None, "y"), ("A", "5", "6", "z"), ("C", "bad", "8", None), ("D", "0", "0", "w")], "Hugo_Symbol string, s1 string, s2 string, note string")
+    got = {(r["gene_id"], r["sample_id"]): r["value"] for r in cohorts.expression(genes).collect()}
+    assert got == {("A", "s1"): 3.0, ("A", "s2"): 4.0, ("B", "s1"): 3.0, ("B", "s2"): None, ("C", "s1"): None, ("C", "s2"): 8.0, ("D", "s1"): 0.0, ("D", "s2"): 0.0}
+    samples = spark.createDataFrame([("s1", "1", "2", "3"), ("s2", "4", "5", "6")], "sample string, A string, B string, C string")
+    got = {(r["gene_id"], r["sample_id"]): r["value"] for r in cohorts.expression(samples).collect()}
+    assert got == {(g, s): float(i * 3 + j + 1) for i, s in enumerate(("s1", "s2")) for j, g in enumerate("ABC")}
+
+
+def test_stage_labels_and_gene_names(spark, tmp_path):
+    rows = [("p1", None, "II"), ("p1", "x", "Stage IV"), ("p1", "x", "I"), ("p2", "x", "unknown"), ("p3", "x", "3")]
+    got = cohorts.stage_labels(spark.createDataFrame(rows, "Patient string, other string, `Tumor Stage X` string").coalesce(1)).collect()
+    assert sorted(tuple(r) for r in got) == [("p1", "II", 0), ("p3", "3", 1)]
+    with pytest.raises(KeyError):
+        cohorts.stage_labels(spark.createDataFrame([("a", 1)], "id string, grade int"))
+    path = tmp_path / "names.tsv"
+    path.write_text('symbol\talias_symbol\tprev_symbol\nTP53\t"p53|LFS1"\t\nBRCA1\t\t"BRCC1"\nX\t-\tp53\n')
+    approved, names = cohorts.read_gene_names(spark, str(path))
+    assert sorted(r["symbol"] for r in approved.collect()) == ["BRCA1", "TP53", "X"]
+    assert sorted(tuple(r) for r in names.collect()) == [("BRCC1", "BRCA1", "previous"), ("LFS1", "TP53", "alias"), ("P53", "TP53", "alias"), ("P53", "X", "previous")]
+
+
 # --- ranks and scores ----------------------------------------------------------------------------
 
 
