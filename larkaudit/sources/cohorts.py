@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkaudit.functions.ranks import first_rank
@@ -60,6 +60,11 @@ def read_gene_names(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     table = read_delimited(spark, path, comment=None)
     symbol = clean_symbol(F.col("symbol"))
     kinds = {"alias": "alias_symbol", "previous": "prev_symbol"}
-    each = [F.transform(F.coalesce(split_symbols(F.regexp_replace(c, '"', "")), F.array()), lambda s, k=k: F.struct(s.alias("alias"), F.lit(k).alias("kind"))) for k, c in kinds.items()]
+
+    def named(kind: str, column: str) -> Column:
+        found = F.coalesce(split_symbols(F.regexp_replace(column, '"', "")), F.array())
+        return F.transform(found, lambda s: F.struct(s.alias("alias"), F.lit(kind).alias("kind")))
+
+    each = [named(kind, column) for kind, column in kinds.items()]
     names = table.select(symbol.alias("symbol"), F.explode(F.concat(*each)).alias("_n")).select("_n.alias", "symbol", "_n.kind").where("symbol is not null").distinct()
     return table.select(symbol.alias("symbol")).where("symbol is not null").distinct(), names
