@@ -29,8 +29,8 @@ from pyspark.sql.types import LongType
 from larkaudit.llm import bpe
 from larkaudit.llm.common import bounded_batches
 
-#: States that a process keeps before it compiles afresh, between texts; one takes about a kilobyte.
-MAX_STATES = 100_000
+#: States that a process keeps before it compiles afresh, and bytes between which it looks; a state takes about a kilobyte.
+MAX_STATES, SPAN = 100_000, 1 << 16
 #: Bytes in a chunk, and before it from which its likely entry is read.
 CHUNK, LEAD = 2048, 64
 
@@ -141,12 +141,12 @@ class StateMap:
         return entry, total + more
 
 
-def chunk_maps(words: bytes, machine: Transducer, chunk: int) -> list[StateMap]:
-    """The state maps of chunks of words that are joined by blanks, each with the entry that is likely."""
-    maps = []
-    for at in range(0, len(words), chunk):
+def chunk_maps(words: bytes, machine: Transducer, chunk: int, begin: int = 0, end: int | None = None) -> list[StateMap]:
+    """The state maps of chunks of words that are joined by blanks, from ``begin`` to ``end``, each with the entry that is likely."""
+    maps, end = [], len(words) if end is None else end
+    for at in range(begin, end, chunk):
         def symbols(at: int = at) -> str:
-            return machine.symbols(words, at, min(at + chunk, len(words)))
+            return machine.symbols(words, at, min(at + chunk, end))
 
         entry = read(machine.start, machine.symbols(words, max(0, at - LEAD), at))[0]
         maps.append(StateMap({entry: read(entry, symbols())}, symbols))
@@ -172,15 +172,24 @@ def prefix_scan(maps: list[StateMap]) -> list[StateMap]:
 
 
 def count_text(text: str, machine: Transducer, chunk: int | None = None) -> int:
-    """Tokens of a text. Special strings are a token each; the words between them, joined by blanks, go through the machine."""
-    if len(machine.states) > machine.max_states:
-        machine.reset()
+    """Tokens of a text. Special strings are a token each; the words between them, joined by blanks, go through the machine.
+
+    A span of chunks is scanned at a time. Where the machine is full between two spans, it starts afresh in the
+    state that was reached, so what a text of any length leaves behind is bounded.
+    """
     pieces = machine.vocabulary.pieces(text)
     special = sum(1 for p in pieces if not isinstance(p, str))
     words = " ".join([p for p in pieces if isinstance(p, str)] if special else pieces).encode()
     del pieces
-    scanned = prefix_scan(chunk_maps(words, machine, chunk or CHUNK))
-    return special + (scanned[-1].through(machine.start)[1] if scanned else 0)
+    state, total = machine.start, special
+    for begin in range(0, len(words), SPAN):
+        state, added = prefix_scan(chunk_maps(words, machine, chunk or CHUNK, begin, min(begin + SPAN, len(words))))[-1].through(state)
+        total += added
+        if len(machine.states) > machine.max_states:
+            reached = state.suffix, state.places
+            machine.reset()
+            state = machine.state(*reached)
+    return total
 
 
 @lru_cache(maxsize=1)

@@ -121,6 +121,18 @@ def test_a_full_transducer_starts_afresh(texts, library):
         assert token_counts.count_text(t, small) == len(library.encode(t, add_special_tokens=False).ids)
 
 
+def test_a_long_text_is_read_in_spans_with_bounded_states(library, monkeypatch):
+    import base64
+
+    text = base64.b64encode(random.Random(7).randbytes(300_000)).decode() + " and words\n" * 3000
+    small = token_counts.Transducer(bpe.vocabulary(bpe.default_path()), max_states=2000)
+    monkeypatch.setattr(token_counts, "SPAN", 10_000)
+    most, reset = [], small.reset
+    monkeypatch.setattr(small, "reset", lambda: (most.append(len(small.states)), reset()))
+    assert token_counts.count_text(text, small) == len(library.encode(text, add_special_tokens=False).ids)
+    assert len(most) > 10 and max(most) < 2000 + 3 * 10_000
+
+
 def test_token_queries_on_odd_rows(odd, library):
     counts = token_counts.count_tokens(odd).collect()
     assert len(counts) == len(ODD)
