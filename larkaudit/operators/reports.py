@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from larkaudit.functions.text import ordered_join
 
@@ -47,8 +49,14 @@ def shown(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(MISSING))
 
 
+@F.arrow_udf(StringType())
+def _four_places(value: pa.Array) -> pa.Array:
+    return pa.array([MISSING if v is None or v != v else f"{v:.4f}" for v in value.to_pylist()], pa.string())
+
+
 def number(value: Column) -> Column:
-    return F.when(value.isNull() | F.isnan(value.cast("double")), MISSING).otherwise(F.format_string("%.4f", value.cast("double")))
+    """Four places, by the double's exact value, halves to even: Spark's own format rounds its shortest decimal, halves up."""
+    return _four_places(value.cast("double"))
 
 
 def genes_or_note(genes: Column) -> Column:

@@ -210,3 +210,14 @@ def test_candidate_scores(spark):
         3: 0.25 * 0.5 + 0.2 * 0.25 + 0.2 * 0.625 + 0.15 * 0.5 + 0.2 * 1, 4: 0.25 * 0.25 + 0.2 * 0.5 + 0.2 * 0.25 + 0.15 * 1 + 0.2 * 0.75,
     }
     assert {r["sample_id"]: r["score"] for r in got} == pytest.approx(want)
+
+
+def test_numbers_in_reports_round_the_exact_double(spark, sf):
+    from conftest import duck
+
+    given = [0.28125, 0.21875, 0.00005, 0.33335, 0.12345, 2.5e-5, 1.0, None, float("nan")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, v double")
+    found = [r["t"] for r in rows.select("i", reports.number(F.col("v")).alias("t")).orderBy("i").collect()]
+    assert found == [*("%.4f" % v for v in given[:-2]), "NA", "NA"]
+    theirs = duck(sf, "select format('{:.4f}', v) as t from (values " + ", ".join(f"({i}, {v!r}::double)" for i, v in enumerate(given[:-2])) + ") x(i, v) order by i")
+    assert found[:-2] == theirs["t"].tolist()
