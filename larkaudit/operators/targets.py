@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkaudit.functions.lineage import cut
 from larkaudit.functions.ranks import first_rank, minmax
 
 #: Entities of a block, and pairs of them that are counted at once.
-BLOCK_ENTITIES, PAIRS_AT_ONCE = 1024, 4_000_000
+BLOCK_ENTITIES, PAIRS_AT_ONCE = 16_384, 4_000_000
+#: Items of a set whose subsets are counted; larger sets are compared in blocks.
+SMALL_SET = 6
 
 
 def frequency_idf(targets: DataFrame, entity: str = "patient_id", item: str = "gene") -> DataFrame:
@@ -63,49 +67,57 @@ def layers(scored: DataFrame, quotas: dict[str, int], total: int = 20) -> DataFr
 def _jaccard_block(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
     """Sum of the Jaccard indices of all pairs of entities of two blocks (or of one block) that share an item.
 
-    Items go in chunks of bounded pairs, so a block whose entities all share an item costs time, not memory.
+    The first block's entities go in stripes of bounded pairs, so an item that all entities have costs time, not memory.
     """
     low, high = key[-2:]
-    codes, entities = pd.factorize(block["entity"])
-    sizes = np.zeros(len(entities), np.int64)
-    sizes[codes] = block["size"].to_numpy()
-    right = np.zeros(len(entities), bool)
-    right[codes] = (block["block"] == high).to_numpy()
-    shared = np.zeros(len(entities) ** 2, np.int32)
-    items = pd.factorize(block["item"])[0]
-    order = np.argsort(items, kind="stable")
-    codes, items = codes[order], items[order]
-    first = np.searchsorted(items, items)  # where each row's item begins
-    before = np.arange(len(items)) - first
-    ends = np.cumsum(before)
-    start = 0
-    while start < len(items):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS_AT_ONCE, side="right")))
-        n = before[start:stop]
-        a = np.repeat(np.arange(start, stop), n)
-        b = np.repeat(first[start:stop], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        x, y = codes[a], codes[b]
-        if low != high:
-            apart = right[x] != right[y]
-            x, y = x[apart], y[apart]
-        shared += np.bincount(np.minimum(x, y) * len(entities) + np.maximum(x, y), minlength=len(shared)).astype(np.int32)
-        start = stop
-    at = np.flatnonzero(shared)
-    both = shared[at]
-    value = float((both / (sizes[at // len(entities)] + sizes[at % len(entities)] - both)).sum())
+    lists = block["items"].to_list()
+    length, sizes = np.array([len(x) for x in lists], np.int64), block["size"].to_numpy(np.int64)
+    item = pd.factorize(np.concatenate(lists))[0] if length.sum() else np.zeros(0, np.int64)
+    entity, of_low = np.repeat(np.arange(len(lists)), length), (block["block"] == low).to_numpy()
+    of_high = (block["block"] == high).to_numpy()
+    kept = of_high[entity]
+    order = np.argsort(item[kept], kind="stable")
+    theirs = entity[kept][order]
+    n = int(item.max(initial=-1)) + 1
+    count = np.bincount(item[kept], minlength=n)
+    begin = np.cumsum(count) - count
+    mine, wanted = entity[of_low[entity]], item[of_low[entity]]
+    pairs = count[wanted]
+    ends = np.append(np.flatnonzero(np.diff(mine)) + 1, len(mine)) if len(mine) else np.zeros(0, np.int64)
+    done, at, value = np.concatenate([[0], np.cumsum(pairs)]), 0, 0.0
+    while at < len(mine):
+        # Whole entities, one at least.
+        first = np.searchsorted(ends, at, side="right")
+        last = max(first, int(np.searchsorted(done[ends], done[at] + PAIRS_AT_ONCE, side="right")) - 1)
+        stop = int(ends[last])
+        each = pairs[at:stop]
+        x = np.repeat(mine[at:stop], each)
+        y = theirs[np.repeat(begin[wanted[at:stop]] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+        if low == high:
+            x, y = x[x < y], y[x < y]
+        code, base = (x - mine[at]) * len(lists) + y, int(mine[at])
+        cells = (int(mine[stop - 1]) - base + 1) * len(lists)
+        if cells <= 2 * len(code):
+            shared = np.bincount(code, minlength=cells)
+            code = np.flatnonzero(shared)
+            shared = shared[code]
+        else:
+            code, shared = np.unique(code, return_counts=True)
+        value += float((shared / (sizes[code // len(lists) + base] + sizes[code % len(lists)] - shared)).sum())
+        at = stop
     return pd.DataFrame([[*key[:-2], value]], columns=[*(f"k{i}" for i in range(len(key) - 2)), "jaccard"])
 
 
-def jaccard_sums(sets: DataFrame, entity: str, item: str, keys: list[str]) -> DataFrame:
-    """keys and jaccard: the sum over all pairs of entities, counted in pairs of blocks of entities.
+def _by_blocks(sets: DataFrame, entity: str, keys: list[str]) -> DataFrame:
+    """keys and _j by pairs of blocks of some BLOCK_ENTITIES entities of one key.
 
-    ``sets`` has each item of an entity once, and size. A block holds some BLOCK_ENTITIES entities of one
-    key, so neither an item that every entity has nor a large key is the work of one task.
+    So neither an item that every entity has nor a large key is the work of one task. An entity goes, as one row, to as many
+    tasks as there are blocks: the shuffle grows with the square of the entities, as the pairs do.
     """
     n = sets.select(entity).distinct().count()
     blocks = max(1, -(-n // BLOCK_ENTITIES))
     named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    rows = sets.select(*named, F.col(entity).alias("entity"), F.col(item).alias("item"), "size", F.expr(f"pmod(xxhash64({entity}), {blocks})").alias("block"))
+    rows = sets.select(*named, "items", "size", F.expr(f"pmod(xxhash64({entity}), {blocks})").alias("block"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = rows.withColumn("low", F.least("block", "_o")).withColumn("high", F.greatest("block", "_o"))
     kind = ", ".join([f"k{i} {sets.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)] + ["jaccard double"])
@@ -113,18 +125,39 @@ def jaccard_sums(sets: DataFrame, entity: str, item: str, keys: list[str]) -> Da
     return sums.groupBy(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)]).agg(F.sum("jaccard").alias("_j"))
 
 
-def set_metrics(sets: DataFrame, entity: str = "patient_id", item: str = "gene", keys: list[str] | None = None) -> DataFrame:
-    """Mean Jaccard index over all pairs of entities, largest share of an item, mean size, number of items.
+def _by_subsets(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and _j from counts of common subsets: no pair is made, whatever items are common.
 
-    Pairs that share nothing add nothing to the sum and are counted, not made.
+    Sets of x and y items that share i have C(i, s) common subsets of s items. So the number of pairs that share exactly i is
+    an alternating sum of the pairs that each subset is common to, and their Jaccard index goes by i, x and y alone.
     """
+    share = lambda s, both: sum((-1) ** (s - i) * math.comb(s, i) * i / (both - i) for i in range(1, s + 1))
+    weights = F.create_map(*[F.lit(v) for s in range(1, SMALL_SET + 1) for both in range(2 * s, 2 * SMALL_SET + 1) for v in (100 * s + both, share(s, both))])
+    subset = lambda m: F.filter("items", lambda _, i: F.call_function("bit_get", m, i) == 1)
+    masks = F.sequence(F.lit(1).cast("long"), (F.call_function("shiftleft", F.lit(1).cast("long"), F.size("items")) - 1).cast("long"))
+    subsets = sets.where(F.size("items") > 0).select(*keys, "size", F.explode(F.transform(masks, subset)).alias("subset"))
+    counts = subsets.groupBy(*keys, "subset", "size").agg(F.count("*").alias("n"))
+    found = counts.groupBy(*keys, "subset").agg(F.collect_list(F.struct("size", "n")).alias("c")).where(F.expr("size(c) > 1 or c[0].n > 1"))
+    pair = F.struct((F.col("a.size") + F.col("b.size")).alias("both"), F.when(F.col("a.size") == F.col("b.size"), div_two(F.col("a.n"))).otherwise(F.col("a.n") * F.col("b.n")).alias("pairs"))
+    found = found.select(*keys, F.size("subset").alias("s"), "c", F.explode("c").alias("a")).select(*keys, "s", "a", F.explode("c").alias("b")).where("a.size <= b.size")
+    sums = found.select(*keys, "s", pair.alias("p")).groupBy(*keys, "s", "p.both").agg(F.sum("p.pairs").alias("pairs"))
+    return sums.groupBy(*keys).agg(F.sum(F.col("pairs") * F.element_at(weights, (100 * F.col("s") + F.col("both")).cast("int"))).alias("_j"))
+
+
+def div_two(n: Column) -> Column:
+    """Pairs of n."""
+    return F.call_function("div", n * (n - 1), F.lit(2))
+
+
+def metrics_of_sets(sets: DataFrame, entity: str = "patient_id", keys: list[str] | None = None) -> DataFrame:
+    """``set_metrics`` of ``sets`` (keys, entity, size, items: an array of distinct items), written already."""
     keys = keys or []
-    s = sets.select(*keys, entity, item).distinct()
-    s = cut(s.withColumn("size", F.count("*").over(Window.partitionBy(*keys, entity))))
-    jaccard = jaccard_sums(s, entity, item, keys)
-    sizes = s.select(*keys, entity, "size").distinct()
-    whole = sizes.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg("size").alias("mean_size"))
-    items = s.groupBy(*keys, item).agg(F.count("*").alias("_c")).groupBy(*keys).agg(F.max("_c").alias("_m"), F.count("*").alias("n_items"))
+    most = sets.agg(F.max("size")).first()[0] or 0
+    jaccard = _by_subsets(sets, keys) if most <= SMALL_SET else _by_blocks(sets, entity, keys)
+    whole = sets.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg("size").alias("mean_size"))
+    # Null items are known by sizes only.
+    items = sets.select(*keys, F.explode(F.when(F.size("items") < F.col("size"), F.concat("items", F.array(F.lit(None)))).otherwise(F.col("items"))).alias("_item"))
+    items = items.groupBy(*keys, "_item").agg(F.count("*").alias("_c")).groupBy(*keys).agg(F.max("_c").alias("_m"), F.count("*").alias("n_items"))
     if keys:
         out = whole.join(items, keys).join(jaccard, keys, "left")
     else:
@@ -134,6 +167,17 @@ def set_metrics(sets: DataFrame, entity: str = "patient_id", item: str = "gene",
     return out.select(*keys, "mean_jaccard", (1 - F.col("mean_jaccard")).alias("dissimilarity"), "max_recurrence", "mean_size", "n_items")
 
 
+def set_metrics(sets: DataFrame, entity: str = "patient_id", item: str = "gene", keys: list[str] | None = None) -> DataFrame:
+    """Mean Jaccard index over all pairs of entities, largest share of an item, mean size, number of items.
+
+    Pairs that share nothing add nothing to the sum and are counted, not made.
+    """
+    by = [*(keys or []), entity]
+    found = sets.groupBy(*by).agg(F.collect_set(F.struct(F.col(item).alias("i"))).alias("_s"))
+    found = found.select(*by, F.size("_s").alias("size"), F.array_sort(F.filter(F.col("_s.i"), lambda x: x.isNotNull())).alias("items"))
+    return metrics_of_sets(cut(found), entity, keys)
+
+
 def null_compare(nulls: DataFrame, observed: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
     """observed, null mean and sd, z, and lower, upper and two-sided shares by metric; shares count the observation itself."""
     o = observed.select(metric, F.col(value).alias("observed"))

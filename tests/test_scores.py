@@ -212,3 +212,70 @@ def test_overlap_by_blocks_equals_all_pairs(spark, monkeypatch, sizes):
         assert got[k]["mean_jaccard"] == pytest.approx(sum(len(a & b) / len(a | b) for a, b in pairs) / len(pairs))
         assert got[k]["max_recurrence"] == max(collections.Counter(g for s in own for g in s).values()) / len(own)
         assert got[k]["mean_size"] == pytest.approx(sum(map(len, own)) / len(own))
+
+
+def _null_fixture(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(p, g, g % 3, float(rng.choice([0, 1, 2, 5, 9])), rng.randint(1, 50) / 50, rng.choice([0.5, 0.75, 1.0])) for p in range(1, 41) for g in range(60) if rng.random() < 0.4 or g == 7]
+    entries = spark.createDataFrame(rows, "patient_id long, gene long, core long, absolute double, repeat_support double, sign_support double")
+    genes = spark.createDataFrame([(g, rng.random(), rng.random(), rng.random()) for g in range(60)], "gene long, idf double, fold_frequency double, margin double")
+    return entries, genes
+
+
+@pytest.mark.parametrize("kind", ["within_gene", "within_patient_and_core"])
+def test_nulls_by_patient_rows_equal_nulls_by_moved_entries(spark, kind):
+    """The values found by undoing a permutation are those that a row for each permutation gets, for crowded genes too."""
+    from larkaudit.operators import scores, target_nulls
+
+    entries, genes = _null_fixture(spark)
+    null = scores.null_within_genes if kind == "within_gene" else scores.null_within_cores
+    best = scores.best_targets(scores.present_scores(null(entries, 6), genes, ["perm"]), 5, ["perm"])
+    plain = {}
+    for r in best.collect():
+        plain.setdefault((r["patient_id"], r["perm"]), []).append((r["rank"], r["gene"], r["score"]))
+    sums = {key: (len(x), sum(g for _, g, _ in x), round(sum(s for _, _, s in x), 6)) for key, x in plain.items()}
+    for most in (None, 12):
+        got = target_nulls.null_best(entries, genes, kind, 6, 5, most=most).collect()
+        assert {(r["patient_id"], r["perm"]): (r["n_targets"], r["gene_sum"], round(r["score_sum"], 6)) for r in got} == sums
+        sets = target_nulls.null_best(entries, genes, kind, 6, 5, sets=True, most=most).collect()
+        assert {(r["patient_id"], r["perm"]): r["genes"] for r in sets} == {key: [g for _, g, _ in sorted(x)] for key, x in plain.items()}
+
+
+def test_null_b_explodes_nothing(spark, sf):
+    """A patient's permutations are worked out in its own row: no entry is multiplied by them before a shuffle."""
+    from larkaudit.plans import catalog
+
+    plan = catalog.queries()["target_null_b"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_restored_undoes_permuted():
+    import numpy as np
+
+    from larkaudit.functions import permute
+
+    for n in (1, 2, 7, 100, 12345):
+        for key in range(4):
+            s = permute.seed(np.full(1, key), 3)
+            assert (permute.restored(permute.permuted(np.arange(n), n, s), n, s) == np.arange(n)).all()
+
+
+@pytest.mark.parametrize("most", [3, 6, 9])
+def test_overlap_of_sets_by_subsets_and_by_blocks_equals_pairs(spark, most):
+    """Small sets are never paired: a hundred entities that share an item give no row for a pair."""
+    import itertools
+    import random
+
+    from larkaudit.operators import targets
+
+    rng = random.Random(most)
+    sets = {(k, p): {0, *rng.sample(range(1, 15), rng.randint(0, most - 1))} for k in (1, 2) for p in range(100)}
+    rows = [(k, p, g) for (k, p), s in sets.items() for g in s]
+    got = {r["perm"]: r["mean_jaccard"] for r in targets.set_metrics(spark.createDataFrame(rows, "perm long, patient_id long, gene long"), keys=["perm"]).collect()}
+    for k in (1, 2):
+        own = [s for (j, _), s in sets.items() if j == k]
+        assert got[k] == pytest.approx(sum(len(a & b) / len(a | b) for a, b in itertools.combinations(own, 2)) / 4950, abs=1e-12)
+    made = spark.createDataFrame([(p, 5, list(range(5))) for p in range(3000)], "patient_id long, size int, items array<long>")
+    assert targets._by_subsets(made, []).first()[0] == pytest.approx(3000 * 2999 / 2)
