@@ -692,7 +692,7 @@ NULL_SUMS = " select perm, patient_id, count(*) as n_targets, cast(sum(gene) as
 def _null_sums(spark, d, kind):
     from larkaudit.operators import target_nulls
 
-    best = target_nulls.null_best(facts.target_entries(spark, d), facts.target_genes(spark, d), kind, 100)
+    best = target_nulls.null_best(*facts.target_tables(spark, d), kind, 100)
     return r6(best.select("perm", "patient_id", "n_targets", "gene_sum", "score_sum"))
 
 
@@ -704,20 +704,13 @@ def _null_sums(spark, d, kind):
        round(sum(score) filter (where present), 6) as present_total from sc group by patient_id""", base=False)
 def dense_scores(spark, d):
     """Scores over the whole matrix of patients and genes, summed up by patient: in all, by place, and of present genes."""
-    rows = scores.dense_rows(facts.target_entries(spark, d), facts.target_genes(spark, d))
-    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    n = F.size("scores")
-    placed = F.transform("scores", lambda x, i: x * i)
-    return r6(rows.select(
-        "patient_id", n.cast("long").alias("n_genes"), F.size("present").cast("long").alias("n_present"), add("scores").alias("total"), (add(placed) / n).alias("by_place"),
-        F.array_min("scores").alias("least"), F.array_max("scores").alias("most"), add(F.transform("present", lambda i: F.get("scores", i.cast("int")))).alias("present_total"),
-    ))
+    return r6(scores.dense_sums(*facts.target_tables(spark, d)))
 
 
 @query(ENTRIES + SCORED_NULL.format(k="", s="ent") + " select patient_id, gene, score, row_number() over (partition by patient_id order by score desc, gene) as rank from best", base=False)
 def dense_targets(spark, d):
     """The twenty best targets of each patient by the scores of the whole matrix."""
-    best = scores.best_targets(scores.present_scores(facts.target_entries(spark, d), facts.target_genes(spark, d)))
+    best = scores.best_targets(scores.present_scores(*facts.target_tables(spark, d)))
     return best.select("patient_id", "gene", "score", F.col("rank").cast("long"))
 
 
@@ -740,7 +733,8 @@ def target_null_compare(spark, d):
     def long(df, keys):
         return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mean_jaccard", "dissimilarity", "max_recurrence")])).alias("_m")).select(*keys, "_m.*")
 
-    e, genes = cut(facts.target_entries(spark, d)), cut(facts.target_genes(spark, d))
+    e, genes = facts.target_tables(spark, d)
+    genes = cut(genes)
     observed, out = cut(long(targets.set_metrics(scores.best_targets(scores.present_scores(e, genes))), [])), None
     for name in ("within_gene", "within_patient_and_core"):
         best = target_nulls.null_best(e, genes, name, 100, sets=True)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkaudit.functions.lineage import written
 from larkaudit.operators import models
 
 
@@ -73,30 +74,52 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("core", F.col("gene") % 4)
 
 
-def target_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """patient_id, gene, core, absolute, repeat_support, sign_support: highest price, largest quantity (of fifty), and the share of the flag that most lines have."""
+def _bought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customers bought by part, with all that entries and genes need; line numbers, 1 to 7, as bits."""
     l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    kept = F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0))
-    g = l.groupBy(F.col("o_custkey").alias("patient_id"), F.col("l_partkey").alias("gene")).agg(
-        F.max("l_extendedprice").cast("double").alias("absolute"), F.least(F.lit(1.0), F.max("l_quantity") / 50.0).alias("repeat_support"), F.greatest(kept, 1 - kept).alias("sign_support")
-    )
-    return g.withColumn("core", F.col("gene") % 4)
+    line = F.call_function("shiftleft", F.lit(1), F.col("l_linenumber").cast("int"))
+    return l.groupBy(F.col("o_custkey").alias("patient_id"), F.col("l_partkey").alias("gene")).agg(
+        F.max("l_extendedprice").cast("double").alias("price"), F.max("l_quantity").alias("quantity"), F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0)).alias("kept"),
+        F.bit_or(line).alias("lines"), F.sum("l_quantity").alias("quantities"), F.count("l_quantity").alias("n_quantities"),
+    )
 
 
-def target_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gene, idf (0..1 over genes), fold_frequency (line numbers of seven) and margin (mean quantity) of each gene that a patient has."""
-    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    g = l.groupBy(F.col("l_partkey").alias("gene")).agg(
-        F.countDistinct("o_custkey").alias("n"), (F.countDistinct("l_linenumber") / 7.0).alias("fold_frequency"), F.round(F.avg("l_quantity"), 9).alias("margin")
-    )
+def _entries_of(bought: DataFrame) -> DataFrame:
+    return bought.select(
+        "patient_id", "gene", F.col("price").alias("absolute"), F.least(F.lit(1.0), F.col("quantity") / 50.0).alias("repeat_support"), F.greatest(F.col("kept"), 1 - F.col("kept")).alias("sign_support"),
+        (F.col("gene") % 4).alias("core"),
+    )
+
+
+def _genes_of(bought: DataFrame) -> DataFrame:
+    g = bought.groupBy("gene").agg(
+        F.count("patient_id").alias("n"), (F.coalesce(F.bit_count(F.bit_or("lines")), F.lit(0)) / 7.0).alias("fold_frequency"),
+        F.round(F.try_divide(F.sum("quantities"), F.sum("n_quantities")), 9).alias("margin"),
+    )
     most = g.agg(F.max("n").alias("_hi"), F.min("n").alias("_lo"))
-    total = l.agg(F.countDistinct("o_custkey").alias("_n"))
+    total = bought.where("patient_id is not null").select("patient_id").distinct().agg(F.count("*").alias("_n"))
     g = g.crossJoin(F.broadcast(most)).crossJoin(F.broadcast(total))  # one row each
     idf = lambda c: F.log((1.0 + F.col("_n")) / (1.0 + F.col(c)))
     scaled = F.when(F.col("_hi") <= F.col("_lo"), 0.5).otherwise((idf("n") - idf("_hi")) / F.nullif(idf("_lo") - idf("_hi"), F.lit(0.0)))
     return g.select("gene", scaled.alias("idf"), "fold_frequency", "margin")
 
 
+def target_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``target_entries`` and ``target_genes`` of one join of the lines, written once."""
+    bought = written(_bought(spark, sf_dir))
+    return _entries_of(bought), _genes_of(bought)
+
+
+def target_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """patient_id, gene, core, absolute, repeat_support, sign_support: highest price, largest quantity (of fifty), and the share of the flag that most lines have."""
+    return _entries_of(_bought(spark, sf_dir))
+
+
+def target_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gene, idf (0..1 over genes), fold_frequency (line numbers of seven) and margin (mean quantity) of each gene that a patient has."""
+    return _genes_of(_bought(spark, sf_dir))
+
+
 BASE_SQL = """
 emb as (select vec_id as sample_id, case when label >= 5 then 1 else 0 end as y, embedding as e from embeddings),
 features as (select sample_id, y, unnest(range(0, len(e))) as gene, cast(unnest(e) as double) as value from emb),

@@ -343,14 +343,14 @@ POOL = c.ENTRIES + """, pool0 as (select patient_id, ent.gene, core, absolute as
 
 
 def _pool(spark, d):
-    e = facts.target_entries(spark, d).join(facts.target_genes(spark, d).select("gene", "fold_frequency", "margin"), "gene").withColumnRenamed("absolute", "size")
-    return su.pool_scores(e)
+    e, genes = facts.target_tables(spark, d)
+    return su.pool_scores(e.join(genes.select("gene", "fold_frequency", "margin"), "gene").withColumnRenamed("absolute", "size")), e
 
 
 @query(POOL + " select patient_id, gene, n_top, round(frequency, 6) as frequency, class, round(first_score + 1e-10, 6) as first_score, round(score + 1e-10, 6) as score from scored2", base=False)
 def full_pool_scores(spark, d):
     """Scores of the supported targets in two passes, with the frequency and class of their genes."""
-    return n6(_pool(spark, d).select("patient_id", "gene", "n_top", "frequency", "class", "first_score", "score"))
+    return n6(_pool(spark, d)[0].select("patient_id", "gene", "n_top", "frequency", "class", "first_score", "score"))
 
 
 @query(POOL + """, l0 as (select *, row_number() over (partition by patient_id, class order by score desc, gene) as lr from scored2), l1 as (select * from l0 where (class = 'generic' and lr <= 5) or (class = 'recurrent' and lr <= 5) or (class = 'specific' and lr <= 10)),
@@ -364,8 +364,9 @@ def patient_target_summary(spark, d):
     """The layered targets of each patient summed up, with their specificity."""
     from larkaudit.operators import targets
 
-    layered = targets.layers(_pool(spark, d).withColumn("adjusted", F.col("score")), {"generic": 5, "recurrent": 5, "specific": 10})
-    out = su.patient_targets(layered, facts.target_entries(spark, d))
+    pool, entries = _pool(spark, d)
+    layered = targets.layers(pool.withColumn("adjusted", F.col("score")), {"generic": 5, "recurrent": 5, "specific": 10})
+    out = su.patient_targets(layered, entries)
     return r6(out.select("patient_id", "n_targets", "n_generic", "n_recurrent", "n_specific", "mean_score", "most_score", "dominant_core", "specificity", "tier"))
 
 

@@ -279,3 +279,26 @@ def test_overlap_of_sets_by_subsets_and_by_blocks_equals_pairs(spark, most):
         assert got[k] == pytest.approx(sum(len(a & b) / len(a | b) for a, b in itertools.combinations(own, 2)) / 4950, abs=1e-12)
     made = spark.createDataFrame([(p, 5, list(range(5))) for p in range(3000)], "patient_id long, size int, items array<long>")
     assert targets._by_subsets(made, []).first()[0] == pytest.approx(3000 * 2999 / 2)
+
+
+def test_sums_of_dense_scores_need_no_dense_rows(spark, monkeypatch):
+    """The sums equal those over whole rows, and no row or block of all genes is made."""
+    import random
+
+    from larkaudit.operators import scores
+
+    rng = random.Random(9)
+    genes = spark.createDataFrame([(3 * g, rng.random(), rng.random(), rng.random()) for g in range(300)], "gene long, idf double, fold_frequency double, margin double")
+    kept = lambda p: range(300) if p == 1 else sorted(rng.sample(range(300), rng.choice([1, 2, 40, 299])))
+    rows = [(p, 3 * g, float(rng.choice([0, 0, 1, 2, 7])) if p != 2 else 0.0, rng.random(), rng.random()) for p in range(1, 25) for g in kept(p)]
+    entries = spark.createDataFrame(rows, "patient_id long, gene long, absolute double, repeat_support double, sign_support double")
+    want = {}
+    for r in scores.dense_rows(entries, genes).collect():
+        s = r["scores"]
+        want[r["patient_id"]] = (300, len(r["present"]), sum(s), sum(i * x for i, x in enumerate(s)) / 300, min(s), max(s), sum(s[i] for i in r["present"]))
+    monkeypatch.setattr(scores, "MOST_GENES", 10)
+    monkeypatch.setattr(scores, "SUMMED_ROWS", 5)
+    got = {r["patient_id"]: tuple(r)[1:] for r in scores.dense_sums(entries, genes).collect()}
+    assert got.keys() == want.keys()
+    for p in want:
+        assert got[p] == pytest.approx(want[p], rel=1e-11)
