@@ -45,14 +45,19 @@ def rerank(scored: DataFrame, k: int = 20, support: str | None = None) -> DataFr
 
 
 def alpha_sensitivity(targets: DataFrame, alphas: list[float], k: int = 20) -> DataFrame:
-    """Overlap with the list at alpha 0, by alpha: mean share of its targets that stay."""
-    s = specificity(targets, 1.0).select("patient_id", "gene", "base", "idf01").withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-    s = s.withColumn("_v", F.round(F.col("base") * (1 - F.col("alpha") + F.col("alpha") * (0.5 + 0.5 * F.col("idf01"))), 9))
-    top = s.withColumn("_k", first_rank(["alpha", "patient_id"], F.desc("_v"), F.asc("gene"))).where(F.col("_k") <= k)
-    base = top.where("alpha = 0").select("patient_id", "gene", F.lit(1).alias("_b"))
-    n = base.groupBy("patient_id").agg(F.count("*").alias("_n"))
-    hit = top.join(base, ["patient_id", "gene"], "left").groupBy("alpha", "patient_id").agg(F.count("_b").alias("_h")).join(n, "patient_id")
-    return hit.groupBy("alpha").agg(F.avg(F.col("_h") / F.col("_n")).alias("kept"), F.count("*").alias("n_patients"))
+    """Overlap with the list at alpha 0, by alpha: mean share of its targets that stay.
+
+    All lists are ranked in the patient's own rows, which are not multiplied by the alphas.
+    """
+    value = lambda a: F.round(F.col("base") * (1 - a + a * (0.5 + 0.5 * F.col("idf01"))), 9)
+    s = specificity(targets, 1.0).select("patient_id", "gene", "base", "idf01")
+    kept = first_rank(["patient_id"], F.desc("_v"), F.asc("gene")) <= k
+    for i, a in enumerate([0.0, *alphas]):
+        s = s.withColumn("_v", value(F.lit(a))).withColumn(f"_k{i}", kept)
+    both = [F.sum(F.when(F.col("_k0") & F.col(f"_k{i + 1}"), 1).otherwise(0)).alias(f"_h{i}") for i in range(len(alphas))]
+    p = s.groupBy("patient_id").agg(F.sum(F.when(F.col("_k0"), 1).otherwise(0)).alias("_n"), *both)
+    p = p.select("_n", F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"_h{i}").alias("_h")) for i, a in enumerate(alphas)])).alias("_x"))
+    return p.groupBy("_x.alpha").agg(F.avg(F.col("_x._h") / F.col("_n")).alias("kept"), F.count("*").alias("n_patients"))
 
 
 def layers(scored: DataFrame, quotas: dict[str, int], total: int = 20) -> DataFrame:
