@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkaudit.functions.lineage import cut as cut_lineage
+from larkaudit.functions.lineage import written
 from larkaudit.functions.quantiles import exact_quantiles
 from larkaudit.functions.ranks import cut, first_rank, minmax, rank_pct, tiers
 from larkaudit.operators.relational import describe
@@ -136,14 +137,17 @@ def pool_scores(pool: DataFrame, k: int = 20) -> DataFrame:
     patients count. The first pass weighs the scaled size, its rank within the patient, support and scaled
     margin, renormalised; how many patients' first k hold a gene gives its frequency, class and specificity, which the second pass adds.
     """
-    pool = cut_lineage(pool)
+    pool = written(pool)
     p = pool.where(" and ".join(f"{c} >= {v}" for c, v in LEAST_SUPPORT.items()))
-    p = rank_pct(p, "size", ["patient_id"], "size_pct").withColumn("scaled", minmax("size", ["patient_id"]))
+    # Ranked in windows of the patient's own rows, for which one shuffle does.
+    mine, alike = Window.partitionBy("patient_id"), Window.partitionBy("patient_id", "size")
+    rank = F.rank().over(mine.orderBy(F.col("size").asc_nulls_last())) + (F.count("*").over(alike) - 1) / 2
+    p = p.withColumn("scaled", minmax("size", ["patient_id"])).withColumn("size_pct", F.when(F.col("size").isNotNull(), rank / F.count("size").over(mine)))
     support = 0.5 * F.col("repeat_support") + 0.25 * F.col("sign_support") + 0.25 * F.col("fold_frequency")
     low, high = p.agg(F.min("margin"), F.max("margin")).first()
     core = F.lit(0.5) if low is None or high <= low else (F.col("margin") - low) / (high - low)
     first = ATTRIBUTION * F.col("scaled") + PERCENTILE * F.col("size_pct") + SUPPORT * support + CORE * core
-    p = cut_lineage(p.withColumn("_f", first).withColumn("first_score", r9(F.col("_f") / (ATTRIBUTION + PERCENTILE + SUPPORT + CORE))))
+    p = written(p.withColumn("_f", first).withColumn("first_score", r9(F.col("_f") / (ATTRIBUTION + PERCENTILE + SUPPORT + CORE))))
     top = p.withColumn("_k", first_rank(["patient_id"], F.desc("first_score"), F.asc("gene"))).where(F.col("_k") <= k)
     n = pool.agg(F.countDistinct("patient_id").alias("_n"))
     f = p.select("gene").distinct().join(top.groupBy("gene").agg(F.count("*").alias("n_top")), "gene", "left").withColumn("n_top", F.coalesce("n_top", F.lit(0)))
