@@ -204,3 +204,17 @@ def test_size_adjusted_sets(spark):
     assert [got[t]["weight"] for t in "abcd"] == pytest.approx([1 / 1.5, 1 / 1.75, 0.5, 1], abs=1e-8)
     assert [got[t]["raw_rank"] for t in "abcde"] == [4, 3, 1, 2, 5] and got["d"]["adjusted_rank"] == 1
     assert all(r["rank_change"] == r["adjusted_rank"] - r["raw_rank"] for r in got.values())
+
+
+@pytest.mark.parametrize("most", [12, 2])
+def test_shapley_values_of_many_rows_equal_those_of_each(monkeypatch, most):
+    from larkaudit.operators import models
+
+    monkeypatch.setattr(models, "MOST_PATTERN", most)
+    monkeypatch.setattr(models, "SHAP_ROWS", 17)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 6)).round(1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=200) > 0).astype(float)
+    tree = models.Tree(x, y, np.ones(200), rng, 3, 3)
+    assert np.allclose(tree.shap_rows(x[:50]), [tree.shap(row) for row in x[:50]], atol=1e-12)
+    assert tree.shap_rows(x[:0]).shape == (0, 6)
