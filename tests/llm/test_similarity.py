@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from larkaudit.llm import ann, graph, jaccard, near_vectors, shingles
+from larkaudit.llm import ann, common, graph, jaccard, near_vectors, shingles
 
 DOCS = "doc_id long, text string, batch string, cls string, n string"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -226,3 +226,18 @@ def test_what_the_graph_misses_is_found_by_blocks(spark, monkeypatch):
     want = components(range(300), lambda i, j: cos[i, j] >= 0.9)
     got = {r["vec_id"]: r["component_id"] for r in near_vectors.near_vectors(frame(spark).where("vec_id < 300")).collect()}
     assert got == want
+
+
+def ran(df):
+    """The plan as Spark ran it in the end."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_that_grow_with_the_texts_are_joined_by_shuffling(spark):
+    rows = spark.createDataFrame([(i, i % 500) for i in range(1000)], "v long, k long")
+    told = common.cut(rows.selectExpr("k").groupBy("k").count().withColumnRenamed("count", "n"))
+    assert "Broadcast" not in ran(common.spread_join(rows, told, "k"))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j + i // 2}" for j in range(40)), None, None, None) for i in range(40)], DOCS)
+    counted, keyed, _, bits = jaccard.class_table(docs)
+    assert "Broadcast" not in ran(jaccard.class_links(jaccard.members(counted, keyed, bits)))
