@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkaudit.llm.codec import encode_documents
-from larkaudit.llm.common import cut, discard, fresh, new_path, table, written
+from larkaudit.llm.common import cut, discard, fresh, new_path, shuffled, table, written
 from larkaudit.llm.jaccard import jaccard_components
 from larkaudit.llm.line_dedup import clean_lines
 from larkaudit.llm.mixing import mixed_documents
@@ -38,13 +38,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     both = F.concat_ws(".", F.hex(F.xxhash64(*docs.columns)), F.hex(F.xxhash64(F.lit("row"), *docs.columns)))
     named = docs.withColumn(row, both)
     groups = jaccard_components(named.select(F.col(row).alias("doc_id"), "text"), "string").where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
-    groups = cut(groups.groupBy(row, "component_id").count().join(named.select(row, "doc_id").distinct(), row))
+    groups = cut(groups.groupBy(row, "component_id").count().join(shuffled(named.select(row, "doc_id").distinct()), row))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))
     stay = groups.groupBy("component_id").agg(first.alias("first")).select(f"first.{row}")
-    kept = named.join(cut(groups.join(stay, row, "left_anti").select(row)), row, "left_anti")
+    kept = named.join(shuffled(cut(groups.join(shuffled(stay), row, "left_anti").select(row))), row, "left_anti")
     repeated = cut(groups.where("count > 1").select(row))
     if not repeated.isEmpty():
-        kept = kept.join(repeated, row, "left_anti").unionByName(kept.join(repeated, row, "left_semi").dropDuplicates([row]))
+        kept = kept.join(shuffled(repeated), row, "left_anti").unionByName(kept.join(shuffled(repeated), row, "left_semi").dropDuplicates([row]))
     return kept.select(docs.columns)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkaudit.llm.common import cut, fresh, spread_join
+from larkaudit.llm.common import cut, fresh, shuffled, spread_join
 
 #: Distinct sites from which a line is boilerplate.
 LEAST_SITES = 10
@@ -30,7 +30,7 @@ def boilerplate(lines: DataFrame, least: int = LEAST_SITES) -> DataFrame:
     far = F.col("sites") > least * (1 + NEAR) + 1
     near = spread_join(lines.where("site is not null").select("h", "site"), cut(estimates.where(~far).select("h", "n")), "h")
     exact = near.distinct().groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= least)
-    return estimates.where(far).unionByName(exact.join(estimates.select("h", "n"), "h"))
+    return estimates.where(far).unionByName(exact.join(shuffled(estimates.select("h", "n")), "h"))
 
 
 def clean_lines(docs: DataFrame, least: int = LEAST_SITES) -> DataFrame:
@@ -49,7 +49,7 @@ def clean_lines(docs: DataFrame, least: int = LEAST_SITES) -> DataFrame:
     rest = spread_join(hit, first, "h").where(~((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("pos") == F.col("first.pos"))))
     key, out = fresh(docs, "_key"), fresh(docs, "_out")
     removed = rest.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias(out)).withColumnRenamed("key", key)
-    joined = docs.drop("n_lines", "n_removed").withColumn(key, F.xxhash64("doc_id", "text")).join(removed, key, "left")
+    joined = docs.drop("n_lines", "n_removed").withColumn(key, F.xxhash64("doc_id", "text")).join(shuffled(removed), key, "left")
     # What is left of a text are the runs of lines between those taken out, so the work is linear in its lines.
     split = F.split("text", "\n")
     ends = F.concat(F.array(F.lit(-1)), F.col(out), F.array(F.size(split)))

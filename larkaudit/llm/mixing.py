@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkaudit.llm.common import WORD, cut, word_count
+from larkaudit.llm.common import WORD, cut, shuffled, word_count
 
 #: Words in a block, slots in an output shard, and times that a source may be repeated.
 BLOCK_WORDS = 64
@@ -102,7 +102,7 @@ def before_by_ranges(df: DataFrame, keys: list[str], step: str, value: str, name
     df = df.withColumn("_rng", div(F.col(step), RANGE_GROUPS))
     of_range = before(df.groupBy(*keys, "_rng").agg(F.sum(value).alias("_all")), keys, ["_rng"], "_all", "_base").drop("_all")
     within = before(df, [*keys, "_rng"], [step], value, "_in")
-    return within.join(of_range, [*keys, "_rng"]).withColumn(name, F.col("_in") + F.col("_base")).drop("_rng", "_in", "_base")
+    return within.join(shuffled(of_range), [*keys, "_rng"]).withColumn(name, F.col("_in") + F.col("_base")).drop("_rng", "_in", "_base")
 
 
 def lay_out(docs: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def lay_out(docs: DataFrame) -> DataFrame:
     sizes = sizes.withColumn("grp", F.pmod(F.col("mixed"), F.lit(groups)))
     per_group = before_by_ranges(sizes.groupBy("src", "grp").agg(F.sum("size").alias("words")), ["src"], "grp", "words", "start")
     starts = per_group.join(source_targets(sizes), "src").select("src", "grp", "start", "source_size", "target")
-    laid = before(sizes, ["src", "grp"], ["mixed", "doc_id", "size", *row], "size", "at_doc").join(starts, ["src", "grp"])
+    laid = before(sizes, ["src", "grp"], ["mixed", "doc_id", "size", *row], "size", "at_doc").join(shuffled(starts), ["src", "grp"])
     blocks = div(F.col("source_size") + BLOCK_WORDS - 1, BLOCK_WORDS)
     wanted = F.round(F.col("target") * blocks / F.greatest(F.col("source_size"), F.lit(1)), 0).cast("long")
     return cut(
@@ -149,7 +149,7 @@ def slot_totals(laid: DataFrame) -> tuple[DataFrame, int]:
 def in_cells(points: DataFrame, at: str, ranges: DataFrame) -> DataFrame:
     """``points`` joined with the one of ``ranges`` (low, high, ...) that holds column ``at``, by cells of CELL numbers."""
     cells = ranges.where("high > low").withColumn("_cell", F.explode(F.sequence(div(F.col("low"), CELL), div(F.col("high") - 1, CELL))))
-    return points.withColumn("_cell", div(F.col(at), CELL)).join(cells, "_cell").where(f"{at} >= low and {at} < high").drop("_cell")
+    return points.withColumn("_cell", div(F.col(at), CELL)).join(shuffled(cells), "_cell").where(f"{at} >= low and {at} < high").drop("_cell")
 
 
 def draw_counts(sources: DataFrame, total: int) -> DataFrame:
@@ -203,7 +203,7 @@ def block_spans(laid: DataFrame) -> DataFrame:
 
 def mix(laid: DataFrame) -> DataFrame:
     """The mix: shard, src, pass, block, at, doc_id, first, words for each span of each slot."""
-    return draw_slots(laid).join(block_spans(laid), ["src", "block"])
+    return draw_slots(laid).join(shuffled(block_spans(laid)), ["src", "block"])
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def taken_words(docs: DataFrame) -> DataFrame:
     """
     laid = lay_out(docs)
     taken = mix(laid).groupBy("src", "at").agg(F.sum("words").alias("taken"))
-    some = laid.where("size > 0").join(taken, ["src", "at"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    some = laid.where("size > 0").join(shuffled(taken), ["src", "at"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     none = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     columns = ["doc_id", "size", "source_size", "target", "taken"]
     return some.select(columns).unionByName(none.select(columns))
@@ -232,7 +232,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     named = docs.withColumns({ROW[0]: F.xxhash64(*docs.columns), ROW[1]: F.xxhash64(F.lit(SEED), *docs.columns)})
     spans = mix(lay_out(named)).groupBy(*ROW, "pass", "at").agg(F.sum("words").alias("_taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_spans")).drop("pass", "at")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    rows = named.dropDuplicates(ROW).join(spans, ROW).withColumn("_words", words)
+    rows = named.dropDuplicates(ROW).join(shuffled(spans), ROW).withColumn("_words", words)
     picked = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_words"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
     text = F.when(F.col("_taken") >= F.size("_words"), F.col("text")).otherwise(picked)
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)

@@ -277,3 +277,14 @@ def test_runs_keep_columns_and_odd_rows(spark, odd):
     long = rows[8, LONG]
     assert [tuple(x) for x in long["runs"]] == [(0, 100_000, 5)] and long["collapsed"] == "Long text of many words,"
     assert periodic.with_runs(odd.limit(0)).count() == 0 and periodic.run_digests(odd.limit(0)).count() == 0
+
+
+def test_stages_broadcast_no_table_that_grows_with_the_documents(spark):
+    import corpus_pipeline
+    from larkaudit.llm import line_dedup, mixing
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30)), "en", f"s{i % 12}", 1) for i in range(50)], "doc_id long, text string, lang string, source string, n_chars long")
+    laid = mixing.lay_out(docs)
+    for df in (corpus_pipeline.near_duplicates(spark, docs, ""), line_dedup.clean_lines(docs), mixing.before_by_ranges(laid.select("src", "at", "size"), ["src"], "at", "size", "sum")):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
