@@ -710,7 +710,7 @@ def dense_scores(spark, d):
 @query(ENTRIES + SCORED_NULL.format(k="", s="ent") + " select patient_id, gene, score, row_number() over (partition by patient_id order by score desc, gene) as rank from best", base=False)
 def dense_targets(spark, d):
     """The twenty best targets of each patient by the scores of the whole matrix."""
-    best = scores.best_targets(scores.present_scores(*facts.target_tables(spark, d)))
+    best = scores.best_present(*facts.target_tables(spark, d))
     return best.select("patient_id", "gene", "score", F.col("rank").cast("long"))
 
 
@@ -735,7 +735,7 @@ def target_null_compare(spark, d):
 
     e, genes = facts.target_tables(spark, d)
     genes = cut(genes)
-    observed, out = cut(long(targets.set_metrics(scores.best_targets(scores.present_scores(e, genes))), [])), None
+    observed, out = cut(long(targets.set_metrics(scores.best_present(e, genes)), [])), None
     for name in ("within_gene", "within_patient_and_core"):
         best = target_nulls.null_best(e, genes, name, 100, sets=True)
         sets = cut(best.select("perm", "patient_id", F.size("genes").alias("size"), F.col("genes").alias("items")))

@@ -109,6 +109,25 @@ def test_dense_rows_and_present_scores_equal_plain_ones(spark):
     assert scores.dense_rows(e.limit(0), genes).count() == 0 and scores.present_scores(e.limit(0), genes).count() == 0
 
 
+def test_best_targets_of_one_sort_equal_those_of_windows(spark):
+    rows = made_entries()
+    e, genes = spark.createDataFrame(rows, ENTRY), spark.createDataFrame(GENES, "gene long, idf double, fold_frequency double, margin double")
+    odd = e.unionByName(e.where("patient_id = 1").withColumn("patient_id", F.lit(None).cast("long"))).unionByName(
+        e.withColumn("patient_id", F.col("patient_id") + 100).withColumn("absolute", F.when(F.col("gene") % 3 > 0, F.col("absolute") * (F.col("gene") % 2)))
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # patients go on over batches
+    try:
+        for table, k in ((e, 4), (odd, 2), (odd, 20), (e.limit(0), 4)):
+            best = scores.best_present(table, genes, k)
+            want = scores.best_targets(scores.present_scores(table, genes), k).select(best.columns)
+            key = lambda r: (r["patient_id"] is None, r["patient_id"] or 0, r["rank"])
+            assert sorted(best.collect(), key=key) == sorted(want.collect(), key=key)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = scores.best_present(e, genes)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort [") == 1
+
+
 def test_too_many_genes_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(scores, "MOST_GENES", 5)
     with pytest.raises(ValueError, match="present genes"):
