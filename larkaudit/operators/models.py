@@ -24,7 +24,11 @@ def stratified_folds(samples: DataFrame, key: str, y: str, splits: int, repeats:
 
 def anova_f(rows: DataFrame, keys: list[str], y: str = "y", value: str = "value") -> DataFrame:
     """f and its degrees of freedom by keys, from counts, sums and sums of squares of the classes."""
-    per = rows.where(F.col(value).isNotNull()).groupBy(*keys, y).agg(F.count("*").cast("double").alias("_n"), F.sum(value).alias("_s"), F.sum(F.col(value) ** 2).alias("_q"))
+    return anova_of_sums(rows.where(F.col(value).isNotNull()).groupBy(*keys, y).agg(F.count("*").cast("double").alias("_n"), F.sum(value).alias("_s"), F.sum(F.col(value) ** 2).alias("_q")), keys)
+
+
+def anova_of_sums(per: DataFrame, keys: list[str]) -> DataFrame:
+    """``anova_f`` of the classes' counts, sums and sums of squares (_n, _s, _q)."""
     g = per.groupBy(*keys).agg(
         F.sum("_n").alias("_n"), F.count("*").cast("double").alias("_k"), F.sum("_q").alias("_q"), F.sum("_s").alias("_s"), F.sum(F.col("_s") ** 2 / F.col("_n")).alias("_b")
     )
