@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkaudit.functions.lineage import cut, written
 from larkaudit.functions.quantiles import exact_quantiles
 from larkaudit.functions.ranks import first_rank
 
@@ -42,6 +44,19 @@ def select_features(scored: DataFrame, keys: list[str], feature: str, k: int) ->
     return scored.withColumn("rank", first_rank(keys, F.desc_nulls_last("f"), F.asc(feature))).where(F.col("rank") <= k)
 
 
+def best_by_spread(parts: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """keys and gene of the k genes of each group whose class means are furthest apart for their spread, ties by gene; unknown ones last.
+
+    ``parts``: keys, gene, y, and of each part its count _n, mean _a and squared deviations _d.
+    """
+    of = [*keys, "gene", "y"]
+    means = parts.groupBy(*of).agg((F.sum(F.col("_n") * F.col("_a")) / F.sum("_n")).alias("_m"))
+    spread = parts.join(means, of).groupBy(*of).agg(F.first("_m").alias("_m"), F.sum(F.col("_d") + F.col("_n") * (F.col("_a") - F.col("_m")) ** 2).alias("_d"))
+    mean = lambda y: F.max(F.when(F.col("y") == y, F.col("_m")))
+    f = spread.groupBy(*keys, "gene").agg(((mean(1) - mean(0)) ** 2 / (F.sum("_d") + 1e-12)).alias("f"))
+    return select_features(f, keys, "gene", k).select(*keys, "gene")
+
+
 def training_median(rows: DataFrame, keys: list[str], value: str = "value", train: str = "train") -> DataFrame:
     """Nulls and non-finite values replaced by the median of the training rows of their group."""
     finite = F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(F.col(value))
@@ -73,10 +88,12 @@ class Tree:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, rng: np.random.Generator, leaf: int, tries: int):
         self.feature, self.cut, self.left, self.right, self.value, self.cover = [], [], [], [], [], []
-        self._grow(x, y, w, rng, leaf, tries)
+        self._grow(x, y, w, np.arange(len(y)), rng, leaf, tries)
 
-    def _grow(self, x, y, w, rng, leaf, tries) -> int:
+    def _grow(self, x, all_y, all_w, rows, rng, leaf, tries) -> int:
+        """A node of ``rows``; nodes on the way hold numbers of rows, not copies of them."""
         at = len(self.feature)
+        y, w = all_y[rows], all_w[rows]
         total = w.sum()
         share = float((w * y).sum() / total) if total else 0.0
         for column, v in ((self.feature, -1), (self.cut, 0.0), (self.left, -1), (self.right, -1), (self.value, share), (self.cover, float(total))):
@@ -85,11 +102,12 @@ class Tree:
             return at
         best = None
         for f in rng.permutation(x.shape[1])[:tries]:
-            low, high = x[:, f].min(), x[:, f].max()
+            v = x[rows, f]
+            low, high = v.min(), v.max()
             if low == high:
                 continue
             c = rng.uniform(low, high)
-            side = x[:, f] <= c
+            side = v <= c
             if min(side.sum(), (~side).sum()) < leaf:
                 continue
             gini = 0.0
@@ -101,9 +119,12 @@ class Tree:
         if best is None:
             return at
         _, f, c, side = best
+        left, right = rows[side], rows[~side]
+        del y, w, best, side, rows
         self.feature[at], self.cut[at] = int(f), float(c)
-        self.left[at] = self._grow(x[side], y[side], w[side], rng, leaf, tries)
-        self.right[at] = self._grow(x[~side], y[~side], w[~side], rng, leaf, tries)
+        self.left[at] = self._grow(x, all_y, all_w, left, rng, leaf, tries)
+        del left
+        self.right[at] = self._grow(x, all_y, all_w, right, rng, leaf, tries)
         return at
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -223,38 +244,46 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int, leaf: int, seed: int) -
 def out_of_fold(vectors: DataFrame, folds: DataFrame, trees: int = 20, leaf: int = 3, k: int = 16, seed: int = 20260701, explain: bool = False) -> DataFrame:
     """Held-out predictions of a logistic model and a forest, or the forest's Shapley values with ``explain``.
 
-    ``vectors`` (sample_id, x array) meet ``folds`` (sample_id, y, repeat_id, fold_id). One task fits
-    one repeat and fold: medians, the k best features by F and scales come from its training rows.
-    A task holds one whole training matrix, as such fits do.
+    ``vectors`` (sample_id, x array) meet ``folds`` (sample_id, y, repeat_id, fold_id). Medians and the
+    k best features by F of each fold's training rows come from sums over all tasks. One task fits one
+    repeat and fold; it holds the fold's rows with k numbers each, as an Arrow table.
     """
-    grid = folds.select("repeat_id", F.col("fold_id").alias("held")).distinct()
-    rows = folds.join(F.broadcast(grid), "repeat_id").join(vectors, "sample_id")  # a row a repeat and fold
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_id")
-        x, y = np.stack(pdf["x"].to_list()).astype(float), pdf["y"].to_numpy()
-        held, r, h = (pdf["fold_id"] == pdf["held"]).to_numpy(), int(pdf["repeat_id"].iloc[0]), int(pdf["held"].iloc[0])
-        x = np.where(np.isfinite(x), x, np.nan)
-        middle = np.nanmedian(x[~held], axis=0)
-        x = np.where(np.isnan(x), middle, x)
-        a, b = x[~held & (y == 1)], x[~held & (y == 0)]
-        spread = a.var(axis=0) * len(a) + b.var(axis=0) * len(b) + 1e-12
-        f = (a.mean(axis=0) - b.mean(axis=0)) ** 2 / spread
-        chosen = np.sort(np.argsort(-f, kind="stable")[:k])
-        x = x[:, chosen]
-        forest = fit_forest(x[~held], y[~held], trees, leaf, seed + 100 * r + h)
-        ids = pdf["sample_id"].to_numpy()[held]
-        p = np.mean([t.predict(x[held]) for t in forest], axis=0)
+    from larkaudit.operators import linear
+
+    long = vectors.select("sample_id", F.posexplode("x").alias("gene", "value")).withColumn("gene", F.col("gene").cast("long"))
+    samples = written(linear.sample_rows(long, folds))
+    held = cut(samples.select(F.inline("folds")).select("repeat_id", F.col("fold_id").alias("held")).distinct())
+    medians = linear.training_medians(samples, held)
+    best = cut(best_by_spread(linear.training_parts(samples, held, medians), linear.FOLD, k).join(medians, [*linear.FOLD, "gene"], "left"))
+    numbered = cut(best.select("gene").distinct().withColumn("place", F.row_number().over(Window.orderBy("gene")) - 1))  # k genes a fold at most
+    told = best.join(numbered, "gene").groupBy(*linear.FOLD).agg(F.array_sort(F.collect_list(F.struct("gene", "place", "middle"))).alias("genes"))
+    told = cut(told)
+    genes = {(r["repeat_id"], r["held"]): [g["gene"] for g in r["genes"]] for r in told.collect()}  # a row a fold
+    values = linear.selected_values(samples, numbered).select("sample_id", "y", "x", F.inline("folds")).join(F.broadcast(told), "repeat_id")  # a row a repeat and fold
+    x = F.transform("genes", lambda g: F.coalesce(F.get("x", g["place"]), g["middle"]))
+    rows = values.select("sample_id", F.col("y").cast("int").alias("y"), "repeat_id", "held", (F.col("fold_id") == F.col("held")).alias("out"), x.alias("x"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        r, h = table.column("repeat_id")[0].as_py(), table.column("held")[0].as_py()
+        order = np.argsort(table.column("sample_id").to_numpy(), kind="stable")
+        ids, y, out = (table.column(c).to_numpy()[order] for c in ("sample_id", "y", "out"))
+        chosen = genes[r, h]
+        x = table.column("x").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), len(chosen))[order]
+        del table
+        ids, tested, x, known, y_out, y = ids[out], x[out], x[~out], len(chosen), y[out], y[~out]
+        forest = fit_forest(x, y, trees, leaf, seed + 100 * r + h)
+        p = np.mean([t.predict(tested) for t in forest], axis=0)
         if explain:
-            values = np.mean([t.shap_rows(x[held]) for t in forest], axis=0)
+            shap = np.mean([t.shap_rows(tested) for t in forest], axis=0)
             base = float(np.mean([sum(v * c for v, c, g in zip(t.value, t.cover, t.feature, strict=True) if g < 0) / t.cover[0] for t in forest]))
-            return pd.DataFrame({"sample_id": np.repeat(ids, len(chosen)), "repeat_id": r, "fold_id": h, "gene": np.tile(chosen, len(ids)), "shap": values.ravel(), "expected": base, "p": np.repeat(p, len(chosen))})
-        mean, sd = x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-12
-        z = (x - mean) / sd
-        coef, c = fit_logistic(z[~held], y[~held].astype(float), 0.005, 0.005)
-        q = 1 / (1 + np.exp(-(z[held] @ coef + c)))
-        made = {"sample_id": ids, "repeat_id": r, "fold_id": h, "y": y[held]}
-        return pd.concat([pd.DataFrame({"model": "logistic", **made, "p": q}), pd.DataFrame({"model": "extratrees", **made, "p": p})])
+            made = {"sample_id": np.repeat(ids, known), "repeat_id": r, "fold_id": h, "gene": np.tile(chosen, len(ids)), "shap": shap.ravel(), "expected": base, "p": np.repeat(p, known)}
+            return pa.Table.from_pandas(pd.DataFrame(made), preserve_index=False)
+        mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-12
+        coef, c = fit_logistic((x - mean) / sd, y.astype(float), 0.005, 0.005)
+        q = 1 / (1 + np.exp(-(((tested - mean) / sd) @ coef + c)))
+        made = {"sample_id": ids, "repeat_id": r, "fold_id": h, "y": y_out}
+        return pa.Table.from_pandas(pd.concat([pd.DataFrame({"model": "logistic", **made, "p": q}), pd.DataFrame({"model": "extratrees", **made, "p": p})]), preserve_index=False)
 
     schema = "sample_id long, repeat_id long, fold_id long, gene long, shap double, expected double, p double" if explain else "model string, sample_id long, repeat_id long, fold_id long, y int, p double"
-    return rows.groupBy("repeat_id", "held").applyInPandas(fit, schema)
+    return rows.groupBy("repeat_id", "held").applyInArrow(fit, schema)
