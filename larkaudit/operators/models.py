@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -246,7 +248,7 @@ def out_of_fold(vectors: DataFrame, folds: DataFrame, trees: int = 20, leaf: int
 
     ``vectors`` (sample_id, x array) meet ``folds`` (sample_id, y, repeat_id, fold_id). Medians and the
     k best features by F of each fold's training rows come from sums over all tasks. One task fits one
-    repeat and fold; it holds the fold's rows with k numbers each, as an Arrow table.
+    repeat and fold; it holds one matrix of the fold's rows with k numbers each.
     """
     from larkaudit.operators import linear
 
@@ -263,27 +265,47 @@ def out_of_fold(vectors: DataFrame, folds: DataFrame, trees: int = 20, leaf: int
     x = F.transform("genes", lambda g: F.coalesce(F.get("x", g["place"]), g["middle"]))
     rows = values.select("sample_id", F.col("y").cast("int").alias("y"), "repeat_id", "held", (F.col("fold_id") == F.col("held")).alias("out"), x.alias("x"))
 
-    def fit(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        r, h = table.column("repeat_id")[0].as_py(), table.column("held")[0].as_py()
-        order = np.argsort(table.column("sample_id").to_numpy(), kind="stable")
-        ids, y, out = (table.column(c).to_numpy()[order] for c in ("sample_id", "y", "out"))
-        chosen = genes[r, h]
-        x = table.column("x").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), len(chosen))[order]
-        del table
-        ids, tested, x, known, y_out, y = ids[out], x[out], x[~out], len(chosen), y[out], y[~out]
+    # Numbers of rows of each fold's group: a row a fold.
+    sizes = {(r["repeat_id"], r["held"]): r["n"] for r in rows.groupBy("repeat_id", "held").agg(F.count("*").alias("n")).collect()}
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            if not at:
+                r, h = batch.column("repeat_id")[0].as_py(), batch.column("held")[0].as_py()
+                chosen, n = genes[r, h], sizes[r, h]
+                x, ids, y, out = np.empty((n, len(chosen)), order="F"), np.empty(n, np.int64), np.empty(n, np.int32), np.empty(n, bool)
+            here = slice(at, at + batch.num_rows)
+            x[here] = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(chosen))
+            for column, name in ((ids, "sample_id"), (y, "y"), (out, "out")):
+                column[here] = batch.column(name).to_numpy(zero_copy_only=False)
+            at += batch.num_rows
+        # Training rows first, each part by id; column by column, so that there is one matrix only.
+        order = np.lexsort((ids, out))
+        for j in range(len(chosen)):
+            x[:, j] = x[order, j]
+        ids, y, first = ids[order], y[order], n - int(out.sum())
+        del batch, order, out
+        ids, tested, x, y_out, y = ids[first:], x[first:], x[:first], y[first:], y[:first]
+        yield from pa.Table.from_pandas(fitted(r, h, ids, tested, x, y_out, y), preserve_index=False).to_batches()
+
+    def fitted(r, h, ids, tested, x, y_out, y) -> pd.DataFrame:
+        chosen, known = genes[r, h], len(genes[r, h])
         forest = fit_forest(x, y, trees, leaf, seed + 100 * r + h)
         p = np.mean([t.predict(tested) for t in forest], axis=0)
         if explain:
             shap = np.mean([t.shap_rows(tested) for t in forest], axis=0)
             base = float(np.mean([sum(v * c for v, c, g in zip(t.value, t.cover, t.feature, strict=True) if g < 0) / t.cover[0] for t in forest]))
             made = {"sample_id": np.repeat(ids, known), "repeat_id": r, "fold_id": h, "gene": np.tile(chosen, len(ids)), "shap": shap.ravel(), "expected": base, "p": np.repeat(p, known)}
-            return pa.Table.from_pandas(pd.DataFrame(made), preserve_index=False)
+            return pd.DataFrame(made)
         mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-12
-        coef, c = fit_logistic((x - mean) / sd, y.astype(float), 0.005, 0.005)
-        q = 1 / (1 + np.exp(-(((tested - mean) / sd) @ coef + c)))
+        for part in (x, tested):  # scaled in place: the forest is done with them
+            part -= mean
+            part /= sd
+        coef, c = fit_logistic(x, y.astype(float), 0.005, 0.005)
+        q = 1 / (1 + np.exp(-(tested @ coef + c)))
         made = {"sample_id": ids, "repeat_id": r, "fold_id": h, "y": y_out}
-        return pa.Table.from_pandas(pd.concat([pd.DataFrame({"model": "logistic", **made, "p": q}), pd.DataFrame({"model": "extratrees", **made, "p": p})]), preserve_index=False)
+        return pd.concat([pd.DataFrame({"model": "logistic", **made, "p": q}), pd.DataFrame({"model": "extratrees", **made, "p": p})])
 
     schema = "sample_id long, repeat_id long, fold_id long, gene long, shap double, expected double, p double" if explain else "model string, sample_id long, repeat_id long, fold_id long, y int, p double"
     return rows.groupBy("repeat_id", "held").applyInArrow(fit, schema)

@@ -218,3 +218,32 @@ def test_shapley_values_of_many_rows_equal_those_of_each(monkeypatch, most):
     tree = models.Tree(x, y, np.ones(200), rng, 3, 3)
     assert np.allclose(tree.shap_rows(x[:50]), [tree.shap(row) for row in x[:50]], atol=1e-12)
     assert tree.shap_rows(x[:0]).shape == (0, 6)
+
+
+def test_out_of_fold_ships_chosen_features_and_equals_plain_fits(spark):
+    r = np.random.default_rng(5)
+    y = np.arange(60) % 2
+    x = r.normal(size=(60, 7))
+    x[:, 1] += y
+    x[:, 4] -= 2 * y
+    x[:, 6] = 0.1
+    x[r.random(x.shape) < 0.05] = np.nan
+    vectors = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)], "sample_id long, x array<double>")
+    folds = models.stratified_folds(spark.createDataFrame(list(enumerate(y.tolist())), "sample_id long, y int"), "sample_id", "y", 3, 1)
+    fold = np.array([row["fold_id"] for row in folds.orderBy("sample_id").collect()])
+    made = models.out_of_fold(vectors, folds, trees=3, k=3)
+    assert "FlatMapGroupsInArrow" in made._jdf.queryExecution().executedPlan().toString()  # k numbers a row, not whole vectors
+    found = {(row["model"], row["sample_id"]): row["p"] for row in made.collect()}
+    assert len(found) == 120
+    for held in range(3):
+        out = fold == held
+        m = np.where(np.isnan(x), np.nanmedian(x[~out], axis=0), x)
+        a, b = m[~out & (y == 1)], m[~out & (y == 0)]
+        f = (a.mean(axis=0) - b.mean(axis=0)) ** 2 / (a.var(axis=0) * len(a) + b.var(axis=0) * len(b) + 1e-12)
+        m = m[:, np.sort(np.argsort(-f, kind="stable")[:3])]
+        forest = models.fit_forest(m[~out], y[~out], 3, 3, 20260701 + 100 + held)
+        z = (m - m[~out].mean(axis=0)) / (m[~out].std(axis=0) + 1e-12)
+        coef, c = models.fit_logistic(z[~out], y[~out].astype(float), 0.005, 0.005)
+        p, q = np.mean([t.predict(m[out]) for t in forest], axis=0), 1 / (1 + np.exp(-(z[out] @ coef + c)))
+        assert [found["extratrees", int(i)] for i in np.flatnonzero(out)] == pytest.approx(p.tolist())
+        assert [found["logistic", int(i)] for i in np.flatnonzero(out)] == pytest.approx(q.tolist())
