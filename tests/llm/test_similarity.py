@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larkaudit.llm import ann, common, graph, jaccard, near_vectors, shingles
 
@@ -241,3 +242,18 @@ def test_tables_that_grow_with_the_texts_are_joined_by_shuffling(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{j + i // 2}" for j in range(40)), None, None, None) for i in range(40)], DOCS)
     counted, keyed, _, bits = jaccard.class_table(docs)
     assert "Broadcast" not in ran(jaccard.class_links(jaccard.members(counted, keyed, bits)))
+
+
+def test_hot_keys_are_joined_without_a_broadcast(spark):
+    rows = spark.createDataFrame([(i, bytes([i % 40 if i % 3 else 7]), i % 2) for i in range(3000)] + [(-1, None, 0)], "v long, k binary, level int")
+    for keys in (["k"], ["k", "level"]):
+        told = common.cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("v").alias("most")))
+        joined = common.salted_join(rows, told, keys if len(keys) > 1 else keys[0])
+        assert sorted(joined.columns) == sorted([*rows.columns, "most"])
+        assert sorted(map(tuple, joined.select("v", "most").collect())) == sorted(map(tuple, common.spread_join(rows, told, keys).select("v", "most").collect()))
+        assert "Broadcast" not in ran(joined)
+    star = spark.createDataFrame([(i, 0) for i in range(1, 3000)] + [(i, i + 1) for i in range(3000, 3020)], "a long, b long")
+    found = graph.connected_components(star)
+    assert found.groupBy("component").count().orderBy("component").collect() == [(0, 3000), (3000, 21)]
+    both = common.cut(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    assert "Broadcast" not in ran(graph._star(both, True))
