@@ -737,9 +737,7 @@ def target_null_compare(spark, d):
     genes = cut(genes)
     observed, out = cut(long(targets.set_metrics(scores.best_present(e, genes)), [])), None
     for name in ("within_gene", "within_patient_and_core"):
-        best = target_nulls.null_best(e, genes, name, 100, sets=True)
-        sets = cut(best.select("perm", "patient_id", F.size("genes").alias("size"), F.col("genes").alias("items")))
-        found = targets.null_compare(cut(long(targets.metrics_of_sets(sets, keys=["perm"]), ["perm"])), observed).withColumn("null_type", F.lit(name))
+        found = targets.null_compare(cut(long(target_nulls.null_metrics(e, genes, name, 100), ["perm"])), observed).withColumn("null_type", F.lit(name))
         out = found if out is None else out.unionByName(found)
     return out
 

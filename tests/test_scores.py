@@ -342,6 +342,27 @@ def test_null_b_of_values_that_all_differ_equals_moved_entries(spark):
     assert {(r["patient_id"], r["perm"]): r["genes"] for r in sets} == {key: [g for _, g, _ in sorted(x)] for key, x in plain.items()}
 
 
+@pytest.mark.parametrize("kind", ["within_gene", "within_patient_and_core"])
+def test_overlap_of_null_sets_by_masks_equals_overlap_by_blocks(spark, monkeypatch, kind):
+    """A bit a permutation on each entry gives what whole sets give, and no set is made or goes to blocks."""
+    from larkaudit.operators import mask_overlap, target_nulls
+
+    entries, genes = _null_fixture(spark)
+    columns = ("perm", "mean_jaccard", "dissimilarity", "max_recurrence")
+    by = lambda df: [pytest.approx(tuple(r), rel=1e-12) for r in df.select(*columns).orderBy("perm").collect()]
+    monkeypatch.setattr(mask_overlap, "MOST_PATIENTS", 1)
+    want = by(target_nulls.null_metrics(entries, genes, kind, 11, 5))
+    assert len(want) == 11
+    monkeypatch.setattr(mask_overlap, "MOST_PATIENTS", 2_000)
+    monkeypatch.setattr(targets, "_by_blocks", None)
+    monkeypatch.setattr(targets, "_by_subsets", None)
+    for pairs, bits in ((4_000_000, 50_000_000), (300, 200)):
+        monkeypatch.setattr(mask_overlap, "PAIRS", pairs)
+        monkeypatch.setattr(mask_overlap, "BITS", bits)
+        got = target_nulls.null_metrics(entries, genes, kind, 11, 5).select(*columns).orderBy("perm").collect()
+        assert [tuple(r) for r in got] == want
+
+
 @pytest.mark.parametrize("most", [3, 6, 9])
 def test_overlap_of_sets_by_subsets_and_by_blocks_equals_pairs(spark, most):
     """Small sets are never paired: a hundred entities that share an item give no row for a pair."""
