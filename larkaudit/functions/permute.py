@@ -79,9 +79,11 @@ def restored(place: np.ndarray, n: np.ndarray | int, seeds: np.ndarray | int, gr
     Blocks of columns are small enough to stay in a core's cache.
     """
     place, n = np.asarray(place, np.int64), np.asarray(n, np.int64)
-    s = np.asarray(seeds, np.int64)
+    # All steps at once, as each is a line.
+    slope, rise = 1, 0
     for _ in range(ROUNDS):
-        s = (s * FACTOR + 12345) % PRIME
+        slope, rise = slope * FACTOR % PRIME, (rise * FACTOR + 12345) % PRIME
+    s = (np.asarray(seeds, np.int64) * slope + rise) % PRIME
     if group is None:
         shape = np.broadcast_shapes(place.shape, n.shape, s.shape)
         place, n, s = (np.atleast_2d(np.broadcast_to(v, shape)) for v in (place, n, s))
