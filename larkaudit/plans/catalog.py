@@ -735,7 +735,7 @@ def target_null_compare(spark, d):
 
     e, genes = facts.target_tables(spark, d)
     genes = cut(genes)
-    observed, out = cut(long(targets.set_metrics(scores.best_present(e, genes)), [])), None
+    observed, out = cut(long(target_nulls.observed_metrics(scores.best_present(e, genes)), [])), None
     for name in ("within_gene", "within_patient_and_core"):
         found = targets.null_compare(cut(long(target_nulls.null_metrics(e, genes, name, 100), ["perm"])), observed).withColumn("null_type", F.lit(name))
         out = found if out is None else out.unionByName(found)

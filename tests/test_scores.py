@@ -363,6 +363,18 @@ def test_overlap_of_null_sets_by_masks_equals_overlap_by_blocks(spark, monkeypat
         assert [tuple(r) for r in got] == want
 
 
+def test_overlap_of_observed_sets_goes_to_no_blocks(spark, monkeypatch):
+    """Sets of different sizes, too many items for subsets."""
+    from larkaudit.operators import target_nulls
+
+    rng = random.Random(5)
+    best = spark.createDataFrame([(p, g) for p in range(60) for g in rng.sample(range(40), rng.randint(1, 15))], "patient_id long, gene long")
+    columns = ["mean_jaccard", "dissimilarity", "max_recurrence"]
+    want = pytest.approx(tuple(targets.set_metrics(best).select(*columns).first()), rel=1e-12)
+    monkeypatch.setattr(targets, "_by_blocks", None)
+    assert tuple(target_nulls.observed_metrics(best).first()) == want
+
+
 @pytest.mark.parametrize("most", [3, 6, 9])
 def test_overlap_of_sets_by_subsets_and_by_blocks_equals_pairs(spark, most):
     """Small sets are never paired: a hundred entities that share an item give no row for a pair."""
